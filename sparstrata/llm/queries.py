@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edit_counts, exact_dedup, near_dedup, packing, sentence_spans, sentencepiece_codec, warc
+from . import edit_counts, exact_dedup, near_dedup, packing, sentence_spans, sentencepiece_codec, suffix_dedup, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -55,6 +55,18 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that a string of 100 bytes covers which starts earlier too."""
+    found = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def derived_edits(docs: DataFrame) -> DataFrame:
     """Edits of each document, from its own id and length: a deletion, an insertion of its source's name, a swap near the end."""
     size = F.length(F.coalesce("text", F.lit("")))
@@ -80,6 +92,6 @@ def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_exact_dedup, op3_warc, op4_packing, op5_sentence_spans, op8_near_dedup, op10_edit_counts)
+    for f in (op1_sentencepiece, op2_exact_dedup, op3_warc, op4_packing, op5_sentence_spans, op8_near_dedup, op9_suffix_dedup, op10_edit_counts)
 }
 ORACLES = {"op2_exact_dedup": OP2_SQL}
