@@ -16,8 +16,8 @@ equal places. Neighbouring windows mostly share an anchor and form a run.
    repeat group with all its occurrences; one with the same byte to the left
    everywhere lies in a longer group. All but the first occurrence of a group
    are covered.
-4. Anchors with very many occurrences are salted: each share drops equal
-   contexts, and what is left is matched window by window.
+4. Anchors with very many occurrences are salted: each share is scanned alike,
+   and the windows that are first in their share meet once more, each by itself.
 """
 
 from __future__ import annotations
@@ -239,8 +239,8 @@ def repeats_in_bucket(order: np.ndarray, groups: np.ndarray, anchors: np.ndarray
                 yield common_length, (owner[s + first], offset[s + first]), [(owner[s + o], offset[s + o]) for o in others]
 
 
-def _covered(pdf: pd.DataFrame, length: int, hot_from: int) -> tuple[list[tuple], pd.DataFrame]:
-    """Covered ranges of a bucket, and of a salted one the distinct contexts."""
+def _covered(pdf: pd.DataFrame, length: int, hot_from: int) -> tuple[list[tuple], list[tuple]]:
+    """Covered ranges of a bucket, and of a salted one the stretches of windows that are first in it."""
     pdf = pdf.sort_values(["id", "key", "lo"], na_position="first", kind="stable").reset_index(drop=True)
     own = list(zip(pdf["id"].astype(object).where(pdf["id"].notna(), None), pdf["key"].tolist(), pdf["lo"].tolist(), strict=True))
     his = pdf["hi"].tolist()
@@ -252,20 +252,32 @@ def _covered(pdf: pd.DataFrame, length: int, hot_from: int) -> tuple[list[tuple]
         if first != i and own[first] != own[i]:
             ranges.append((*own[i], his[i] + length))
     distinct = pdf.iloc[list(firsts.values())]
-    if int(pdf["bucket"].iloc[0]) >= hot_from:
-        return ranges, distinct
-    distinct = distinct[distinct.duplicated("hash", keep=False)]
-    if len(distinct):
-        rows = distinct.index.to_numpy()
+    salted = int(pdf["bucket"].iloc[0]) >= hot_from
+    many = distinct[distinct.duplicated("hash", keep=False)]
+    repeats: dict[int, list[tuple[int, int]]] = {}
+    if len(many):
+        rows = many.index.to_numpy()
         some = [bodies[i] for i in rows]
-        lefts = np.array([c[0] if lo > 0 else -1 for c, lo in zip(distinct["context"], distinct["lo"], strict=True)], np.int64)
-        groups = pd.factorize(distinct["hash"])[0]
-        anchors = (distinct["anchor"] - distinct["lo"]).to_numpy(np.int64)
+        lefts = np.array([c[0] if lo > 0 else -1 for c, lo in zip(many["context"], many["lo"], strict=True)], np.int64)
+        groups = pd.factorize(many["hash"])[0]
+        anchors = (many["anchor"] - many["lo"]).to_numpy(np.int64)
         for common, _, others in repeats_in_bucket(np.arange(len(rows)), groups, anchors, some, lefts, length):
             for c, offset in others:
                 doc, key, lo = own[rows[c]]
                 ranges.append((doc, key, lo + int(offset), lo + int(offset) + int(common)))
-    return ranges, pdf.iloc[:0]
+                if salted:
+                    repeats.setdefault(int(rows[c]), []).append((int(offset), int(offset) + int(common)))
+    rest = []
+    if salted:  # windows that are first in this share meet those of other shares
+        for i in distinct.index.tolist():
+            free = np.ones(len(bodies[i]) - length + 1, bool)
+            for start, stop in repeats.get(i, ()):
+                free[start : stop - length + 1] = False
+            edges = np.flatnonzero(np.diff(np.concatenate(([0], free.astype(np.int8), [0]))))
+            for start, stop in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                doc, key, lo = own[i]
+                rest.append((doc, key, lo + start, bodies[i][start : stop - 1 + length]))
+    return ranges, rest
 
 
 def removed_ranges(docs: DataFrame, length: int = LENGTH, q: int = Q, hot: int = HOT) -> DataFrame:
@@ -308,14 +320,15 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, q: int = Q, hot: int =
                     }
                 )
 
-    out_schema = T.StructType([T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in ("key", "start", "stop", "hi")), T.StructField("context", T.BinaryType())])
+    out_schema = T.StructType([T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in ("key", "start", "stop")), T.StructField("context", T.BinaryType())])
 
     def cover(pdf: pd.DataFrame) -> pd.DataFrame:
-        ranges, left = _covered(pdf, length, buckets)
-        found = pd.DataFrame(ranges, columns=["id", "key", "start", "stop"]).astype({"id": object})
-        found["hi"], found["context"] = None, None
-        rest = pd.DataFrame({"id": left["id"].astype(object), "key": left["key"], "start": left["lo"], "stop": None, "hi": left["hi"], "context": [c[int(lo > 0) :] for c, lo in zip(left["context"], left["lo"], strict=True)]})
-        return pd.concat([found, rest]).astype({"key": "int64", "start": "int64", "stop": "Int64", "hi": "Int64"})[out_schema.names]
+        ranges, rest = _covered(pdf, length, buckets)
+        found = pd.DataFrame(ranges, columns=["id", "key", "start", "stop"])
+        found["context"] = None
+        left = pd.DataFrame(rest, columns=["id", "key", "start", "context"])
+        left["stop"] = None
+        return pd.concat([x.astype({"id": object, "stop": "Int64"})[out_schema.names] for x in (found, left)])
 
     ready = marked.select("id", "key", "text", "marks").mapInPandas(contexts, contexts_schema)
     found = saved(ready.groupBy("bucket").applyInPandas(cover, out_schema), "ranges")
