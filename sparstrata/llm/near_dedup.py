@@ -11,8 +11,9 @@ agree there with the probability of their weighted Jaccard similarity.
 Texts with equal word sequences are one node, so copies never meet as pairs.
 Nodes that share a band are candidates. All candidate links are decided by the
 exact similarity, but links inside a component found already are not needed:
-every bucket tests its members against one pivot, components grow, and only
-members of other components are tested against further pivots.
+first every node is tested against one pivot of its buckets, components grow,
+and then buckets test only pairs between components, wide ones by a few pivots a
+turn until none is left.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 32
 ROWS = 4
-#: Buckets with no more members than this are tested pair by pair once their pivot failed to join them.
-SMALL_BUCKET = 32
+#: A bucket tests all its pairs between components at once if they are no more than this for each member, else by so many pivots a turn.
+CROSS_PAIRS = 32
 
 MASK = (1 << 64) - 1
 WORD = re.compile(r"\w+")
@@ -70,54 +71,61 @@ def shingle_hashes(hashes: np.ndarray, width: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def dart_signature(elements: np.ndarray, weights: np.ndarray | None, k: int) -> np.ndarray:
-    """k samples (uint64) of a weighted set of distinct elements; weights None are all 1.
+def dart_signatures(sizes: np.ndarray, elements: np.ndarray, weights: np.ndarray | None, k: int) -> np.ndarray:
+    """Samples (uint64, one row of k per set) of weighted sets of distinct elements, laid end to end.
 
-    Weights are laid out in strips of height 1. Arrival ranks of a strip's darts
-    are running sums of exponential gaps; a dart counts if its height in the
-    strip is within the element's weight.
+    Weights None are all 1. Weights are laid out in strips of height 1. Arrival
+    ranks of a strip's darts are running sums of exponential gaps; a dart counts
+    if its height in the strip is within the element's weight. Sets are not empty.
     """
+    owner = np.repeat(np.arange(len(sizes)), sizes)
     if weights is None:
-        total, strips, height = float(len(elements)), mix(elements), None
+        total, strips, height = sizes.astype(np.float64), mix(elements), None
     else:
-        total = float(weights.sum())
+        total = np.bincount(owner, weights, len(sizes))
         layers = np.ceil(weights).astype(np.int64)
-        owner = np.repeat(np.arange(len(elements)), layers)
-        layer = np.arange(len(owner)) - np.repeat(np.cumsum(layers) - layers, layers)
-        strips = mix(elements[owner] + np.uint64(0x632BE59BD9B4E019) * layer.astype(np.uint64))
-        height = np.minimum(weights[owner] - layer, 1.0)
+        element = np.repeat(np.arange(len(elements)), layers)
+        layer = np.arange(len(element)) - np.repeat(np.cumsum(layers) - layers, layers)
+        strips = mix(elements[element] + np.uint64(0x632BE59BD9B4E019) * layer.astype(np.uint64))
+        owner, height = owner[element], np.minimum(weights[element] - layer, 1.0)
     limit = k * (np.log(k) + 2) / total
     unit = 2.0**-53
-    while True:
-        ranks, seeds = [], []
-        live, rank, step = np.arange(len(strips)), np.zeros(len(strips)), 0
+    out = np.zeros((len(sizes), k), np.uint64)
+    todo = np.arange(len(strips))
+    while len(todo):
+        ranks, seeds, owners = [], [], []
+        live, rank, step = todo, np.zeros(len(todo)), 0
         while len(live):
             step += 1
             seed = mix(strips[live] + np.uint64(step * 0x9E3779B97F4A7C15 & MASK))
             rank = rank - np.log(((seed >> np.uint64(11)).astype(np.float64) + 0.5) * unit)
-            near = rank <= limit
+            near = rank <= limit[owner[live]]
             live, rank, seed = live[near], rank[near], seed[near]
             inside = slice(None)
             if height is not None:
                 inside = (mix(seed ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(11)).astype(np.float64) * unit < height[live]
             ranks.append(rank[inside])
             seeds.append(seed[inside])
-        ranks, seeds = np.concatenate(ranks), mix(np.concatenate(seeds))
-        place = (seeds % np.uint64(k)).astype(np.int64)
-        order = np.lexsort((ranks, place))
-        place, seeds = place[order], seeds[order]
-        first = np.ones(len(place), bool)
-        first[1:] = place[1:] != place[:-1]
-        if first.sum() == k:
-            return seeds[first]
-        limit *= 2  # a coordinate without a dart: look further, which keeps the earlier darts
-
-
-def band_hashes(signature: np.ndarray, bands: int) -> np.ndarray:
-    parts = signature.reshape(bands, -1)
-    out = np.arange(bands, dtype=np.uint64)
-    for i in range(parts.shape[1]):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + parts[:, i])
+            owners.append(owner[live][inside])
+        ranks, seeds, owners = np.concatenate(ranks), mix(np.concatenate(seeds)), np.concatenate(owners)
+        slot = owners * k + (seeds % np.uint64(k)).astype(np.int64)
+        order = np.lexsort((ranks, slot))
+        slot, seeds = slot[order], seeds[order]
+        first = np.ones(len(slot), bool)
+        first[1:] = slot[1:] != slot[:-1]
+        out.reshape(-1)[slot[first]] = seeds[first]
+        # sets with a coordinate that no dart hit look further, which keeps their earlier darts
+        short = np.bincount(slot[first] // k, minlength=len(sizes)) < k
+        limit = np.where(short, 2 * limit, limit)
+        todo = todo[short[owner[todo]]]
+    return out
+
+
+def band_hashes(samples: np.ndarray, bands: int) -> np.ndarray:
+    parts = samples.reshape(len(samples), bands, -1)
+    out = np.broadcast_to(np.arange(bands, dtype=np.uint64), parts.shape[:2])
+    for i in range(parts.shape[2]):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, i])
     return out.view(np.int64)
 
 
@@ -138,14 +146,22 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int
         memo: dict[str, int] = {}
         for pdf in batches:
             ids, texts = pdf["id"], pdf["text"].tolist()
-            for lo, hi in text_slices(texts):
-                nodes, found = [], []
+            for lo, hi in text_slices(texts, 1_000_000):
+                nodes, sets, counts = [], [], []
                 for text in texts[lo:hi]:
                     words = WORD.findall(text.lower())
                     nodes.append(xxhash.xxh3_128_digest("\n".join(words)))
-                    elements, counts = np.unique(shingle_hashes(word_hashes(words, memo), width), return_counts=True)
-                    weights = counts.astype(np.float64) if weighted else None
-                    found.append(band_hashes(dart_signature(elements, weights, k), bands) if len(elements) else np.empty(0, np.int64))
+                    shingles = shingle_hashes(word_hashes(words, memo), width)
+                    elements, times = np.unique(shingles, return_counts=True)
+                    sets.append(elements)
+                    counts.append(times)
+                sizes = np.array([len(x) for x in sets])
+                full = np.flatnonzero(sizes)
+                found = [np.empty(0, np.int64)] * len(sets)
+                if len(full):
+                    weights = np.concatenate(counts).astype(np.float64) if weighted else None
+                    for i, own in zip(full, band_hashes(dart_signatures(sizes[full], np.concatenate(sets), weights, k), bands), strict=True):
+                        found[i] = own
                 yield pd.DataFrame({"id": ids.iloc[lo:hi].to_numpy(), "node": nodes, "bands": found})
 
     return docs.mapInPandas(run, schema)
@@ -228,24 +244,25 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels, first_turn = None, True
     while True:
         members = _relabelled(members, labels)
-        open_buckets = members.groupBy("bucket").agg(
-            F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("pivot"), F.count("*").alias("n")
-        ).where("lo <> hi").drop("lo", "hi")
+        shares = members.groupBy("bucket", "root").agg(F.count("*").alias("c"))
+        cross = F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))  # twice the pairs between components
+        open_buckets = shares.groupBy("bucket").agg((cross <= 2 * CROSS_PAIRS * F.sum("c")).alias("small"), cross.alias("cross")).where("cross > 0").drop("cross")
         members = saved(members.join(open_buckets, "bucket"), "members")
         if members.isEmpty():
             break
-        pivots = members.where("node = pivot").select("bucket", F.col("root").alias("pivot_root"))
-        tests = members.where("node > pivot").join(pivots, "bucket").where("root <> pivot_root").select("node", "pivot", "n")
         if first_turn:
-            # one pivot for each node at first: most join its component, and their other pairs are never tested
-            tests = tests.groupBy("node").agg(F.min("pivot").alias("pivot"))
-            pairs = tests.select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+            # one test for each node at first: most join its component, and their other pairs are never made
+            pivots = members.groupBy("bucket").agg(F.min("node").alias("pivot"))
+            near = members.join(pivots, "bucket").where("node > pivot").groupBy("node").agg(F.min("pivot").alias("pivot"))
+            pairs = near.select(F.col("pivot").alias("a"), F.col("node").alias("b"))
         else:
-            small = members.where(F.col("n") <= SMALL_BUCKET).select("bucket", "node", "root")
-            other = small.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"))
-            close = small.join(other, "bucket").where("node < b and root <> root_b").select(F.col("node").alias("a"), "b")
-            wide = tests.where(F.col("n") > SMALL_BUCKET).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-            pairs = close.unionByName(wide).distinct()
+            chosen = members.where("not small").groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(CROSS_PAIRS))).agg(F.min("node").alias("pivot"))
+            chosen = chosen.select("bucket", "pivot")
+            either = members.where("small").select("bucket", F.col("node").alias("other"), F.col("root").alias("other_root"))
+            wide = members.join(chosen.withColumnRenamed("pivot", "node"), ["bucket", "node"], "left_semi")
+            either = either.unionByName(wide.select("bucket", F.col("node").alias("other"), F.col("root").alias("other_root")))
+            met = members.join(either, "bucket").where("root < other_root or root > other_root and not small")
+            pairs = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         links = saved(similar(pairs, sets, threshold, weighted), "links")
         joined = members.select("node", "root").distinct()
         a = joined.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
@@ -257,11 +274,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             up = found.select(F.col("node").alias("root"), F.col("root").alias("above"))
             moved = labels.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
             labels = saved(moved.unionByName(found.join(labels, "node", "left_anti")), "labels")
-        if first_turn:
-            members = members.drop("pivot", "n")
-        else:
-            # small buckets are done; of wide ones the pivot is
-            members = members.where((F.col("n") > SMALL_BUCKET) & (F.col("node") > F.col("pivot"))).drop("pivot", "n")
+        if not first_turn:
+            # small buckets are done; of wide ones the pivots are
+            members = members.where("not small").join(chosen.withColumnRenamed("pivot", "node"), ["bucket", "node"], "left_anti")
+        members = members.drop("small")
         first_turn = False
 
     if labels is None:
