@@ -130,10 +130,11 @@ def band_hashes(samples: np.ndarray, bands: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE, weighted: bool = False) -> DataFrame:
-    """Rows (id, node, bands) of ``docs(id, text)``; node is a digest of the word sequence."""
+    """Rows (id, key, node, bands) of ``docs(id, key, text)``; node is a digest of the word sequence."""
     schema = T.StructType(
         [
             T.StructField("id", docs.schema["id"].dataType),
+            T.StructField("key", T.LongType()),
             T.StructField("node", T.BinaryType()),
             T.StructField("bands", T.ArrayType(T.LongType())),
         ]
@@ -145,7 +146,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int
 
         memo: dict[str, int] = {}
         for pdf in batches:
-            ids, texts = pdf["id"], pdf["text"].tolist()
+            ids, keys, texts = pdf["id"], pdf["key"], pdf["text"].tolist()
             for lo, hi in text_slices(texts, 1_000_000):
                 nodes, sets, counts = [], [], []
                 for text in texts[lo:hi]:
@@ -162,7 +163,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int
                     weights = np.concatenate(counts).astype(np.float64) if weighted else None
                     for i, own in zip(full, band_hashes(dart_signatures(sizes[full], np.concatenate(sets), weights, k), bands), strict=True):
                         found[i] = own
-                yield pd.DataFrame({"id": ids.iloc[lo:hi].to_numpy(), "node": nodes, "bands": found})
+                yield pd.DataFrame({"id": ids.iloc[lo:hi].to_numpy(), "key": keys.iloc[lo:hi].to_numpy(), "node": nodes, "bands": found})
 
     return docs.mapInPandas(run, schema)
 
@@ -216,7 +217,7 @@ def _relabelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE, weighted: bool = False) -> DataFrame:
-    """Rows (id, class_id, class_size, kept), one per document.
+    """Rows (id, key, class_id, class_size, kept), one per document; key is xxhash64(id, text).
 
     A class is a connected component of documents linked by a similarity of
     ``threshold`` or more on shingles of ``width`` words (lower case, word
@@ -228,7 +229,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document, kept or dropped alike. Other columns are ignored; an empty table
     gives no rows.
     """
-    base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    text = text_of(text_col)
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"))
     signed = saved(signatures(base, bands, rows, width, weighted), "signatures")
     nodes = saved(signed.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "nodes")
     entries = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -281,14 +283,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         first_turn = False
 
     if labels is None:
-        rooted = signed.select("id", "node", F.col("node").alias("root"))
+        rooted = signed.select("id", "key", "node", F.col("node").alias("root"))
     else:
-        rooted = signed.select("id", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rooted = signed.select("id", "key", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = rooted.groupBy("root").agg(F.min(F.struct("id", "node")).alias("best"), F.count("*").alias("class_size"))
     alone = F.col("best").isNull()
     return rooted.join(classes.where("class_size > 1"), "root", "left").select(
         F.col("id").alias(id_col),
+        "key",
         F.when(alone, F.col("id")).otherwise(F.col("best.id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"),
         (alone | (F.struct("id", "node") == F.col("best"))).alias("kept"),
     )
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that stay, one document of each class, with all their columns."""
+    lost = near_groups(docs, id_col, text_col, threshold).where(~F.col("kept")).select(F.col("key").alias("lost_key")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.col(id_col), text_of(text_col)).alias("key"))
+    return rows.join(lost, F.col("key") == F.col("lost_key"), "left_anti").select("row.*")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edit_counts, exact_dedup, near_dedup, packing, sentence_spans, sentencepiece_codec, suffix_dedup, vector_search, warc
+from . import edit_counts, exact_dedup, near_dedup, packing, quality, sentence_spans, sentencepiece_codec, suffix_dedup, vector_search, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -50,6 +50,13 @@ def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.remove_repeated_spans(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under the model of trusted text, and whether it is kept."""
+    docs = _table(spark, sf_dir, "documents")
+    judged = quality.classify(docs, _table(spark, sf_dir, "labels"))
+    return docs.select("doc_id", quality.keys().alias("key")).join(judged, "key").drop("key")
+
+
 def op7_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every twentieth."""
     return vector_search.nearest(_table(spark, sf_dir, "embeddings"), every=20, k=20)
@@ -57,7 +64,7 @@ def op7_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near duplicates of every document."""
-    return near_dedup.near_groups(_table(spark, sf_dir, "documents"))
+    return near_dedup.near_groups(_table(spark, sf_dir, "documents")).drop("key")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +104,6 @@ def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_exact_dedup, op3_warc, op4_packing, op5_sentence_spans, op7_vector_search, op8_near_dedup, op9_suffix_dedup, op10_edit_counts)
+    for f in (op1_sentencepiece, op2_exact_dedup, op3_warc, op4_packing, op5_sentence_spans, op6_quality, op7_vector_search, op8_near_dedup, op9_suffix_dedup, op10_edit_counts)
 }
 ORACLES = {"op2_exact_dedup": OP2_SQL}

@@ -370,7 +370,9 @@ def merged(ranges) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, q: int = Q, hot: int = HOT, carry: bool = False) -> DataFrame:
-    """Rows (id, n_bytes, removed(array of start, stop), kept(binary)), one per document.
+    """Rows (id, n_bytes, removed(array of start, stop), kept(binary), kept_text), one per document.
+
+    ``kept_text`` is without characters that a cut has split.
 
     Places are ordered by id, then start; null ids come first. Null text is
     empty. Rows that repeat id and text are one document and cut alike; a
@@ -392,21 +394,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             rows = []
             for text, found in zip(texts, ranges, strict=True):
                 if text is None:  # nothing to cut: the text stays in the JVM
-                    rows.append((None, None))
+                    rows.append((None, None, None))
                     continue
                 data = text.encode()
                 runs = merged((r["start"], r["stop"]) for r in found)
                 edges = [0, *[x for run in runs for x in run], len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                rows.append(([{"start": a, "stop": b} for a, b in runs], kept))
-            yield pd.DataFrame(rows, columns=["removed", "kept"])
+                rows.append(([{"start": a, "stop": b} for a, b in runs], kept, kept.decode("utf-8", "ignore")))
+            yield pd.DataFrame(rows, columns=["removed", "kept", "kept_text"])
 
-    cut_udf = F.pandas_udf(cut, f"removed {span}, kept binary")
+    cut_udf = F.pandas_udf(cut, f"removed {span}, kept binary, kept_text string")
     touched = both.withColumn("cut", cut_udf(F.when(F.col("ranges").isNotNull(), F.col("text")), "ranges"))
     done = touched.withColumns(
         {
             "removed": F.coalesce("cut.removed", F.array().cast(span)),
+            "kept_text": F.when(F.col("ranges").isNull(), F.col("text")).otherwise(F.col("cut.kept_text")),
             "kept": F.when(F.col("ranges").isNull(), F.col("text").cast("binary")).otherwise(F.col("cut.kept")),
         }
     )
-    return done.select(F.col("id").alias(id_col), F.octet_length("text").cast("long").alias("n_bytes"), "removed", "kept", *(["row"] if carry else []))
+    return done.select(F.col("id").alias(id_col), F.octet_length("text").cast("long").alias("n_bytes"), "removed", "kept", "kept_text", *(["row"] if carry else []))
