@@ -1,4 +1,166 @@
 """Queries over the driver's tables, by name, and the SQL that tells their results."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sparstrata.operators import features, groups, levels, matrix, schedule, solve, tune
+from sparstrata.sources import fixtures as fx
+
+F1 = """f1 as (select i, j, ((n*5+i+j)%7+1)/16.0::double v from
+ (select cast(l_orderkey%384 as bigint) i, cast(l_partkey%384 as bigint) j, count(*) n from lineitem group by 1,2)
+ where j//64 < i//64 and (i*31+j)%23=0 union all select r, r, 8.0::double from range(384) t(r))"""
+RHS = "rhs as (select r i, ((r%5+1)/8.0)::double b from range(384) t(r))"
+SQ = """sq as (select i, j, (((i*7+j)%9+1)/16.0)::double v from
+ (select distinct cast(o_orderkey%512 as bigint) i, cast(o_custkey%512 as bigint) j from orders))"""
+SKEW = "sk as (select distinct cast(case when event_id%4=0 then 0 else event_id%256 end as bigint) i, cast(event_id%4096 as bigint) j from events)"
+PERF = """perf as (select cast(user_id%8 as bigint) matrix, cast(event_id%12 as bigint) plan, min(value)+1 "time" from events group by 1,2)"""
+LEV = """p(i,k) as (select r, 0 from range(384) t(r) union select o.i, p.k+1 from p join f1 o on o.j=p.i and o.i<>o.j),
+ lev as (select i, cast(max(k) as bigint) level from p group by i)"""
+ROWS = "rn as (select i, count(*) n from f1 group by i)"
+THRESH = """th as (select i, n, case when n>4 then i else st + ((i-st)//32)*32 end g from
+ (select i, n, coalesce(max(case when n>4 then i+1 end) over (order by i rows unbounded preceding), 0) st from rn))"""
+SOLVE = """with recursive {f1}, {rhs}, y(i,k,v) as (select i, 0, b/8.0::double from rhs union all
+ select o.{a}, y.k+1, -sum(o.v*y.v)/8.0::double from y join f1 o on o.{b}=y.i and o.i<>o.j group by o.{a}, y.k)
+ select i, sum(v) x from y group by i"""
+FORWARD = SOLVE.format(f1=F1, rhs=RHS, a="i", b="j")
+GLEV = """ge as (select distinct a.g i, b.g j from f1 o join th a on a.i=o.i join th b on b.i=o.j where o.i<>o.j and b.g<a.g),
+ gi as (select distinct a.g from f1 o join th a on a.i=o.i join th b on b.i=o.j where o.i<>o.j and b.g=a.g),
+ q(i,k) as (select distinct g, 0 from th union select o.i, q.k+1 from q join ge o on o.j=q.i),
+ gt as (select th.g, count(*) n_rows, cast(sum(n) as bigint) nnz, (select cast(max(k) as bigint) from q where q.i=th.g) as level,
+  cast((case when count(*)>=8 or exists(select 1 from gi where gi.g=th.g) then 1 else 0 end) + (case when sum(n)>256 then 2 else 0 end)
+  + (case when exists(select 1 from gi where gi.g=th.g) then 0 else 256 end) as bigint) flags from th group by th.g)"""
+GROUPED = f"with recursive {F1}, {ROWS}, {THRESH}, {GLEV}"
+PACK = ", pk as (select g, level part, rn//4 pack, rn%4 lane, nnz from (select *, row_number() over (partition by level order by {order}) - 1 rn from gt))"
+ORD = """, od as (select part, pack, (row_number() over (order by part, pack)) - 1 ordinal, cast(sum(nnz) as bigint) "load" from pk group by part, pack)"""
+SIMPLE, BALANCED = PACK.format(order="g"), PACK.format(order="nnz desc, g")
+BLOCK_SQL = """with t(k) as (select * from range(8)) select cast(2*k as bigint) block, 'triangle' kind, cast(48*k as bigint) up, cast(48*(k+1) as bigint) down, cast(48*k as bigint) "left", cast(48*(k+1) as bigint) "right" from t
+ union all select cast(2*k+1 as bigint), 'rectangle', cast(48*(k+1) as bigint), cast(48*(k+1+((k+1) & (-(k+1)))) as bigint), cast(48*(k+1-((k+1) & (-(k+1)))) as bigint), cast(48*(k+1) as bigint) from t where k<7"""
+
+
+def _l(spark, d):
+    return fx.lower_triangle(spark, d)
+
+
+def _x(spark, n):
+    return spark.range(n).select(F.col("id").alias("i"), (F.col("id") % 5 + 1).cast("double").alias("x"))
+
+
+def _levels(spark, d):
+    return levels.level_sets(_l(spark, d))
+
+
+def _rows(spark, d):
+    return matrix.row_counts(_l(spark, d))
+
+
+def _thresh(spark, d):
+    return groups.by_threshold(_rows(spark, d), 4)
+
+
+def _groups(spark, d):
+    return groups.group_table(_l(spark, d), _thresh(spark, d))
+
+
+def _packs(spark, d, balanced=False):
+    return schedule.packs(_groups(spark, d), 4, balanced=balanced)
+
+
+def _blocks(spark, depth=3):
+    return spark.createDataFrame(solve.block_bounds(fx.M, depth), "block long, kind string, up long, down long, left long, right long")
+
+
+def block_entries(spark, d):
+    """Entries of each block: a range join with the short table of bounds."""
+    a = _l(spark, d)
+    inside = F.expr("i >= up and i < down and j >= left and j < right")
+    found = F.broadcast(_blocks(spark)).join(a, inside, "left").groupBy("block", "kind").agg(F.count("i").alias("nnz"), F.countDistinct("i").alias("n_rows"))
+    return found
+
+
+QUERIES = {
+    "spmv": lambda s, d: matrix.multiply(_l(s, d), _x(s, fx.M)),
+    "spmv_long_row_split": lambda s, d: matrix.multiply_split(fx.skewed(s, d).withColumn("v", F.lit(0.5)), _x(s, 4096), 64),
+    "long_rows": lambda s, d: matrix.long_rows(fx.skewed(s, d), 64),
+    "row_histogram": lambda s, d: matrix.row_counts(fx.square(s, d)),
+    "row_ptr_scan": lambda s, d: matrix.row_pointers(fx.square(s, d), fx.SQUARE),
+    "transpose": lambda s, d: matrix.transpose(fx.square(s, d)),
+    "triangularise": lambda s, d: matrix.lower_part(fx.square(s, d), fx.SQUARE),
+    "sym_expand": lambda s, d: matrix.expand_symmetric(_l(s, d)),
+    "dcsr_rows": lambda s, d: matrix.compact_rows(fx.square(s, d).where("j < i and (i + j) % 3 = 0")),
+    "roots_anti_join": lambda s, d: matrix.roots(_l(s, d)),
+    "edges_distinct": lambda s, d: matrix.edges(_l(s, d), _thresh(s, d)),
+    "level_sets": lambda s, d: _levels(s, d),
+    "level_stats": lambda s, d: levels.level_summary(_levels(s, d)),
+    "level_nnz": lambda s, d: levels.level_sizes(_l(s, d), _levels(s, d)),
+    "level_order": lambda s, d: levels.level_order(_levels(s, d)),
+    "permute_levels": lambda s, d: matrix.permuted(_l(s, d), levels.level_order(_levels(s, d))),
+    "solve_level_loop": lambda s, d: solve.solve_levels(_l(s, d), fx.right_side(s)),
+    "solve_neumann": lambda s, d: solve.solve_series(_l(s, d), fx.right_side(s)),
+    "solve_backward": lambda s, d: solve.solve_backward(_l(s, d), fx.right_side(s)),
+    "solve_recblock": lambda s, d: solve.solve_blocks(_l(s, d), fx.right_side(s), fx.M, 2),
+    "residual_check": lambda s, d: solve.residual(_l(s, d), solve.solve_levels(_l(s, d), fx.right_side(s)), fx.right_side(s)),
+    "group_block": lambda s, d: groups.by_block(_rows(s, d), 8),
+    "group_thresh": lambda s, d: _thresh(s, d),
+    "group_avg": lambda s, d: groups.by_average(_rows(s, d), 4),
+    "group_level_flags": lambda s, d: _groups(s, d),
+    "pack_simple": lambda s, d: _packs(s, d),
+    "pack_balance": lambda s, d: _packs(s, d, True),
+    "worker_rr": lambda s, d: schedule.round_robin(schedule.ordinals(_packs(s, d)), 8),
+    "worker_interleaved": lambda s, d: schedule.interleaved(schedule.ordinals(_packs(s, d)), 8),
+    "worker_balance": lambda s, d: schedule.least_loaded(schedule.ordinals(_packs(s, d)), 8),
+    "worker_imbalance": lambda s, d: schedule.imbalance(schedule.round_robin(schedule.ordinals(_packs(s, d)), 8)),
+    "launch_indep": lambda s, d: schedule.launches(schedule.ordinals(_packs(s, d)), "INDEP_LEVEL"),
+    "launch_one": lambda s, d: schedule.launches(schedule.ordinals(_packs(s, d)), "ONE_LEVEL"),
+    "launch_thresh": lambda s, d: schedule.launches(schedule.ordinals(_packs(s, d)), "THRESH_LEVEL", 8),
+    "recblock_entries": block_entries,
+    "features11": lambda s, d: features.features(_l(s, d), _levels(s, d)).select(*[F.round(c, 6).alias(c) if c[:3] in ("avg", "cov", "dep") else c for c in ("m", "nnz", "avg_rnnz", "max_rnnz", "cov_rnnz", "avg_lnnz", "max_lnnz", "cov_lnnz", "dep_dist", "n_levels")]),
+    "reverse_level": lambda s, d: features.reverse_level(_levels(s, d)).select(F.round("reverse_level", 9).alias("reverse_level")),
+    "tell_layout": lambda s, d: matrix.padded_rows(_l(s, d), 32),
+    "plan_labels": lambda s, d: tune.labels(fx.perf_log(s, d)),
+    "best_plan": lambda s, d: tune.best_plans(fx.perf_log(s, d)),
+    "popular_plan": lambda s, d: tune.popular_plan(fx.perf_log(s, d), 3),
+}
+
+ORACLES = {
+    "spmv": f"with {F1} select i, sum(v*((j%5)+1)) y from f1 group by i",
+    "spmv_long_row_split": f"with {SKEW} select i, sum(0.5::double*((j%5)+1)) y from sk group by i",
+    "long_rows": f"with {SKEW} select i, count(*) n from sk group by i having count(*)>64",
+    "row_histogram": f"with {SQ} select i, count(*) n from sq group by i",
+    "row_ptr_scan": f"with {SQ} select r i, cast(coalesce(sum(n) over (order by r rows between unbounded preceding and 1 preceding),0) as bigint) ptr from (select r, count(sq.i) n from range(512) t(r) left join sq on sq.i=r group by r)",
+    "transpose": f"with {SQ} select j i, i j, v from sq",
+    "triangularise": f"with {SQ} select i, j, v from sq where j<i union all select r, r, cast(count(sq.i)+2 as double) from range(512) t(r) left join sq on sq.i=r and sq.j<r group by r",
+    "sym_expand": f"with {F1} select i, j, v from f1 union all select j, i, v from f1 where i<>j",
+    "dcsr_rows": f"with {SQ} select i, row_number() over (order by i) - 1 as row from (select distinct i from sq where j<i and (i+j)%3=0)",
+    "roots_anti_join": f"with {F1} select i from f1 group by i having count(*)=1",
+    "edges_distinct": f"with {F1}, {ROWS}, {THRESH} select distinct b.g src, a.g dst from f1 o join th a on a.i=o.i join th b on b.i=o.j where o.i<>o.j and b.g<a.g",
+    "level_sets": f"with recursive {F1}, {LEV} select i, level from lev",
+    "level_stats": f"with recursive {F1}, {LEV} select count(*) n_levels, cast(sum(n) as bigint) n_rows, min(n) least, max(n) most, sum(n)/count(*) parallelism from (select count(*) n from lev group by level)",
+    "level_nnz": f"with recursive {F1}, {LEV}, {ROWS} select level, count(*) n_rows, cast(sum(n) as bigint) nnz, max(n) max_row from lev join rn using(i) group by level",
+    "level_order": f"with recursive {F1}, {LEV} select i, row_number() over (order by level, i) - 1 place from lev",
+    "permute_levels": f"with recursive {F1}, {LEV}, o as (select i, row_number() over (order by level, i) - 1 place from lev) select a.place i, b.place j, v from f1 join o a on a.i=f1.i join o b on b.i=f1.j",
+    "solve_level_loop": FORWARD,
+    "solve_neumann": FORWARD,
+    "solve_recblock": FORWARD,
+    "solve_backward": SOLVE.format(f1=F1, rhs=RHS, a="j", b="i"),
+    "residual_check": "select 0.0::double max_error, 0::bigint as "at", 0.0::double rel_l1",
+    "group_block": f"with {F1}, {ROWS} select i, n, (i//8)*8 g from rn",
+    "group_thresh": f"with {F1}, {ROWS}, {THRESH} select i, n, g from th",
+    "group_avg": f"with {F1}, {ROWS} select i, n, case when cast(sum(n) over (partition by i//32) as bigint)//count(*) over (partition by i//32) < 4 then (i//32)*32 else i end g from rn",
+    "group_level_flags": f"{GROUPED} select g, n_rows, nnz, level, flags from gt",
+    "pack_simple": f"{GROUPED}{SIMPLE} select g, part, pack, lane, nnz from pk",
+    "pack_balance": f"{GROUPED}{BALANCED} select g, part, pack, lane, nnz from pk",
+    "worker_rr": f'{GROUPED}{SIMPLE}{ORD} select part, pack, ordinal, "load", ordinal%8 worker from od',
+    "worker_interleaved": f"{GROUPED}{SIMPLE}{ORD} select ordinal, (ordinal%8%2)*4 + (ordinal%8)//2 worker from od",
+    "worker_imbalance": f'{GROUPED}{SIMPLE}{ORD} select count(*) n_workers, min(l) least, max(l) most from (select cast(sum("load") as bigint) l from od group by ordinal%8)',
+    "launch_indep": f"{GROUPED}{SIMPLE}{ORD} select part, count(*) n_packs, part launch from od group by part",
+    "launch_one": f"{GROUPED}{SIMPLE}{ORD} select part, count(*) n_packs, 0::bigint launch from od group by part",
+    "launch_thresh": f"{GROUPED}{SIMPLE}{ORD} select part, n_packs, cast(coalesce(sum(case when n_packs>=8 then 1 else 0 end) over (order by part rows between unbounded preceding and 1 preceding),0) as bigint) launch from (select part, count(*) n_packs from od group by part)",
+    "recblock_entries": f"with {F1}, bl as ({BLOCK_SQL}) select block, kind, count(f1.i) nnz, count(distinct f1.i) n_rows from bl left join f1 on i>=up and i<down and j>=\"left\" and j<\"right\" group by block, kind",
+    "features11": f"with recursive {F1}, {LEV}, r as (select i, count(*) n, cast(sum(i-j) as bigint) dist from f1 group by i), l as (select count(*) n from lev group by level) select * from (select count(*) m, cast(sum(n) as bigint) nnz, round(avg(n),6) avg_rnnz, max(n) max_rnnz, round(stddev_pop(n)/avg(n),6) cov_rnnz, round(sum(dist)/count(*),6) dep_dist from r), (select round(avg(n),6) avg_lnnz, max(n) max_lnnz, round(stddev_pop(n)/avg(n),6) cov_lnnz, count(*) n_levels from l)",
+    "reverse_level": f"with recursive {F1}, {LEV} select round(sum(c/(i+1.0::double))/count(*),9) reverse_level from (select a.i, (select count(*) from lev b where b.i<a.i and b.level>a.level) c from lev a)",
+    "tell_layout": f"with {F1}, {ROWS}, w as (select i//32 g, max(n) width from rn group by 1), e as (select *, row_number() over (partition by i order by i=j, j)-1 as "at" from f1), c as (select rn.i, rn.n, w.g, w.width, s.s slot from rn join w on w.g=rn.i//32, lateral (select unnest(range(w.width)) s) s) select c.g, c.slot, c.i%32 lane, coalesce(e.j,0) j, coalesce(e.v,0.0::double) v from c left join e on e.i=c.i and e."at" = case when c.slot=c.width-1 then c.n-1 when c.slot<c.n-1 then c.slot end",
+    "plan_labels": f'with {PERF} select matrix, plan, min("time") over (partition by matrix)/"time" >= 0.85::double good from perf',
+    "best_plan": f'with {PERF} select matrix, plan, "time" from (select *, row_number() over (partition by matrix order by "time", plan) r from perf) where r=1',
+    "popular_plan": f'with {PERF}, lb as (select matrix, plan, min("time") over (partition by matrix)/"time" >= 0.85::double good from perf where matrix<>3), ch as (select plan from lb group by plan order by count(*) filter (good) desc, plan limit 1) select matrix, plan, ratio from (select *, min("time") over ()/"time" ratio from perf where matrix=3) where plan in (select plan from ch)',
+}
