@@ -1,9 +1,9 @@
 """Best-fit packing of documents into sequences, certified by lower bounds.
 
-Pieces are dealt to pools of bounded size; each pool is packed by best-fit
+Pieces are dealt by length to pools of bounded size; each pool is packed by best-fit
 decreasing. Dual-feasible functions give a lower bound on a pool's bins. A pool
-that meets it is certified and final. Pools with a gap hand documents of their
-emptiest bins on; the handed-on documents of ``fan_in`` neighbouring pools meet in
+that meets it is certified and final. Pools with a gap hand on documents of their
+emptiest bins, and of bins of many small ones; the handed-on documents of ``fan_in`` neighbouring pools meet in
 one pool of the next round, which packs them anew and keeps the better of the
 two arrangements. Rounds go on until all pools are certified or one is left.
 """
@@ -123,9 +123,12 @@ def _repacker(names: list[str], capacity: int, hand_on: int, turn: int, last: bo
         pdf["open"] = False
         if count > bound and not last:
             sizes = np.bincount(bins, lengths)
-            order = np.argsort(sizes, kind="stable")
-            order = order[sizes[order] < capacity]
-            taken = order[np.cumsum(np.bincount(bins)[order]) <= hand_on]
+            pieces = np.bincount(bins)
+            # the emptiest bins, in turn with those of the most pieces, whose small documents fill gaps
+            empty, many = np.argsort(sizes, kind="stable"), np.argsort(-pieces, kind="stable")
+            turns = np.column_stack([empty, many]).reshape(-1)
+            order = turns[np.sort(np.unique(turns, return_index=True)[1])]
+            taken = order[np.cumsum(pieces[order]) <= hand_on]
             pdf["open"] = np.isin(bins, taken)
         return pdf[names]
 
@@ -140,14 +143,17 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, pool_pieces: int = POOL_PI
     names = pieces.columns
     pieces = saved(pieces, "pieces")
     pools = max(1, -(-pieces.count() // pool_pieces))
-    live = pieces.select(
+    # sorted by length and dealt in turn, so that all pools hold like mixtures of lengths
+    dealt = pieces.repartitionByRange("length", "uid").sortWithinPartitions("length", "uid")
+    live = dealt.select(
         "*",
         F.lit(None).cast("long").alias("sequence_id"),
         F.lit(None).cast("long").alias("offset"),
         F.lit(False).alias("certified"),
         F.lit(False).alias("open"),
-        F.pmod(F.xxhash64("uid"), F.lit(pools)).alias("pool"),
+        F.pmod(F.monotonically_increasing_id(), F.lit(pools)).alias("pool"),
     )
+    live = saved(live, "pools")
     schema = live.schema
     hand_on = pool_pieces // fan_in
     done, turn = [], 0
