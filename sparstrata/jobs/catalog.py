@@ -143,7 +143,7 @@ ORACLES = {
     "solve_neumann": FORWARD,
     "solve_recblock": FORWARD,
     "solve_backward": SOLVE.format(f1=F1, rhs=RHS, a="j", b="i"),
-    "residual_check": "select 0.0::double max_error, 0::bigint as "at", 0.0::double rel_l1",
+    "residual_check": 'select 0.0::double max_error, 0::bigint as "at", 0.0::double rel_l1',
     "group_block": f"with {F1}, {ROWS} select i, n, (i//8)*8 g from rn",
     "group_thresh": f"with {F1}, {ROWS}, {THRESH} select i, n, g from th",
     "group_avg": f"with {F1}, {ROWS} select i, n, case when cast(sum(n) over (partition by i//32) as bigint)//count(*) over (partition by i//32) < 4 then (i//32)*32 else i end g from rn",
@@ -159,7 +159,7 @@ ORACLES = {
     "recblock_entries": f"with {F1}, bl as ({BLOCK_SQL}) select block, kind, count(f1.i) nnz, count(distinct f1.i) n_rows from bl left join f1 on i>=up and i<down and j>=\"left\" and j<\"right\" group by block, kind",
     "features11": f"with recursive {F1}, {LEV}, r as (select i, count(*) n, cast(sum(i-j) as bigint) dist from f1 group by i), l as (select count(*) n from lev group by level) select * from (select count(*) m, cast(sum(n) as bigint) nnz, round(avg(n),6) avg_rnnz, max(n) max_rnnz, round(stddev_pop(n)/avg(n),6) cov_rnnz, round(sum(dist)/count(*),6) dep_dist from r), (select round(avg(n),6) avg_lnnz, max(n) max_lnnz, round(stddev_pop(n)/avg(n),6) cov_lnnz, count(*) n_levels from l)",
     "reverse_level": f"with recursive {F1}, {LEV} select round(sum(c/(i+1.0::double))/count(*),9) reverse_level from (select a.i, (select count(*) from lev b where b.i<a.i and b.level>a.level) c from lev a)",
-    "tell_layout": f"with {F1}, {ROWS}, w as (select i//32 g, max(n) width from rn group by 1), e as (select *, row_number() over (partition by i order by i=j, j)-1 as "at" from f1), c as (select rn.i, rn.n, w.g, w.width, s.s slot from rn join w on w.g=rn.i//32, lateral (select unnest(range(w.width)) s) s) select c.g, c.slot, c.i%32 lane, coalesce(e.j,0) j, coalesce(e.v,0.0::double) v from c left join e on e.i=c.i and e."at" = case when c.slot=c.width-1 then c.n-1 when c.slot<c.n-1 then c.slot end",
+    "tell_layout": f"""with {F1}, {ROWS}, w as (select i//32 g, max(n) width from rn group by 1), e as (select *, row_number() over (partition by i order by i=j, j)-1 as "at" from f1), c as (select rn.i, rn.n, w.g, w.width, s.s slot from rn join w on w.g=rn.i//32, lateral (select unnest(range(w.width)) s) s) select c.g, c.slot, c.i%32 lane, coalesce(e.j,0) j, coalesce(e.v,0.0::double) v from c left join e on e.i=c.i and e."at" = case when c.slot=c.width-1 then c.n-1 when c.slot<c.n-1 then c.slot end""",
     "plan_labels": f'with {PERF} select matrix, plan, min("time") over (partition by matrix)/"time" >= 0.85::double good from perf',
     "best_plan": f'with {PERF} select matrix, plan, "time" from (select *, row_number() over (partition by matrix order by "time", plan) r from perf) where r=1',
     "popular_plan": f'with {PERF}, lb as (select matrix, plan, min("time") over (partition by matrix)/"time" >= 0.85::double good from perf where matrix<>3), ch as (select plan from lb group by plan order by count(*) filter (good) desc, plan limit 1) select matrix, plan, ratio from (select *, min("time") over ()/"time" ratio from perf where matrix=3) where plan in (select plan from ch)',
