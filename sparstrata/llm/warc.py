@@ -26,6 +26,8 @@ from .common import fresh_path, saved
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 64 << 20
 LEVEL = 3
+#: Tasks at most that read bundles back.
+READ_TASKS = 4096
 
 # Fixed values of the seekable format: a skippable frame's magic number, the table's own, and its flags.
 SKIPPABLE = 0x184D2A5E
@@ -226,7 +228,9 @@ def read_bundles(index: DataFrame, folder: str, id_col: str = "page_id") -> Data
                             rows.append(_parsed(header, block, number))
                         yield pd.DataFrame(rows, columns=schema.names).astype({id_col: object, "refers_to": object})
 
-    return index.select("bundle").distinct().mapInPandas(read, schema)
+    # names are small but stand for whole files: a set number of partitions is not coalesced by their size
+    bundles = index.select("bundle").distinct()
+    return bundles.repartition(max(1, min(bundles.count(), READ_TASKS)), "bundle").mapInPandas(read, schema)
 
 
 def lookup(index: DataFrame, folder: str, wanted: DataFrame, id_col: str = "page_id") -> DataFrame:
