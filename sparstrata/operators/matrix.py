@@ -65,8 +65,12 @@ def long_rows(a: DataFrame, longest: int) -> DataFrame:
 
 
 def compact_rows(a: DataFrame) -> DataFrame:
-    """(row, i): numbers of the non-empty rows."""
-    return a.select("i").distinct().withColumn("row", F.row_number().over(Window.orderBy("i")).cast("long") - 1)
+    """(i, row): numbers of the non-empty rows, by ranks inside blocks of rows and the blocks' totals."""
+    rows = a.select("i").distinct().withColumn("block", F.expr("i div 4096"))
+    totals = rows.groupBy("block").agg(F.count("*").alias("total"))
+    before = totals.alias("a").join(totals.alias("b"), F.expr("b.block < a.block"), "left").groupBy(F.col("a.block").alias("block")).agg(F.coalesce(F.sum("b.total"), F.lit(0)).alias("base"))
+    rank = F.row_number().over(Window.partitionBy("block").orderBy("i")).cast("long") - 1
+    return rows.withColumn("rank", rank).join(before, "block").select("i", (F.col("base") + F.col("rank")).alias("row"))
 
 
 def roots(a: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def read_market(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_market(a: DataFrame, path: str, m: int, n: int) -> None:
-    """Banner and size in one file, entries in others; a reader takes the folder."""
+    """A folder with banner and size in one file and entries in others; concatenate them, that one first, for ``read_market``."""
     spark = a.sparkSession
     head = spark.createDataFrame([(0, f"%%MatrixMarket matrix coordinate real general\n{m} {n} {a.count()}")], "part int, value string")
     head.select("value").coalesce(1).write.mode("overwrite").text(path)
