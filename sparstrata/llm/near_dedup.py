@@ -109,13 +109,12 @@ def dart_signatures(sizes: np.ndarray, elements: np.ndarray, weights: np.ndarray
             owners.append(owner[live][inside])
         ranks, seeds, owners = np.concatenate(ranks), mix(np.concatenate(seeds)), np.concatenate(owners)
         slot = owners * k + (seeds % np.uint64(k)).astype(np.int64)
-        order = np.lexsort((ranks, slot))
-        slot, seeds = slot[order], seeds[order]
-        first = np.ones(len(slot), bool)
-        first[1:] = slot[1:] != slot[:-1]
+        earliest = np.full(out.size, np.inf)
+        np.minimum.at(earliest, slot, ranks)
+        first = ranks == earliest[slot]
         out.reshape(-1)[slot[first]] = seeds[first]
         # sets with a coordinate that no dart hit look further, which keeps their earlier darts
-        short = np.bincount(slot[first] // k, minlength=len(sizes)) < k
+        short = np.isinf(earliest.reshape(-1, k)).any(axis=1)
         limit = np.where(short, 2 * limit, limit)
         todo = todo[short[owner[todo]]]
     return out
