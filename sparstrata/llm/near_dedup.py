@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -48,15 +49,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(words: list[str], memo: dict[str, int]) -> np.ndarray:
-    import xxhash
-
-    if len(memo) > 400_000:
-        memo.clear()
-    for w in set(words):
-        if w not in memo:
-            memo[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+@cache
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """For each character, whether it is part of a word, and its random number."""
+    part = np.fromiter((WORD.match(chr(c)) is not None for c in range(0x110000)), bool, 0x110000)
+    return part, mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def word_hashes(texts: list[str]) -> list[np.ndarray]:
+    """Hashes of the words of each text in lower case: polynomials over the random numbers of their characters."""
+    part, numbers = _characters()
+    lower = [t.lower() for t in texts]
+    codes = np.frombuffer("\n".join([*lower, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+    inside = part[codes]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, stops = edges[::2], edges[1::2]
+    lengths = stops - starts
+    ends = np.cumsum([len(t) + 1 for t in lower])
+    if not len(starts):
+        return [np.empty(0, np.uint64)] * len(texts)
+    powers = np.full(int(lengths.max()), 0xD1342543DE82EF95, np.uint64)
+    powers[0] = 1
+    powers = np.cumprod(powers)
+    firsts = np.cumsum(lengths) - lengths
+    terms = numbers[codes[inside]] * powers[np.arange(int(lengths.sum())) - np.repeat(firsts, lengths)]
+    hashes = mix(np.add.reduceat(terms, firsts) + lengths.astype(np.uint64))
+    return np.split(hashes, np.searchsorted(starts, ends[:-1]))
 
 
 def shingle_hashes(hashes: np.ndarray, width: int = SHINGLE) -> np.ndarray:
@@ -129,12 +147,13 @@ def band_hashes(samples: np.ndarray, bands: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE, weighted: bool = False) -> DataFrame:
-    """Rows (id, key, node, bands) of ``docs(id, key, text)``; node is a digest of the word sequence."""
+    """Rows (id, key, node, size, bands) of ``docs(id, key, text)``: node a digest of the word sequence, size the weight of its shingles."""
     schema = T.StructType(
         [
             T.StructField("id", docs.schema["id"].dataType),
             T.StructField("key", T.LongType()),
             T.StructField("node", T.BinaryType()),
+            T.StructField("size", T.LongType()),
             T.StructField("bands", T.ArrayType(T.LongType())),
         ]
     )
@@ -143,16 +162,13 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        memo: dict[str, int] = {}
         for pdf in batches:
             ids, keys, texts = pdf["id"], pdf["key"], pdf["text"].tolist()
             for lo, hi in text_slices(texts, 1_000_000):
                 nodes, sets, counts = [], [], []
-                for text in texts[lo:hi]:
-                    words = WORD.findall(text.lower())
-                    nodes.append(xxhash.xxh3_128_digest("\n".join(words)))
-                    shingles = shingle_hashes(word_hashes(words, memo), width)
-                    elements, times = np.unique(shingles, return_counts=True)
+                for words in word_hashes(texts[lo:hi]):
+                    nodes.append(xxhash.xxh3_128_digest(words.tobytes()))
+                    elements, times = np.unique(shingle_hashes(words, width), return_counts=True)
                     sets.append(elements)
                     counts.append(times)
                 sizes = np.array([len(x) for x in sets])
@@ -162,7 +178,8 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int
                     weights = np.concatenate(counts).astype(np.float64) if weighted else None
                     for i, own in zip(full, band_hashes(dart_signatures(sizes[full], np.concatenate(sets), weights, k), bands), strict=True):
                         found[i] = own
-                yield pd.DataFrame({"id": ids.iloc[lo:hi].to_numpy(), "key": keys.iloc[lo:hi].to_numpy(), "node": nodes, "bands": found})
+                totals = [int(c.sum()) for c in counts] if weighted else sizes
+                yield pd.DataFrame({"id": ids.iloc[lo:hi].to_numpy(), "key": keys.iloc[lo:hi].to_numpy(), "node": nodes, "size": totals, "bands": found})
 
     return docs.mapInPandas(run, schema)
 
@@ -174,15 +191,13 @@ def shingle_sets(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        memo: dict[str, int] = {}
         for pdf in batches:
             nodes, texts = pdf["node"].tolist(), pdf["text"].tolist()
             for lo, hi in text_slices(texts):
                 rows = []
-                for node, text in zip(nodes[lo:hi], texts[lo:hi], strict=True):
-                    words = WORD.findall(text.lower())
-                    if xxhash.xxh3_128_digest("\n".join(words)) == node:
-                        rows.append((node, *np.unique(shingle_hashes(word_hashes(words, memo), width).view(np.int64), return_counts=True)))
+                for node, words in zip(nodes[lo:hi], word_hashes(texts[lo:hi]), strict=True):
+                    if xxhash.xxh3_128_digest(words.tobytes()) == node:
+                        rows.append((node, *np.unique(shingle_hashes(words, width).view(np.int64), return_counts=True)))
                 yield pd.DataFrame(rows, columns=["node", "shingles", "counts"])
 
     return docs.mapInPandas(run, schema)
@@ -231,8 +246,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = text_of(text_col)
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"))
     signed = saved(signatures(base, bands, rows, width, weighted), "signatures")
-    nodes = saved(signed.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "nodes")
-    entries = nodes.select("node", F.explode("bands").alias("bucket"))
+    nodes = saved(signed.groupBy("node").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
+    entries = nodes.select("node", "size", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     members = saved(entries.join(shared, "bucket"), "buckets")
 
@@ -242,6 +257,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # an id may repeat, with the same text or another
     sets = saved(shingle_sets(texts, width).dropDuplicates(["node"]), "shingles")
 
+    def comparable(one: str, other: str):
+        """Sets are not similar if one is smaller than the threshold's share of the other."""
+        return F.least(one, other) >= threshold * F.greatest(one, other) - 1e-9
+
     labels, first_turn = None, True
     while True:
         members = _relabelled(members, labels)
@@ -253,16 +272,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
         if first_turn:
             # one test for each node at first: most join its component, and their other pairs are never made
-            pivots = members.groupBy("bucket").agg(F.min("node").alias("pivot"))
-            near = members.join(pivots, "bucket").where("node > pivot").groupBy("node").agg(F.min("pivot").alias("pivot"))
+            pivots = members.groupBy("bucket").agg(F.min(F.struct("node", "size")).alias("best"))
+            pivots = pivots.select("bucket", F.col("best.node").alias("pivot"), F.col("best.size").alias("pivot_size"))
+            near = members.join(pivots, "bucket").where("node > pivot").where(comparable("size", "pivot_size")).groupBy("node").agg(F.min("pivot").alias("pivot"))
             pairs = near.select(F.col("pivot").alias("a"), F.col("node").alias("b"))
         else:
             chosen = members.where("not small").groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(CROSS_PAIRS))).agg(F.min("node").alias("pivot"))
             chosen = chosen.select("bucket", "pivot")
-            either = members.where("small").select("bucket", F.col("node").alias("other"), F.col("root").alias("other_root"))
+            either = members.where("small").select("bucket", F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("size").alias("other_size"))
             wide = members.join(chosen.withColumnRenamed("pivot", "node"), ["bucket", "node"], "left_semi")
-            either = either.unionByName(wide.select("bucket", F.col("node").alias("other"), F.col("root").alias("other_root")))
-            met = members.join(either, "bucket").where("root < other_root or root > other_root and not small")
+            either = either.unionByName(wide.select("bucket", F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("size").alias("other_size")))
+            met = members.join(either, "bucket").where("root < other_root or root > other_root and not small").where(comparable("size", "other_size"))
             pairs = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         links = saved(similar(pairs, sets, threshold, weighted), "links")
         joined = members.select("node", "root").distinct()
