@@ -74,7 +74,7 @@ def spans_of(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
 def repeated_sentences(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """Rows (key, ranges): for each keyed document the spans (at, width) that an earlier place has too."""
-    spans = spans_of(docs, span)
+    spans = saved(spans_of(docs, span), "all-spans")  # read twice, cut from the texts once
     # partial sums make a span that is everywhere one row per task
     firsts = spans.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "at")).alias("first")).where("n > 1")
     later = spans.join(firsts, ["h1", "h2"]).where(F.struct("id", "key", "at") > F.col("first"))
