@@ -12,8 +12,8 @@ Texts with equal word sequences are one node, so copies never meet as pairs.
 Nodes that share a band are candidates. All candidate links are decided by the
 exact similarity, but links inside a component found already are not needed:
 first every node is tested against one pivot of its buckets, components grow,
-and then buckets test only pairs between components, wide ones by a few pivots a
-turn until none is left.
+and then buckets test only pairs between components, wide ones by a few pivots at
+first and by several times as many each turn until no pair is left.
 """
 
 from __future__ import annotations
@@ -35,8 +35,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 32
 ROWS = 4
-#: A bucket tests all its pairs between components at once if they are no more than this for each member, else by so many pivots a turn.
+#: A bucket tests all its pairs between components at once if they are no more than this for each member, else by so many pivots.
 CROSS_PAIRS = 32
+#: Both grow by this factor each turn: a bucket without links ends after a logarithm of turns, one with links shrinks between them.
+TURN_GROWTH = 4
 
 MASK = (1 << 64) - 1
 WORD = re.compile(r"\w+")
@@ -261,12 +263,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         """Sets are not similar if one is smaller than the threshold's share of the other."""
         return F.least(one, other) >= threshold * F.greatest(one, other) - 1e-9
 
-    labels, first_turn = None, True
+    labels, first_turn, reach = None, True, CROSS_PAIRS
     while True:
         members = _relabelled(members, labels)
         shares = members.groupBy("bucket", "root").agg(F.count("*").alias("c"))
         cross = F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))  # twice the pairs between components
-        open_buckets = shares.groupBy("bucket").agg((cross <= 2 * CROSS_PAIRS * F.sum("c")).alias("small"), cross.alias("cross")).where("cross > 0").drop("cross")
+        open_buckets = shares.groupBy("bucket").agg((cross <= 2 * reach * F.sum("c")).alias("small"), cross.alias("cross")).where("cross > 0").drop("cross")
         members = saved(members.join(open_buckets, "bucket"), "members")
         if members.isEmpty():
             break
@@ -277,7 +279,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             near = members.join(pivots, "bucket").where("node > pivot").where(comparable("size", "pivot_size")).groupBy("node").agg(F.min("pivot").alias("pivot"))
             pairs = near.select(F.col("pivot").alias("a"), F.col("node").alias("b"))
         else:
-            chosen = members.where("not small").groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(CROSS_PAIRS))).agg(F.min("node").alias("pivot"))
+            chosen = members.where("not small").groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(reach))).agg(F.min("node").alias("pivot"))
             chosen = chosen.select("bucket", "pivot")
             either = members.where("small").select("bucket", F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("size").alias("other_size"))
             wide = members.join(chosen.withColumnRenamed("pivot", "node"), ["bucket", "node"], "left_semi")
@@ -298,6 +300,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if not first_turn:
             # small buckets are done; of wide ones the pivots are
             members = members.where("not small").join(chosen.withColumnRenamed("pivot", "node"), ["bucket", "node"], "left_anti")
+            reach *= TURN_GROWTH
         members = members.drop("small")
         first_turn = False
 
