@@ -19,8 +19,9 @@ from .common import saved, text_of
 from .tokenization import text_slices
 
 SPAN = 3
-#: A sentence with the blanks behind it: up to closing marks followed by a blank, or a line end.
-SENTENCE = re.compile(r"[^\s](?:[^.!?\n]|[.!?]+(?![.!?\s\"')\]]))*(?:[.!?]+[\"')\]]*(?=\s|$)|(?=\n|$))\s*|\s+|.", re.DOTALL)
+#: A sentence with the blanks behind it: up to closing marks followed by a blank, or a line end. End marks not followed
+#: by a blank, closing marks or not, are ordinary characters, so no character of a word is a sentence of its own.
+SENTENCE = re.compile(r"\S(?:[^.!?\n]++|[.!?]++[\"')\]]*+(?!\s|\Z))*+(?:[.!?]+[\"')\]]*)?\s*|\s+")
 SHORT = re.compile(r"\w+")
 
 

@@ -127,6 +127,14 @@ def test_sentence_spans(spark):
     assert found[2].text == "Other start here. Other end." and found[5].text == "" and found[4].text == "Short."
 
 
+@pytest.mark.parametrize("mark", ['.),', '."[3]', '.)x', '!"-', "?'],", '...").'])
+def test_sentences_with_closing_marks_inside(mark):
+    text = f"\n He lives here (in the U.S{mark} but works there. Fine.\n\nLast{mark}"
+    tiles = [text[a:b] for a, b in sentence_spans.sentences(text)]
+    first = [f"He lives here (in the U.S{mark} but works there. "] if mark[-1] != "." else [f"He lives here (in the U.S{mark} ", "but works there. "]
+    assert tiles == ["\n ", *first, "Fine.\n\n", f"Last{mark}"]
+
+
 def test_quality_probabilities_sum_to_one(spark):
     docs = spark.createDataFrame([("en", "abcab cab abac"), ("en", "bca cba"), ("de", "xyz")], "lang string, text string")
     models = quality.train(docs)
