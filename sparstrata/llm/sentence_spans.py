@@ -1,8 +1,11 @@
 """Substring deduplication by sliding sentence spans.
 
-Every run of ``span`` consecutive sentences is hashed; hashes are joined over
-the whole corpus; sentences that any non-first occurrence of a repeated span
-covers are removed. A document shorter than a span is one span of all it has.
+A span is a run of consecutive sentences of ``least`` words or more that has none
+shorter from its first sentence on, or none shorter up to its last; one long
+sentence is a span, too. Spans are hashed; hashes are joined over the whole corpus;
+sentences that any non-first occurrence of a repeated span covers are removed. So
+whole sentences that repeat together go wherever they stand, if they have ``least``
+words. A document of fewer words is one span of all it has.
 """
 
 from __future__ import annotations
@@ -18,7 +21,8 @@ from pyspark.sql import types as T
 from .common import saved, text_of
 from .tokenization import text_slices
 
-SPAN = 3
+#: Words of a span at least, far fewer than the 50 of a passage, which may be cut within its first and last sentence.
+LEAST = 15
 #: A sentence with the blanks behind it: up to closing marks followed by a blank, or a line end. End marks not followed
 #: by a blank, closing marks or not, are ordinary characters, so no character of a word is a sentence of its own.
 SENTENCE = re.compile(r"\S(?:[^.!?\n]++|[.!?]++[\"')\]]*+(?!\s|\Z))*+(?:[.!?]+[\"')\]]*)?\s*|\s+")
@@ -35,16 +39,44 @@ def sentence_key(sentence: str) -> str:
     return " ".join(SHORT.findall(sentence.lower()))
 
 
+def spans_in(sizes: list[int], least: int = LEAST) -> list[tuple[int, int]]:
+    """Ranges (start, stop) of the spans of sentences with these numbers of words, each at least 1."""
+    if sum(sizes) < least:
+        return [(0, len(sizes))] if sizes else []
+    found, start, held = set(), 0, 0
+    for stop, size in enumerate(sizes, 1):
+        held += size
+        if held >= least:
+            while held - sizes[start] >= least:
+                # the shortest from ``start`` on has ended before
+                held -= sizes[start]
+                start += 1
+            found.add((start, stop))
+    stop = held = 0
+    for start, size in enumerate(sizes):
+        while held < least and stop < len(sizes):
+            held += sizes[stop]
+            stop += 1
+        if held < least:
+            break
+        found.add((start, stop))
+        held -= size
+    return sorted(found)
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # rows that repeat id and text are one document; a repeated id with another text is another document
     text = text_of(text_col)
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"))
 
 
-def spans_of(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """Rows (h1, h2, id, key, at): one per span of a keyed document, ``at`` its first sentence."""
+def spans_of(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """Rows (h1, h2, id, key, at, width): one per span of a keyed document, ``at`` its first sentence.
+
+    h1 and h2 are 96 bits of the hash, which keeps the exchanges small.
+    """
     schema = T.StructType(
-        [T.StructField(c, T.LongType()) for c in ("h1", "h2")]
+        [T.StructField("h1", T.LongType()), T.StructField("h2", T.IntegerType())]
         + [T.StructField("id", docs.schema["id"].dataType)]
         + [T.StructField(c, T.LongType()) for c in ("key", "at", "width")]
     )
@@ -60,30 +92,32 @@ def spans_of(docs: DataFrame, span: int = SPAN) -> DataFrame:
                 for doc, key, text in zip(ids[lo:hi], keys[lo:hi], texts[lo:hi], strict=True):
                     # sentences without a word are carried by their neighbours
                     found = [(i, k) for i, (a, b) in enumerate(sentences(text)) if (k := sentence_key(text[a:b]))]
-                    for j in range(max(1, len(found) - span + 1) if found else 0):
-                        part = found[j : j + span]
+                    for start, stop in spans_in([k.count(" ") + 1 for _, k in found], least):
+                        part = found[start:stop]
                         digests.append(xxhash.xxh3_128_digest("\n".join(k for _, k in part)))
                         ats.append(part[0][0])
                         widths.append(part[-1][0] - part[0][0] + 1)
                         owners.append(doc)
                         own_keys.append(key)
-                halves = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
-                yield pd.DataFrame({"h1": halves[:, 0], "h2": halves[:, 1], "id": owners, "key": own_keys, "at": ats, "width": widths})
+                halves = np.frombuffer(b"".join(digests), dtype=[("h1", "<i8"), ("h2", "<i4"), ("rest", "<i4")])
+                yield pd.DataFrame({"h1": halves["h1"], "h2": halves["h2"], "id": owners, "key": own_keys, "at": ats, "width": widths})
 
     return docs.mapInPandas(run, schema)
 
 
-def repeated_sentences(docs: DataFrame, span: int = SPAN) -> DataFrame:
+def repeated_sentences(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Rows (key, ranges): for each keyed document the spans (at, width) that an earlier place has too."""
-    spans = saved(spans_of(docs, span), "all-spans")  # read twice, cut from the texts once
+    spans = saved(spans_of(docs, least), "all-spans")  # read twice, cut from the texts once
     # partial sums make a span that is everywhere one row per task
     firsts = spans.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "at")).alias("first")).where("n > 1")
-    later = spans.join(firsts, ["h1", "h2"]).where(F.struct("id", "key", "at") > F.col("first"))
+    # no place is before the first, so a later one is another one; the key tells the id
+    first = firsts.select("h1", "h2", F.struct(F.col("first.key").alias("key"), F.col("first.at").alias("at")).alias("first"))
+    later = spans.drop("id").join(first, ["h1", "h2"]).where(F.struct("key", "at") != F.col("first"))
     # of a document at most its own spans meet here
     return later.groupBy("key").agg(F.collect_set(F.struct("at", "width")).alias("ranges"))
 
 
-def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """Rows (id, n_sentences, n_removed, removed(array of start, stop), text): text without repeated spans.
 
     The first occurrence, by id and then place, stays. Null text is empty. Rows
@@ -91,7 +125,7 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
     come first. Other columns are ignored; an empty table gives no rows.
     """
     keyed = _keyed(docs, id_col, text_col)
-    marks = saved(repeated_sentences(keyed, span), "spans")
+    marks = saved(repeated_sentences(keyed, least), "spans")
     schema = T.StructType(
         [
             T.StructField(id_col, docs.schema[id_col].dataType),

@@ -127,6 +127,33 @@ def test_sentence_spans(spark):
     assert found[2].text == "Other start here. Other end." and found[5].text == "" and found[4].text == "Short."
 
 
+@pytest.mark.parametrize("sizes", [(55,), (60,), (25, 30), (50, 4), (4, 50), (20, 15, 17), (48, 3, 4), (3, 4, 46), (14, 30, 14)])
+def test_passages_of_few_sentences(spark, sizes):
+    rng = random.Random(sum(sizes))
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    whole = " ".join(fresh(n) + "." for n in sizes)
+    line = whole.replace(".", "") if len(sizes) == 1 else whole
+    # in longer documents, a document of its own, and cut in mid-sentence at both ends
+    docs = [f"{fresh(9)}. {whole} {fresh(7)}.", f"{fresh(12)}. {fresh(3)}! {whole} {fresh(20)}.", whole, f"{fresh(5)}.\n{line}\n{fresh(8)}.", f"{fresh(6)} of. {fresh(30)}."]
+    cut = f"{fresh(6)}. {whole} {fresh(6)}"
+    docs += [f"{fresh(9)} {cut} {fresh(9)}.", f"{fresh(4)} {cut} {fresh(5)}."]
+    found = {r.doc_id: r for r in sentence_spans.remove_repeated_spans(spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string")).collect()}
+    assert found[0].text == docs[0] and found[4].text == docs[4] and found[2].text == ""
+    assert all(found[i].n_removed == len(sizes) and found[i].text == docs[i].replace(whole + " ", "").replace(line + "\n", "") for i in (1, 3, 5, 6))
+
+
+def test_spans_cover_whole_repeats():
+    rng = random.Random(5)
+    for _ in range(300):
+        sizes = [rng.randrange(1, 25) for _ in range(rng.randrange(1, 15))]
+        spans = sentence_spans.spans_in(sizes)
+        cheap = [(a, b) for a, b in combinations(range(len(sizes) + 1), 2) if sum(sizes[a:b]) >= 15]
+        wanted = {(a, b) for a, b in cheap if sum(sizes[a : b - 1]) < 15 or sum(sizes[a + 1 : b]) < 15}
+        assert spans == (sorted(wanted) or [(0, len(sizes))])
+        for a, b in cheap:
+            assert {i for s, e in spans if a <= s and e <= b for i in range(s, e)} == set(range(a, b))
+
+
 @pytest.mark.parametrize("mark", ['.),', '."[3]', '.)x', '!"-', "?'],", '...").'])
 def test_sentences_with_closing_marks_inside(mark):
     text = f"\n He lives here (in the U.S{mark} but works there. Fine.\n\nLast{mark}"
