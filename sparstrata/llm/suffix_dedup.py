@@ -39,6 +39,7 @@ Q = 16
 HOT = 4096
 BUCKET_CONTEXTS = 20_000
 #: A place packs 40 bits of a document's key and 24 of a position; wrong extra marks do no harm.
+#: Hot marks have bits of the anchor's hash with them, so that all occurrences of an anchor are hot or none.
 PLACE_BITS = 24
 
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -91,8 +92,21 @@ def places_of(keys: np.ndarray, positions: np.ndarray) -> np.ndarray:
     return ((keys.view(np.uint64) & ~low) | (positions.astype(np.uint64) & low)).view(np.int64)
 
 
+def hot_tags(hashes: np.ndarray) -> np.ndarray:
+    """38 bits of the hashes, never 0."""
+    return (hashes.view(np.uint64) >> np.uint64(27) << np.uint64(1) | np.uint64(1)).view(np.int64)
+
+
+def marked_and_hot(at: np.ndarray, hashes: np.ndarray, marks: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which anchors have a mark at their place, and which a hot one with their own tag."""
+    known, place = np.unique(marks, return_inverse=True)
+    own = np.searchsorted(known, at)
+    found = np.isin(at, known)
+    return found, found & np.isin(own << 38 | hot_tags(hashes), place.reshape(-1) << 38 | tags)
+
+
 def repeated_anchors(keyed: DataFrame, length: int, q: int, hot: int) -> DataFrame:
-    """Rows (place, hot) of anchors that occur more than once, and maybe a few more at partition ends."""
+    """Rows (place, tag) of anchors that occur more than once, and maybe a few more at partition ends; the tag is 0 if not hot."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -113,11 +127,11 @@ def repeated_anchors(keyed: DataFrame, length: int, q: int, hot: int) -> DataFra
         edge = (run == 0) | (run == len(starts) - 1)
         many = counts[run]
         take = edge | (many > 1)
-        yield pd.DataFrame({"place": places[take], "hot": (edge | (many > hot))[take]})
+        yield pd.DataFrame({"place": places[take], "tag": np.where(edge | (many > hot), hot_tags(hashes), 0)[take]})
 
     anchors = keyed.select("key", "text").mapInPandas(emit, "hash long, place long")
     ranged = anchors.repartitionByRange("hash", "place").sortWithinPartitions("hash", "place")
-    return ranged.mapInPandas(repeats, "place long, hot boolean")
+    return ranged.mapInPandas(repeats, "place long, tag long")
 
 
 def suffix_ranks(flat: np.ndarray) -> list[np.ndarray]:
@@ -287,7 +301,7 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, q: int = Q, hot: int =
     buckets = max(1, -(-marks.count() // BUCKET_CONTEXTS))
     low = (1 << PLACE_BITS) - 1
     by_doc = marks.groupBy(F.col("place").bitwiseAND(F.lit(~low)).alias("doc")).agg(
-        F.collect_list(F.col("place").bitwiseAND(F.lit(low)) * 2 + F.col("hot").cast("long")).alias("marks")
+        F.collect_list(F.shiftleft("tag", PLACE_BITS) + F.col("place").bitwiseAND(F.lit(low))).alias("marks")
     )
     marked = docs.withColumn("doc", F.col("key").bitwiseAND(F.lit(~low))).join(by_doc, "doc")
 
@@ -301,10 +315,10 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, q: int = Q, hot: int =
             for a, b in text_slices(texts, 1_000_000):
                 datas = [t.encode() for t in texts[a:b]]
                 hashes, doc, anchor, lo, hi = anchor_runs(datas, length, q)
-                marked_at = np.concatenate([np.asarray(m, np.int64) + (i << (PLACE_BITS + 1)) for i, m in enumerate(own[a:b])])
-                wanted = (doc << (PLACE_BITS + 1)) + ((anchor & low) << 1)
-                is_hot = np.isin(wanted + 1, marked_at)
-                take = np.flatnonzero(is_hot | np.isin(wanted, marked_at))
+                marks = [np.asarray(m, np.int64) for m in own[a:b]]
+                marked_at = np.concatenate([(m & low) + (i << PLACE_BITS) for i, m in enumerate(marks)])
+                found, is_hot = marked_and_hot((doc << PLACE_BITS) + (anchor & low), hashes, marked_at, np.concatenate(marks) >> PLACE_BITS)
+                take = np.flatnonzero(found)
                 hashes, doc, anchor, lo, hi, is_hot = (x[take] for x in (hashes, doc, anchor, lo, hi, is_hot))
                 spread = (mix(hashes.view(np.uint64) ^ np.where(is_hot, keys[a:b][doc].view(np.uint64), np.uint64(0))) % np.uint64(buckets)).astype(np.int64)
                 yield pd.DataFrame(

@@ -283,6 +283,21 @@ def test_suffix_dedup(spark, hot):
         assert len(found[i].removed) == len(covered.replace(b"\0", b" ").split())
 
 
+def test_suffix_dedup_with_colliding_places(spark):
+    rng = random.Random(23)
+    anchor = lambda t: int(suffix_dedup.anchor_runs([t.encode()])[2][0])
+    common = words(rng, 60)[:100]
+    twin = next(t for t in iter(lambda: words(rng, 60)[:100], None) if anchor(t) == anchor(common))
+    # ids with which the two texts share the 40 bits of their keys
+    by = lambda t, name: spark.range(1 << 21).select(F.col("id").alias(name), F.shiftright(F.xxhash64("id", F.lit(t)), suffix_dedup.PLACE_BITS).alias("bits"))
+    pair = by(common, "a").join(by(twin, "b"), "bits").where("a <> b").first()
+    docs = [(pair.a, common), (pair.b, twin), (1 << 22, twin)] + [((1 << 22) + i, common) for i in range(1, 6)]
+    docs += [((1 << 23) + i, t) for i, t in enumerate(2 * [words(rng, 60)[:100] for _ in range(300)])]
+    found = {r.doc_id: bytes(r.kept) for r in suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), hot=2).collect()}
+    assert found[pair.b] == twin.encode() and found[1 << 22] == b""
+    assert sum(len(k) > 0 for k in found.values()) == 302
+
+
 def test_suffix_dedup_odd(odd):
     found = suffix_dedup.remove_repeats(odd, carry=True)
     assert found.count() == odd.count()
