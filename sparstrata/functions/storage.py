@@ -5,22 +5,46 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
 
 
+def shared_root(spark: SparkSession) -> str:
+    """Folder that driver and executors share: the session's ``spark.checkpoint.dir``.
+
+    Only where that is unset and all runs on one machine (as in tests) a temporary folder is made.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="spark-shared-"))
+    return f"file://{_OWN[0]}"
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the folder of ``spark.checkpoint.dir`` and read it back.
+    """Write ``df`` as Parquet in the shared folder and read it back.
 
-    Only where the session has no such folder (one process, as in tests) a temporary one is made.
+    Cuts the lineage, survives lost executors, and fixes columns such as
+    ``monotonically_increasing_id`` that a recomputation could change.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not _OWN:
-            _OWN.append(tempfile.mkdtemp(prefix="spark-shared-"))
-        root = f"file://{_OWN[0]}"
-    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete the files of tables that ``written`` has returned and that nothing still to run reads."""
+    for table in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()} if table is not None else ():
+            jvm, jsc = table.sparkSession._jvm, table.sparkSession.sparkContext._jsc
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
