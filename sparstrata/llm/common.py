@@ -1,48 +1,41 @@
-"""What the operators of this subpackage share: written intermediates and component labels."""
+"""What the operators of this subpackage share: ids that pass through Python and component labels."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_OWN_ROOT: list[str] = []
+from ..functions.storage import forget, fresh_path
+from ..functions.storage import written as saved
 
+__all__ = ["carried", "components", "forget", "fresh_path", "ranked", "restored", "saved", "small", "text_of"]
 
-def shared_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests in one process) a temporary folder is made.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not _OWN_ROOT:
-        _OWN_ROOT.append(tempfile.mkdtemp(prefix="spark-shared-"))
-    return f"file://{_OWN_ROOT[0]}"
+def small(table: DataFrame, rows: int) -> DataFrame:
+    """A saved table, marked for broadcast if it has no more than so many rows; a join shuffles it otherwise."""
+    return F.broadcast(table) if table.count() <= rows else table
+
 
+def text_of(column: str):
+    """The column as a string, null as empty."""
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
+def carried(id_col: str) -> Column:
+    """An id as a string, the form in which it passes through pandas: there whole numbers beside nulls become doubles."""
+    return F.col(f"`{id_col}`").cast("string")
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
 
-    Cuts the lineage, survives lost executors, and fixes columns such as
-    ``monotonically_increasing_id`` that a recomputation could change.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def restored(column: str, kind: T.DataType) -> Column:
+    """A carried id in its own type."""
+    return F.col(f"`{column}`").cast(kind)
 
 
-def text_of(column: str):
-    """The column as a string, null as empty."""
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+def ranked(id_col: str, kind: T.DataType) -> Column:
+    """An id that keeps its order through pandas: null as the smallest of its type, with which it ties."""
+    least = {T.ByteType: -(1 << 7), T.ShortType: -(1 << 15), T.IntegerType: -(1 << 31), T.LongType: -(1 << 63)}.get(type(kind))
+    return F.col(f"`{id_col}`") if least is None else F.coalesce(F.col(f"`{id_col}`"), F.lit(least).cast(kind))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -65,10 +58,11 @@ def components(edges: DataFrame) -> DataFrame:
         while True:
             up = tree.select(F.col("node").alias("root"), F.col("root").alias("above"))
             joined = tree.join(up, "root", "left")
-            tree = saved(
+            past, tree = tree, saved(
                 joined.select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")),
                 "jumps",
             )
+            forget(past)
             still = not tree.where("moved").isEmpty()
             tree = tree.drop("moved")
             if not still:
@@ -77,17 +71,20 @@ def components(edges: DataFrame) -> DataFrame:
             labels = tree
         else:
             higher = tree.select(F.col("node").alias("root"), F.col("root").alias("above"))
+            before = labels
             labels = labels.join(higher, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
             labels = saved(labels.unionByName(tree.join(labels, "node", "left_anti")), "labels")
+            forget(before)
         lo = tree.select(F.col("node").alias("lo"), F.col("root").alias("lo_root"))
         hi = tree.select(F.col("node").alias("hi"), F.col("root").alias("hi_root"))
         ends = live.join(lo, "lo", "left").join(hi, "hi", "left").select(
             F.coalesce("lo_root", "lo").alias("a"), F.coalesce("hi_root", "hi").alias("b")
         )
-        live = saved(
+        past, live = live, saved(
             ends.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(),
             "edges",
         )
+        forget(past)
     if labels is None:
         return live.select(F.col("lo").alias("node"), F.col("hi").alias("root"))
     return labels

@@ -233,9 +233,55 @@ def test_near_groups(spark):
     assert all(found[i].kept == (found[i].class_id == i) for i in found)
 
 
+def test_near_groups_with_a_shared_passage(spark):
+    rng = random.Random(29)
+    passage = words(rng, 80)
+    # alike by the passage alone (about 0.5), a group around one text with more or fewer edits, and some that differ in one edit only
+    texts = [f"{words(rng, 22)} {passage} {words(rng, 22)}" for _ in range(120)]
+    base = words(rng, 150).split()
+    for _ in range(150):
+        copy = list(base)
+        for _ in range(rng.randrange(0, 7)):
+            copy[rng.randrange(len(copy))] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    for t in texts[:20]:
+        texts.append(t.rsplit(" ", 1)[0] + " otherwise")
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = {r.doc_id: r.class_id for r in near_dedup.near_groups(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == jaccard_classes(texts)
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_bounds_leave_similar_pairs(spark, weighted):
+    rng = np.random.default_rng(31)
+    sets = []
+    for _ in range(40):
+        base = rng.choice(400, 60, replace=False)
+        for _ in range(3):
+            own = np.unique(np.concatenate([base[rng.random(60) < 0.95], rng.choice(2000, 4) + 1000]))
+            counts = rng.integers(1, 4, len(own)) if weighted else np.ones(len(own), int)
+            sets.append(dict(zip(own.tolist(), counts.tolist(), strict=True)))
+    rows = [(i, sum(s.values()), list(s), list(s.values())) for i, s in enumerate(sets)]
+    table = near_dedup.common_sets(spark.createDataFrame(rows, "uid long, size long, shingles array<long>, counts array<long>"), 0.8)
+    members = table.select(F.lit(0).alias("bucket"), "uid", "size", "mass", "sketch")
+    other = members.select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("uid", "size", "mass", "sketch")])
+    pairs = members.join(other, "bucket").where("uid < other_uid").where(near_dedup.comparable(0.8)).select(F.col("uid").alias("a"), F.col("other_uid").alias("b"))
+    found = {(r.a, r.b) for r in near_dedup.similar(pairs, table, 0.8).collect()}
+
+    def close(x, y):
+        both = sum(min(x[k], y[k]) for k in x.keys() & y.keys())
+        return both >= 0.8 * (sum(x.values()) + sum(y.values()) - both)
+
+    assert found == {(i, j) for i, j in combinations(range(len(sets)), 2) if close(sets[i], sets[j])}
+    assert pairs.count() < 0.2 * math.comb(len(sets), 2)
+
+
 def test_near_groups_odd(odd):
     found = near_dedup.near_groups(odd)
     assert found.count() == odd.count()
+    texts = [r.text for r in odd.orderBy("doc_id", "text").collect()]
+    assert found.where("kept").select("key").distinct().count() == len(set(jaccard_classes(texts)))
     assert near_dedup.drop_near_copies(odd).columns == odd.columns
     assert near_dedup.near_groups(empty(odd)).count() == 0
 
