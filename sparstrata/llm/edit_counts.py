@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of
+from .common import carried, restored, text_of
 from .tokenization import encoder, text_slices
 
 BLOCK = 32
@@ -168,7 +168,7 @@ def edited_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     import hashlib
 
     schema = T.StructType(
-        [T.StructField(id_col, docs.schema[id_col].dataType)]
+        [T.StructField("id", T.StringType())]
         + [T.StructField(c, T.LongType()) for c in ("n_edits", "n_before", "n_after", "n_pretokens", "n_reencoded")]
         + [T.StructField("edited_sha256", T.StringType())]
     )
@@ -187,8 +187,9 @@ def edited_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
                         tree.edit(int(e["start"] or 0), int(e["removed"] or 0), e["inserted"] or "")
                     rows.append((len(changes), before, tree.total, sum(map(len, tree.leaves)), tree.encoded, hashlib.sha256(tree.text.encode()).hexdigest()))
                 out = pd.DataFrame(rows, columns=schema.names[1:])
-                out.insert(0, id_col, keys.iloc[lo:hi].to_numpy())
+                out.insert(0, "id", keys.iloc[lo:hi].to_numpy())
                 yield out
 
     edits = F.coalesce(F.col(edits_col).cast(EDITS), F.array().cast(EDITS))
-    return docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), edits.alias("edits")).mapInPandas(run, schema)
+    found = docs.select(carried(id_col).alias("id"), text_of(text_col).alias("text"), edits.alias("edits")).mapInPandas(run, schema)
+    return found.select(restored("id", docs.schema[id_col].dataType).alias(id_col), *schema.names[1:])

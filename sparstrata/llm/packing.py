@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, text_of
+from .common import carried, restored, saved, text_of
 from .tokenization import encoder, text_slices
 
 CAPACITY = 1024
@@ -74,13 +74,13 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 2) -> DataFrame:
-    """Rows (uid, id, piece, start, length, ids_crc32): each document encoded, ended, and cut if too long.
+    """Rows (uid, id, piece, start, length, ids_crc32): each document encoded, ended, and cut if too long; ids as strings.
 
     The first piece takes what is over after whole pieces of ``capacity``.
     """
     schema = T.StructType(
-        [T.StructField("id", docs.schema[id_col].dataType)]
-        + [T.StructField(c, T.LongType()) for c in ("piece", "start", "length", "ids_crc32")]
+        [T.StructField("id", T.StringType()), T.StructField("piece", T.IntegerType())]
+        + [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")]
     )
     end = np.uint32(end_id).tobytes()
 
@@ -98,9 +98,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                         stop = first if piece == 0 else start + capacity
                         stop = min(stop, n)
                         rows.append((doc_id, piece, start, stop - start, zlib.crc32(data[4 * start : 4 * stop])))
-                yield pd.DataFrame(rows, columns=schema.names).astype({c: "int64" for c in schema.names[1:]})
+                yield pd.DataFrame(rows, columns=schema.names).astype({"piece": "int32"} | {c: "int64" for c in schema.names[2:]})
 
-    pieces = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInPandas(cut, schema)
+    pieces = docs.select(carried(id_col).alias("id"), text_of(text_col).alias("text")).mapInPandas(cut, schema)
     return pieces.select(F.monotonically_increasing_id().alias("uid"), "*")
 
 
@@ -184,4 +184,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     ignored; an empty table gives no rows.
     """
     packed = pack(token_pieces(docs, tokenizer, id_col, text_col, capacity), capacity)
-    return packed.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified")
+    return packed.select(restored("id", docs.schema[id_col].dataType).alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified")

@@ -9,7 +9,7 @@ one of the highest summed score. What the forward pass keeps per position is
 therefore the last piece of the prefix's only valid segmentation: a piece may
 follow another just if merging their joined text leaves these two. Any prefix
 of a valid segmentation is valid, so the pass is exact and equals the library's
-ids. A model of unigram type takes the usual best sum.
+ids. Models of other types are refused.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of
+from .common import carried, restored, text_of
 from .tokenization import text_slices
 
 SPACE = "▁"
@@ -45,6 +45,8 @@ class Codec:
         special = [model.is_control(i) or model.is_unknown(i) or model.is_byte(i) for i in range(n)]
         self.ids = {p: i for i, p in enumerate(self.pieces) if not special[i]}
         self.score = {p: model.get_score(i) for p, i in self.ids.items()}
+        if any(s != int(s) for s in self.score.values()):
+            raise ValueError("scores are not merge ranks: models of this type have another segmentation")
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_of = {i: b for b, i in enumerate(self.bytes)}
         self.silent = {i for i in range(n) if model.is_control(i)}
@@ -105,7 +107,7 @@ class Codec:
                     piece = ids.get(text)
                     if piece is not None:
                         if start:
-                            key = last[start] << 16 | piece
+                            key = last[start] << 32 | piece
                             fits = pairs.get(key)
                             if fits is None:
                                 fits = pairs[key] = self.follows(last[start], piece)
@@ -171,37 +173,43 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     Null text is empty and has no ids. Null ids and repeated rows give a row
     each; other columns are ignored; an empty table gives no rows.
     """
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = codec(model).encode
         for pdf in batches:
             keys, texts = pdf["id"], pdf["text"].tolist()
             for lo, hi in text_slices(texts):
-                yield pd.DataFrame({id_col: keys.iloc[lo:hi].to_numpy(), "ids": encode(texts[lo:hi])})
+                yield pd.DataFrame({"id": keys.iloc[lo:hi].to_numpy(), "ids": encode(texts[lo:hi])})
 
-    return docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInPandas(run, schema)
+    found = docs.select(carried(id_col).alias("id"), text_of(text_col).alias("text")).mapInPandas(run, schema)
+    return found.select(restored("id", docs.schema[id_col].dataType).alias(id_col), "ids")
 
 
 def decode_pieces(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Rows (id, text). Null ids arrays give null text, ids outside the vocabulary an error."""
-    schema = T.StructType([T.StructField(id_col, encoded.schema[id_col].dataType), T.StructField("text", T.StringType())])
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         decode = codec(model).decode
         for pdf in batches:
-            yield pd.DataFrame({id_col: pdf["id"], "text": [None if x is None else decode(list(x)) for x in pdf["ids"]]})
+            yield pd.DataFrame({"id": pdf["id"], "text": [None if x is None else decode(list(x)) for x in pdf["ids"]]})
 
-    return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInPandas(run, schema)
+    found = encoded.select(carried(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInPandas(run, schema)
+    return found.select(restored("id", encoded.schema[id_col].dataType).alias(id_col), "text")
 
 
 def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, n_pieces, ids, decoded_sha256): encoded and decoded again in one narrow pass."""
+    """Rows (id, n_pieces, ids, decoded_sha256): encoded and decoded again in one narrow pass.
+
+    Null text is empty: no ids, and the digest of nothing. Null ids and repeated
+    rows give a row each; other columns are ignored; an empty table gives no rows.
+    """
     import hashlib
 
     schema = T.StructType(
         [
-            T.StructField(id_col, docs.schema[id_col].dataType),
+            T.StructField("id", T.StringType()),
             T.StructField("n_pieces", T.LongType()),
             T.StructField("ids", T.ArrayType(T.IntegerType())),
             T.StructField("decoded_sha256", T.StringType()),
@@ -216,11 +224,12 @@ def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: st
                 ids = own.encode(texts[lo:hi])
                 yield pd.DataFrame(
                     {
-                        id_col: keys.iloc[lo:hi].to_numpy(),
+                        "id": keys.iloc[lo:hi].to_numpy(),
                         "n_pieces": [len(x) for x in ids],
                         "ids": ids,
                         "decoded_sha256": [hashlib.sha256(own.decode(x).encode()).hexdigest() for x in ids],
                     }
                 )
 
-    return docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInPandas(run, schema)
+    found = docs.select(carried(id_col).alias("id"), text_of(text_col).alias("text")).mapInPandas(run, schema)
+    return found.select(restored("id", docs.schema[id_col].dataType).alias(id_col), *schema.names[1:])

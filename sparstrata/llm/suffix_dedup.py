@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, text_of
+from .common import forget, ranked, saved, text_of
 from .tokenization import text_slices
 
 LENGTH = 100
@@ -256,7 +256,7 @@ def repeats_in_bucket(order: np.ndarray, groups: np.ndarray, anchors: np.ndarray
 def _covered(pdf: pd.DataFrame, length: int, hot_from: int) -> tuple[list[tuple], list[tuple]]:
     """Covered ranges of a bucket, and of a salted one the stretches of windows that are first in it."""
     pdf = pdf.sort_values(["id", "key", "lo"], na_position="first", kind="stable").reset_index(drop=True)
-    own = list(zip(pdf["id"].astype(object).where(pdf["id"].notna(), None), pdf["key"].tolist(), pdf["lo"].tolist(), strict=True))
+    own = list(zip(pdf["id"].tolist(), pdf["key"].tolist(), pdf["lo"].tolist(), strict=True))
     his = pdf["hi"].tolist()
     bodies = [c[skip:] for c, skip in zip(pdf["context"], (pdf["lo"] > 0).astype(int), strict=True)]
     firsts: dict[tuple, int] = {}
@@ -295,7 +295,7 @@ def _covered(pdf: pd.DataFrame, length: int, hot_from: int) -> tuple[list[tuple]
 
 
 def removed_ranges(docs: DataFrame, length: int = LENGTH, q: int = Q, hot: int = HOT) -> DataFrame:
-    """Rows (id, key, ranges): the covered byte ranges of each keyed document (id, key, text) that has any."""
+    """Rows (id, key, ranges): the covered byte ranges of each keyed document (id, key, text) that has any; ids are not null or not numbers."""
     kind = docs.schema["id"].dataType
     marks = saved(repeated_anchors(docs, length, q, hot), "anchors")
     buckets = max(1, -(-marks.count() // BUCKET_CONTEXTS))
@@ -388,19 +388,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ``kept_text`` is without characters that a cut has split.
 
-    Places are ordered by id, then start; null ids come first. Null text is
+    Places are ordered by id, then start; null ids come first, tied ids by key. Null text is
     empty. Rows that repeat id and text are one document and cut alike; a
     repeated id with another text is another document. Texts shorter than
     ``length`` stay whole. Other columns are ignored, or with ``carry`` come along
     as struct ``row``; an empty table gives no rows. ``length`` is at least 2 * ``q``.
     """
     text = text_of(text_col)
-    columns = [F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text")]
-    ranges = saved(removed_ranges(docs.select(*columns), length, q, hot), "removed")
+    rank = ranked(id_col, docs.schema[id_col].dataType)
+    keyed = [F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text")]
+    ranges = saved(removed_ranges(docs.select(rank.alias("id"), *keyed), length, q, hot), "removed")
+    columns = [F.col(id_col).alias("id"), rank.alias("rank"), *keyed]
     if carry:
         columns.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     other = ranges.select(F.col("id").alias("id_"), F.col("key").alias("key_"), "ranges")
-    both = docs.select(*columns).join(other, F.expr("key = key_ and id <=> id_"), "left")
+    both = docs.select(*columns).join(other, F.expr("key = key_ and rank <=> id_"), "left")
     span = "array<struct<start: long, stop: long>>"
 
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

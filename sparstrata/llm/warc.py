@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path, saved
+from .common import carried, fresh_path, restored, saved
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 64 << 20
@@ -155,11 +155,11 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     known = rows.where(F.col("id").isNotNull() & (F.col("n") >= min_revisit_bytes))
     copies = known.groupBy("digest", "n").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     decided = rows.join(copies, ["digest", "n"], "left").select(
-        "id", "url", "payload", F.when(F.col("first") < F.col("id"), F.col("first")).alias("refers_to")
+        carried("id").alias("id"), "url", "payload", F.when(F.col("first") < F.col("id"), F.col("first")).cast("string").alias("refers_to")
     )
     kind = pages.schema[id_col].dataType
     schema = T.StructType(
-        [T.StructField("record_id", T.StringType()), T.StructField("id", kind), T.StructField("bundle", T.StringType())]
+        [T.StructField("record_id", T.StringType()), T.StructField("id", T.StringType()), T.StructField("bundle", T.StringType())]
         + [T.StructField("frame", T.LongType()), T.StructField("offset", T.LongType())]
     )
 
@@ -171,13 +171,12 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
         def close() -> pd.DataFrame:
             with files.open_output_stream(f"{path}/{bundle.name}", compression=None) as out:
                 out.write(bundle.finish())
-            found = pd.DataFrame(index, columns=schema.names).astype({"id": object})
+            found = pd.DataFrame(index, columns=schema.names)
             index.clear()
             return found
 
         for pdf in batches:
-            for page, url, text, first in zip(pdf["id"].astype(object).tolist(), pdf["url"], pdf["payload"], pdf["refers_to"].astype(object).tolist(), strict=True):
-                page, first = (None if pd.isna(x) else x if isinstance(x, str) else int(x) for x in (page, first))
+            for page, url, text, first in zip(pdf["id"].tolist(), pdf["url"], pdf["payload"], pdf["refers_to"].tolist(), strict=True):
                 data = text.encode()
                 digest = base64.b32encode(hashlib.sha1(data).digest()).decode()
                 own_id = record_id(page, digest)
@@ -190,27 +189,34 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
         if bundle is not None:
             yield close()
 
-    return saved(decided.mapInPandas(write, schema), "warc-index")
+    return saved(decided.mapInPandas(write, schema).withColumn("id", restored("id", kind)), "warc-index")
 
 
-RECORD = "record_id string, {id} {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}, url string"
+RECORD = "record_id string, id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string"
+NAMES = [x.split()[0] for x in RECORD.split(", ")]
 
 
-def _parsed(header: dict[str, str], block: bytes, number) -> tuple:
+def _typed(records: DataFrame, id_col: str, kind: T.DataType) -> DataFrame:
+    ids = {"id": restored("id", kind).alias(id_col), "refers_to": restored("refers_to", kind).alias("refers_to")}
+    return records.select(*[ids.get(c, F.col(c)) for c in NAMES])
+
+
+def _parsed(header: dict[str, str], block: bytes) -> tuple:
     head, _, payload = block.partition(b"\r\n\r\n")
     length = int(dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])["Content-Length"])
     digest = header["WARC-Payload-Digest"].removeprefix("sha1:")
     if header["WARC-Type"] == "response" and (len(payload) != length or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
         raise ValueError(f"payload of {header['WARC-Record-ID']} is damaged")
-    page, first = (number(header[x]) if x in header else None for x in ("X-Page-ID", "X-Refers-To-Page-ID"))
-    return header["WARC-Record-ID"], page, length, digest, header["WARC-Type"], first, header["WARC-Target-URI"]
+    return header["WARC-Record-ID"], header.get("X-Page-ID"), length, digest, header["WARC-Type"], header.get("X-Refers-To-Page-ID"), header["WARC-Target-URI"]
 
 
 def read_bundles(index: DataFrame, folder: str, id_col: str = "page_id") -> DataFrame:
-    """Read whole bundles, frame by frame through their seek tables; one row per record, payloads checked."""
+    """Read whole bundles, frame by frame through their seek tables; one row per record, payloads checked.
+
+    Ids are null where they were, url and payload are those written. An empty
+    index gives no rows.
+    """
     kind = index.schema["id"].dataType
-    number = str if isinstance(kind, T.StringType) else int
-    schema = T._parse_datatype_string(RECORD.format(id=id_col, kind=kind.simpleString()))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -225,19 +231,22 @@ def read_bundles(index: DataFrame, folder: str, id_col: str = "page_id") -> Data
                         data, place, rows = zstandard.ZstdDecompressor().decompress(f.read(packed), unpacked), 0, []
                         while place < len(data):
                             header, block, place = read_record(data, place)
-                            rows.append(_parsed(header, block, number))
-                        yield pd.DataFrame(rows, columns=schema.names).astype({id_col: object, "refers_to": object})
+                            rows.append(_parsed(header, block))
+                        yield pd.DataFrame(rows, columns=NAMES)
 
     # names are small but stand for whole files: a set number of partitions is not coalesced by their size
     bundles = index.select("bundle").distinct()
-    return bundles.repartition(max(1, min(bundles.count(), READ_TASKS)), "bundle").mapInPandas(read, schema)
+    found = bundles.repartition(max(1, min(bundles.count(), READ_TASKS)), "bundle").mapInPandas(read, RECORD)
+    return _typed(found, id_col, kind)
 
 
 def lookup(index: DataFrame, folder: str, wanted: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """Records of ``wanted`` ids, each by one seek: only the frames that hold them are read."""
+    """Records of ``wanted`` ids, each by one seek: only the frames that hold them are read.
+
+    Ids that repeat are looked up once, those that are null or not in the index
+    give no row; an id of several records gives all of them.
+    """
     kind = index.schema["id"].dataType
-    number = str if isinstance(kind, T.StringType) else int
-    schema = T._parse_datatype_string(RECORD.format(id=id_col, kind=kind.simpleString()))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -253,11 +262,12 @@ def lookup(index: DataFrame, folder: str, wanted: DataFrame, id_col: str = "page
                         at, packed, unpacked = frames[frame]
                         f.seek(at)
                         data = zstandard.ZstdDecompressor().decompress(f.read(packed), unpacked)
-                        rows += [_parsed(*read_record(data, place)[:2], number) for place in places]
-            yield pd.DataFrame(rows, columns=schema.names).astype({id_col: object, "refers_to": object})
+                        rows += [_parsed(*read_record(data, place)[:2]) for place in places]
+            yield pd.DataFrame(rows, columns=NAMES)
 
     ids = wanted.select(F.col(id_col).alias("id")).distinct()
-    return index.join(ids, "id", "left_semi").select("bundle", "frame", "offset").mapInPandas(read, schema)
+    found = index.join(ids, "id", "left_semi").select("bundle", "frame", "offset")
+    return _typed(found.mapInPandas(read, RECORD), id_col, kind)
 
 
 def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0) -> DataFrame:

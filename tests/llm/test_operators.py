@@ -147,8 +147,9 @@ def test_spans_cover_whole_repeats():
     for _ in range(300):
         sizes = [rng.randrange(1, 25) for _ in range(rng.randrange(1, 15))]
         spans = sentence_spans.spans_in(sizes)
-        cheap = [(a, b) for a, b in combinations(range(len(sizes) + 1), 2) if sum(sizes[a:b]) >= 15]
-        wanted = {(a, b) for a, b in cheap if sum(sizes[a : b - 1]) < 15 or sum(sizes[a + 1 : b]) < 15}
+        cheap = [(a, b) for a, b in combinations(range(len(sizes) + 1), 2) if sum(sizes[a:b]) >= sentence_spans.LEAST]
+        least = sentence_spans.LEAST
+        wanted = {(a, b) for a, b in cheap if sum(sizes[a : b - 1]) < least or sum(sizes[a + 1 : b]) < least}
         assert spans == (sorted(wanted) or [(0, len(sizes))])
         for a, b in cheap:
             assert {i for s, e in spans if a <= s and e <= b for i in range(s, e)} == set(range(a, b))
@@ -373,3 +374,87 @@ def test_edited_counts_odd(odd):
     found = edit_counts.edited_counts(odd.withColumn("edits", F.when(F.col("doc_id") > 3, edits)), BYTE_BPE)
     assert found.count() == odd.count()
     assert found.where("doc_id = 3").first().n_edits == 0
+
+
+BIG = [None, (1 << 60) + 1, (1 << 60) + 3]
+
+
+@pytest.fixture(scope="module")
+def big(spark):
+    """Ids that a double cannot hold, beside a null one, in one batch; texts that share a passage."""
+    rng = random.Random(37)
+    passage = words(rng, 60)
+    return spark.createDataFrame([(i, f"{words(rng, 3)}. {passage}. {words(rng, 3)}.") for i in BIG], "doc_id long, text string").coalesce(1)
+
+
+def test_ids_pass_unchanged(big):
+    ids = lambda df, c="doc_id": sorted((r[c] for r in df.collect()), key=str)
+    wanted = sorted(BIG, key=str)
+    assert ids(sentencepiece_codec.round_trip(big, PIECES)) == wanted
+    encoded = sentencepiece_codec.encode_pieces(big, PIECES)
+    assert ids(encoded) == wanted and ids(sentencepiece_codec.decode_pieces(encoded, PIECES)) == wanted
+    assert sorted(set(ids(packing.pack_documents(big, BYTE_BPE))), key=str) == wanted
+    assert ids(near_dedup.near_groups(big)) == wanted
+    assert ids(edit_counts.edited_counts(big.withColumn("edits", F.lit(None).cast(edit_counts.EDITS)), BYTE_BPE)) == wanted
+    pages = big.withColumnsRenamed({"doc_id": "page_id", "text": "html"}).withColumn("url", F.lit("u"))
+    pages = pages.unionByName(pages.where(f"page_id = {BIG[1]}").withColumn("page_id", F.lit((1 << 60) + 5))).coalesce(1)
+    found = warc.archive_round_trip(pages)
+    assert ids(found, "page_id") == sorted([*BIG, (1 << 60) + 5], key=str)
+    assert ids(found, "refers_to").count(None) == 3 and BIG[1] in ids(found, "refers_to")
+
+
+def test_cuts_with_big_ids(big):
+    spans = {r.doc_id: r.n_removed for r in sentence_spans.remove_repeated_spans(big).collect()}
+    assert spans == {None: 0, BIG[1]: 1, BIG[2]: 1}
+    texts = [r.text.encode() for r in big.orderBy("doc_id").collect()]
+    kept = {r.doc_id: bytes(r.kept) for r in suffix_dedup.remove_repeats(big).collect()}
+    for i, data, covered in zip(BIG, texts, brute_cover(texts, 100), strict=True):
+        assert kept[i] == bytes(x for x, c in zip(data, covered, strict=True) if not c)
+    assert len(kept[BIG[2]]) < 100
+
+
+def test_piece_is_int(odd):
+    assert dict(packing.pack_documents(odd, BYTE_BPE).dtypes)["piece"] == "int"
+
+
+def brute_spans(texts, least):
+    """Sentence numbers that go, from the rule's own words: every run of sentences that is a shortest one at one of its ends."""
+    found = []
+    for t in texts:
+        keys = [(i, k) for i, (a, b) in enumerate(sentence_spans.sentences(t or "")) if (k := sentence_spans.sentence_key((t or "")[a:b]))]
+        n = [len(k.split()) for _, k in keys]
+        runs = [(a, b) for a, b in combinations(range(len(n) + 1), 2) if sum(n[a:b]) >= least and (sum(n[a : b - 1]) < least or sum(n[a + 1 : b]) < least)]
+        runs = runs if sum(n) >= least else [(0, len(n))] if n else []
+        found.append([(tuple(k for _, k in keys[a:b]), keys[a][0], keys[b - 1][0] + 1) for a, b in runs])
+    first, gone = {}, []
+    for d, runs in enumerate(found):
+        gone.append(set())
+        for text, a, b in sorted(runs, key=lambda r: r[1]):
+            if first.setdefault(text, (d, a)) != (d, a):
+                gone[-1].update(range(a, b))
+    return gone
+
+
+@pytest.mark.parametrize("hot", [sentence_spans.HOT_PLACES, 2])
+def test_spans_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(sentence_spans, "HOT_PLACES", hot)
+    rng = random.Random(41)
+    pool = [words(rng, rng.randrange(2, 14)) for _ in range(60)]
+    texts = []
+    for _ in range(80):
+        at = rng.randrange(0, 50)
+        body = [words(rng, rng.randrange(1, 12)) for _ in range(3)] + pool[at : at + rng.randrange(0, 8)] + [words(rng, 4)]
+        texts.append("".join(s + rng.choice([". ", "! ", "\n", '."  ', " "]) for s in body))
+    texts += [None, "", texts[3], pool[0], pool[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = {r.doc_id: r for r in sentence_spans.remove_repeated_spans(docs).collect()}
+    for i, gone in enumerate(brute_spans(texts, sentence_spans.LEAST)):
+        tiles = sentence_spans.sentences(texts[i] or "")
+        assert found[i].n_removed == len(gone)
+        assert found[i].text == "".join(texts[i][a:b] for k, (a, b) in enumerate(tiles) if k not in gone)
+
+
+def test_spans_odd(odd):
+    found = sentence_spans.remove_repeated_spans(odd)
+    assert found.count() == odd.count() and found.where("doc_id = 4").first().text == "née ﬁ 日本 \n\n  a"
+    assert sentence_spans.remove_repeated_spans(empty(odd)).count() == 0
