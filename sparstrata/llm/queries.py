@@ -52,9 +52,7 @@ def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of every document under the model of trusted text, and whether it is kept."""
-    docs = _table(spark, sf_dir, "documents")
-    judged = quality.classify(docs, _table(spark, sf_dir, "labels"))
-    return docs.select("doc_id", quality.keys().alias("key")).join(judged, "key").drop("key")
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("key")
 
 
 def op7_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
