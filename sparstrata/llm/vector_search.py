@@ -1,6 +1,8 @@
 """Approximate nearest neighbours: a hierarchical navigable graph per shard, results merged.
 
-Vectors are dealt to shards of bounded size by a hash of their row. A shard's graph
+Vectors are dealt to shards of bounded size by their magnitude and a hash of their
+row; vectors of very different magnitudes are in different shards, each scaled to
+its own, so that single precision holds them. A shard's graph
 has layers of geometrically falling size; each is a flat array of neighbours, a
 row per node. Neighbours are chosen among the closest by the diversity rule
 (one that is closer to a chosen neighbour than to the node is passed over) and
@@ -9,7 +11,9 @@ descend through the layers and search the lowest with a beam, all queries of a
 block at once.
 
 Largest inner products are found by adding a component that gives all vectors of a
-shard the same norm; queries get 0 there, so products do not change.
+shard the same norm; queries get 0 there, so products do not change. The
+candidates for a node's neighbours are the exact nearest in its shard, which is
+small enough that one matrix product finds them sooner than searching would.
 """
 
 from __future__ import annotations
@@ -21,11 +25,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, small
 
 SHARD_ROWS = 16_384
 LEAST_SHARDS = 8
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 32_768
+#: Shards hold vectors whose largest components are within this power of two.
+MAGNITUDE_BITS = 8
+#: Kinds of vectors (dimension and magnitude) are broadcast up to so many rows (24 bytes each), beyond that joined by shuffle.
+BROADCAST_ROWS = 500_000
 DEGREE = 16
 CANDIDATES = 64
 BEAM = 96
@@ -144,27 +152,36 @@ def search(queries: np.ndarray, vectors: np.ndarray, layers: list[tuple[np.ndarr
     return np.concatenate(found)
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector by a power of two of its own, so that its largest component is between 1/2 and 1."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1))[1][:, None])
+
+
 def participants(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """Written rows (uid, id, vector, dim) of those that take part: finite, not zero, with an id."""
+    """Written rows (uid, id, vector, dim, magnitude) of those that take part: finite, not zero, with an id."""
     doubles = F.col(vector_col).cast("array<double>")
     fine = F.forall(doubles, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    # usual vectors, with components about 1, are in the midst of one magnitude
+    largest = F.array_max(F.transform(doubles, lambda x: F.abs(x)))
+    magnitude = F.floor((F.log2(largest) + MAGNITUDE_BITS / 2) / MAGNITUDE_BITS).cast("int")
     rows = table.where(F.col(id_col).isNotNull() & fine & F.exists(doubles, lambda x: x != 0))
-    return saved(rows.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), doubles.alias("vector"), F.size(vector_col).alias("dim")), "vectors")
+    return saved(rows.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), doubles.alias("vector"), F.size(vector_col).alias("dim"), magnitude.alias("magnitude")), "vectors")
 
 
-def build_index(rows: DataFrame, shards: int, degree: int = DEGREE, candidates: int = CANDIDATES) -> DataFrame:
-    """Written index: a row per shard (and dimension) of flat binary arrays."""
-    schema = "dim int, shard int, ids binary, uids binary, vectors binary, sizes array<int>, members array<binary>, links array<binary>"
+def build_index(rows: DataFrame, degree: int = DEGREE, candidates: int = CANDIDATES) -> DataFrame:
+    """Written index: a row per shard of flat binary arrays; ``rows`` have their shard."""
+    schema = "dim int, magnitude int, shard int, ids binary, uids binary, vectors binary, sizes array<int>, members array<binary>, links array<binary>"
 
     def make(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("uid", kind="stable")
         vectors = np.stack(pdf["vector"].to_list())
         uids = pdf["uid"].to_numpy(np.int64)
-        _, layers = build(vectors, uids, degree, candidates)
+        _, layers = build(np.ldexp(vectors, -MAGNITUDE_BITS * key[1]), uids, degree, candidates)
         return pd.DataFrame(
             {
                 "dim": [key[0]],
-                "shard": [key[1]],
+                "magnitude": [key[1]],
+                "shard": [key[2]],
                 "ids": [pdf["id"].to_numpy("<i8").tobytes()],
                 "uids": [uids.astype("<i8").tobytes()],
                 "vectors": [vectors.astype("<f8").tobytes()],
@@ -174,8 +191,7 @@ def build_index(rows: DataFrame, shards: int, degree: int = DEGREE, candidates:
             }
         )
 
-    sharded = rows.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int"))
-    return saved(sharded.groupBy("dim", "shard").applyInPandas(make, schema), "index")
+    return saved(rows.groupBy("dim", "magnitude", "shard").applyInPandas(make, schema), "index")
 
 
 def nearest(table: DataFrame, every: int, k: int, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = BEAM, degree: int = DEGREE) -> DataFrame:
@@ -184,18 +200,21 @@ def nearest(table: DataFrame, every: int, k: int, id_col: str = "vec_id", vector
     Nearness is the largest inner product in double precision, ties go to the
     smaller id. Vectors that are null, zero or hold null or non-finite
     components, and rows without id, take no part; vectors of another length are
-    no candidates. A row that repeats an id is another candidate; only the
+    no candidates. Products beyond double precision are infinite, of different signs
+    in one sum not a number. A row that repeats an id is another candidate; only the
     query's own row is left out. Fewer than k candidates are all returned. Other
     columns are ignored; an empty table gives no rows.
     """
     rows = participants(table, id_col, vector_col)
-    shards = max(LEAST_SHARDS, -(-rows.count() // SHARD_ROWS))
-    index = build_index(rows, shards, degree)
+    kinds = rows.groupBy("dim", "magnitude").agg(F.greatest(F.lit(LEAST_SHARDS), F.ceil(F.count("*") / SHARD_ROWS)).cast("int").alias("shards"))
+    kinds = small(saved(kinds, "kinds"), BROADCAST_ROWS)
+    sharded = rows.join(kinds, ["dim", "magnitude"]).withColumn("shard", F.pmod(F.xxhash64("uid"), F.col("shards")).cast("int"))
+    index = build_index(sharded.drop("shards"), degree)
     queries = rows.where(F.pmod(F.col("id"), F.lit(every)) == 0)
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     queries = queries.withColumn("block", F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(blocks)).cast("int"))
-    # every block of queries meets every shard: a stated query set against all rows
-    asked = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    # every block of queries meets every shard of its dimension: a stated query set against all rows
+    asked = queries.drop("magnitude").join(kinds, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
     ready = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     schema = "query_id long, query_uid long, id long, uid long, score double"
     columns = ["query_id", "query_uid", "id", "uid", "score"]
@@ -208,7 +227,8 @@ def nearest(table: DataFrame, every: int, k: int, id_col: str = "vec_id", vector
         vectors = np.frombuffer(own["vectors"], "<f8").reshape(len(ids), -1)
         layers = [(np.frombuffer(m, "<i4").astype(np.int64), np.frombuffer(x, "<i4").reshape(size, -1)) for size, m, x in zip(own["sizes"], own["members"], own["links"], strict=True)]
         questions = np.stack(left["vector"].to_list())
-        found = search(questions, same_norm(vectors), layers, max(beam, k + 1))
+        even = same_norm(np.ldexp(vectors, -MAGNITUDE_BITS * int(own["magnitude"])))
+        found = search(scaled(questions), even, layers, max(beam, k + 1))
         q, j = np.nonzero(found >= 0)
         node = found[q, j]
         out = pd.DataFrame({"query_id": left["id"].to_numpy()[q], "query_uid": left["uid"].to_numpy()[q], "id": ids[node], "uid": uids[node]})
@@ -216,6 +236,6 @@ def nearest(table: DataFrame, every: int, k: int, id_col: str = "vec_id", vector
         out = out[out["query_uid"] != out["uid"]].sort_values(["query_uid", "score", "id", "uid"], ascending=[True, False, True, True], kind="stable")
         return out[out.groupby("query_uid").cumcount() < k][columns]
 
-    found = asked.groupBy("dim", "shard", "block").cogroup(ready.groupBy("dim", "shard", "block")).applyInPandas(ask, schema)
+    found = asked.groupBy("dim", "magnitude", "shard", "block").cogroup(ready.groupBy("dim", "magnitude", "shard", "block")).applyInPandas(ask, schema)
     best = Window.partitionBy("query_uid").orderBy(F.desc("score"), "id", "uid")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
