@@ -38,6 +38,8 @@ Q = 16
 #: Occurrences of an anchor above which its contexts are salted.
 HOT = 4096
 BUCKET_CONTEXTS = 20_000
+#: Salted contexts are spread by document and by stretches of so many bytes.
+SALT_BYTES = 16_384
 #: A place packs 40 bits of a document's key and 24 of a position; wrong extra marks do no harm.
 #: Hot marks have bits of the anchor's hash with them, so that all occurrences of an anchor are hot or none.
 PLACE_BITS = 24
@@ -116,18 +118,27 @@ def repeated_anchors(keyed: DataFrame, length: int, q: int, hot: int) -> DataFra
                 yield pd.DataFrame({"hash": hashes, "place": places_of(keys[lo:hi][doc], anchor)})
 
     def repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [(pdf["hash"].to_numpy(), pdf["place"].to_numpy()) for pdf in batches]
-        if not parts:
-            return
-        hashes, places = (np.concatenate(x) for x in zip(*parts, strict=True))
-        starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-        counts = np.diff(np.append(starts, len(hashes)))
-        run = np.repeat(np.arange(len(starts)), counts)
-        # a run at an end of the range may go on in the next partition, where it is at an end too
-        edge = (run == 0) | (run == len(starts) - 1)
-        many = counts[run]
-        take = edge | (many > 1)
-        yield pd.DataFrame({"place": places[take], "tag": np.where(edge | (many > hot), hot_tags(hashes), 0)[take]})
+        # of a run that goes on in the next batch no more than ``hot`` places are held
+        hashes = places = np.empty(0, np.int64)
+        first = flowing = None
+        for pdf in batches:
+            hashes = np.concatenate([hashes, pdf["hash"].to_numpy(np.int64)])
+            places = np.concatenate([places, pdf["place"].to_numpy(np.int64)])
+            if not len(hashes):
+                continue
+            first = hashes[0] if first is None else first
+            starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+            counts = np.diff(np.append(starts, len(hashes)))
+            many = np.repeat(counts, counts)
+            # a run at an end of the range may go on in the next partition, where it is at an end too
+            is_hot = (hashes == first) | (hashes == flowing) | (many > hot)
+            flowing = hashes[-1] if is_hot[-1] else None
+            stop = len(hashes) if is_hot[-1] else starts[-1]
+            take = np.flatnonzero((is_hot | (many > 1))[:stop])
+            yield pd.DataFrame({"place": places[take], "tag": np.where(is_hot[take], hot_tags(hashes[take]), 0)})
+            hashes, places = hashes[stop:], places[stop:]
+        if len(hashes):
+            yield pd.DataFrame({"place": places, "tag": hot_tags(hashes)})
 
     anchors = keyed.select("key", "text").mapInPandas(emit, "hash long, place long")
     ranged = anchors.repartitionByRange("hash", "place").sortWithinPartitions("hash", "place")
@@ -320,7 +331,8 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, q: int = Q, hot: int =
                 found, is_hot = marked_and_hot((doc << PLACE_BITS) + (anchor & low), hashes, marked_at, np.concatenate(marks) >> PLACE_BITS)
                 take = np.flatnonzero(found)
                 hashes, doc, anchor, lo, hi, is_hot = (x[take] for x in (hashes, doc, anchor, lo, hi, is_hot))
-                spread = (mix(hashes.view(np.uint64) ^ np.where(is_hot, keys[a:b][doc].view(np.uint64), np.uint64(0))) % np.uint64(buckets)).astype(np.int64)
+                salt = mix(keys[a:b][doc].view(np.uint64) + (anchor // SALT_BYTES).astype(np.uint64))
+                spread = (mix(hashes.view(np.uint64) ^ np.where(is_hot, salt, np.uint64(0))) % np.uint64(buckets)).astype(np.int64)
                 yield pd.DataFrame(
                     {
                         "bucket": spread + np.where(is_hot, buckets, 0),
