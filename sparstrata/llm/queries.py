@@ -36,10 +36,26 @@ from documents window w as (partition by coalesce(text, ''))
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of every page, written and read back."""
     return warc.archive_round_trip(_table(spark, sf_dir, "pages")).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "url"
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"
     )
 
 
+#: The digest in base32: five bits a letter, from five hexadecimal digits four letters.
+OP3_SQL = r"""
+with hashed as (
+  select page_id, coalesce(url, '') as u, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as hex from pages
+), coded as (
+  select *, list_aggregate(list_transform(range(8), lambda g: list_aggregate(list_transform(range(4), lambda k:
+      substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, 5 * g + 1, 5))::bigint >> (15 - 5 * k)) & 31)::int + 1, 1)), 'string_agg', '')), 'string_agg', '') as payload_digest,
+    min(page_id) over (partition by hex, payload_bytes) as first
+  from hashed
+)
+select page_id, payload_bytes, payload_digest, case when first < page_id then 'revisit' else 'response' end as record_type,
+  case when first < page_id then first end as refers_to, case when regexp_matches(u, '[\r\n]') then replace(replace(replace(u, '%', '%25'), chr(13), '%0D'), chr(10), '%0A') else u end as url
+from coded
+"""
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), BYTE_BPE)
@@ -65,6 +81,30 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(_table(spark, sf_dir, "documents")).drop("key")
 
 
+OP8_SQL = r"""
+with recursive texts as (
+  select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') as w from documents
+), shingles as (
+  select distinct doc_id, array_to_string(array_slice(w, i + 1, i + 5), ' ') as s
+  from (select doc_id, w, unnest(range(greatest(1, len(w) - 4))) as i from texts where len(w) > 0)
+), sizes as (
+  select doc_id, count(*) as n from shingles group by doc_id
+), links as (
+  select x as a, y as b from (
+    select p.doc_id as x, q.doc_id as y, count(*) as shared from shingles p join shingles q on p.s = q.s and p.doc_id < q.doc_id group by p.doc_id, q.doc_id
+  ) join sizes n on n.doc_id = x join sizes m on m.doc_id = y where shared >= 0.8 * (n.n + m.n - shared) - 1e-9
+  union all select (select min(doc_id) from texts where len(w) = 0), doc_id from texts where len(w) = 0
+), ends as (
+  select a, b from links union all select b, a from links
+), reached as (
+  select doc_id as a, doc_id as b from texts union select r.a, e.b from reached r join ends e on e.a = r.b
+), classes as (
+  select a as doc_id, min(b) as class_id from reached group by a
+)
+select doc_id, class_id, count(*) over (partition by class_id) as class_size, doc_id = class_id as kept from classes
+"""
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that a string of 100 bytes covers which starts earlier too."""
     found = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
@@ -77,6 +117,28 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP9_SQL = """
+with docs as (
+  select doc_id, encode(coalesce(text, '')) as body, octet_length(encode(coalesce(text, ''))) as n from documents
+), windows as (
+  select doc_id, pos, md5(array_slice(body, pos + 1, pos + 100)) as h from (select doc_id, body, unnest(range(n - 99)) as pos from docs where n >= 100)
+), later as (
+  select doc_id, pos from windows qualify row_number() over (partition by h order by doc_id, pos) > 1
+), runs as (
+  select doc_id, min(pos) as a, max(pos) + 100 as b from (
+    select *, sum(fresh) over (partition by doc_id order by pos) as run from (
+      select *, (coalesce(pos - lag(pos) over (partition by doc_id order by pos) > 100, true))::int as fresh from later))
+  group by doc_id, run
+), gone as (
+  select doc_id, list(a order by a) as starts, list(b order by a) as stops, sum(b - a) as n_removed, count(*) as n_spans from runs group by doc_id
+)
+select d.doc_id, d.n::bigint as n_bytes, coalesce(g.n_removed, 0)::bigint as n_removed, coalesce(g.n_spans, 0)::bigint as n_spans,
+  case when g.doc_id is null then sha256(d.body) else sha256(unhex(list_aggregate(list_transform(range(len(starts) + 1), lambda i:
+    hex(array_slice(d.body, case when i = 0 then 1 else stops[i] + 1 end, case when i = len(starts) then d.n else starts[i + 1] end))), 'string_agg', ''))) end as kept_sha256
+from docs d left join gone g on d.doc_id = g.doc_id
+"""
+
+
 def derived_edits(docs: DataFrame) -> DataFrame:
     """Edits of each document, from its own id and length: a deletion, an insertion of its source's name, a swap near the end."""
     size = F.length(F.coalesce("text", F.lit("")))
@@ -104,4 +166,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_sentencepiece, op2_exact_dedup, op3_warc, op4_packing, op5_sentence_spans, op6_quality, op7_vector_search, op8_near_dedup, op9_suffix_dedup, op10_edit_counts)
 }
-ORACLES = {"op2_exact_dedup": OP2_SQL}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op8_near_dedup": OP8_SQL, "op9_suffix_dedup": OP9_SQL}

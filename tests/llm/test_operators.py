@@ -519,3 +519,86 @@ def test_spans_odd(odd):
     found = sentence_spans.remove_repeated_spans(odd)
     assert found.count() == odd.count() and found.where("doc_id = 4").first().text == "née ﬁ 日本 \n\n  a"
     assert sentence_spans.remove_repeated_spans(empty(odd)).count() == 0
+
+
+def test_vectors_of_all_magnitudes(spark):
+    rng = np.random.default_rng(47)
+    vectors = rng.normal(size=(200, 8)) * 10.0 ** rng.choice([-150, -20, 0, 0, 0, 3, 140], (200, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    found = vector_search.nearest(spark.createDataFrame(rows, "vec_id int, embedding array<double>"), every=20, k=10).collect()
+    for q in range(0, 200, 20):
+        scores = vectors @ vectors[q]
+        best = sorted((i for i in range(200) if i != q), key=lambda i: (-scores[i], i))[:10]
+        own = sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)
+        assert [r.vec_id for r in own] == best and all(math.isclose(r.score, scores[r.vec_id], rel_tol=1e-12) for r in own)
+
+
+def test_vector_search_odd(spark):
+    schema = "vec_id int, embedding array<double>, rank int, score string, query_id int, uid int"
+    rows = [(i, [float(i % 7), 1.0], 1, "s", 2, 3) for i in range(50)] + [(20, [0.0, 1.0], 1, None, 2, 3), (60, [1.0, 1.0, 1.0], 1, "s", 2, 3)]
+    table = spark.createDataFrame(rows, schema)
+    found = vector_search.nearest(table, every=20, k=5).collect()
+    assert found[0].asDict().keys() == {"query_id", "rank", "vec_id", "score"}
+    # equal products by the smaller id; a row that repeats a query's id is a candidate; no other vector has three components
+    best = sorted(((-(40 % 7) * (i % 7) - 1, i) for i in range(50) if i != 40))[:5]
+    assert [r.vec_id for r in sorted((r for r in found if r.query_id == 40), key=lambda r: r.rank)] == [i for _, i in best]
+    assert [r.vec_id for r in found if r.query_id == 20 and r.rank == 1] == [6, 0]
+    assert {r.query_id for r in found} == {0, 20, 40}
+    assert vector_search.nearest(empty(table), every=20, k=5).count() == 0
+
+
+def test_runs_of_anchors_over_many_batches(spark):
+    rng = random.Random(53)
+    common = words(rng, 40)
+    docs = [(i, words(rng, 4) + common + words(rng, 4)) for i in range(150)] + [(200 + i, words(rng, 60)) for i in range(40)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = {r.doc_id: bytes(r.kept) for r in suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id int, text string"), hot=20).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    datas = [t.encode() for _, t in docs]
+    for (i, _), data, covered in zip(docs, datas, brute_cover(datas, 100), strict=True):
+        assert found[i] == bytes(x for x, c in zip(data, covered, strict=True) if not c)
+
+
+def test_warc_odd(spark):
+    import re
+
+    rng = random.Random(59)
+    html = ["<p>same</p>", "x", "", None, words(rng, 9000), "a\r\n\r\nb"]
+    rows = [(i, rng.choice(["http://a/é", None, "u\r\nX-Page-ID: 9", ""]), rng.choice(html), "x", "y", 5) for i in range(60)] + [(3, "http://again", html[0], "x", "y", 5)]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string, id string, record_type string, refers_to int")
+    folder = warc.fresh_path(spark, "warc")
+    index = warc.write_bundles(pages, folder, frame_bytes=5000, bundle_bytes=20000)
+    found = warc.read_bundles(index, folder).collect()
+    assert len(found) == len(rows) and dict(warc.read_bundles(index, folder).dtypes)["page_id"] == "int"
+    smallest = {}
+    for i, _, h, *_ in rows:
+        smallest[h or ""] = min(i, smallest.get(h or "", i))
+    texts = {(i, (h or "").encode()) for i, _, h, *_ in rows}
+    by_digest = {hashlib.sha1(h.encode()).hexdigest(): i for h, i in smallest.items()}
+    import base64
+
+    for r in found:
+        first = by_digest[base64.b32decode(r.payload_digest).hex()]
+        assert (r.record_type, r.refers_to) == (("response", None) if r.page_id == first else ("revisit", first))
+        assert any(i == r.page_id and len(h) == r.payload_bytes for i, h in texts)
+    wanted = spark.createDataFrame([(3,), (3,), (40,), (None,), (999,)], "page_id int")
+    looked = warc.lookup(index, folder, wanted).collect()
+    key = lambda r: (r.record_id, r.url)
+    assert sorted(map(key, looked)) == sorted(key(r) for r in found if r.page_id in (3, 40))
+    assert not any(re.search(r"[\r\n]", r.url) for r in found)
+
+
+def test_edits_and_packing_odd(odd):
+    assert edit_counts.edited_counts(empty(odd).withColumn("edits", F.lit(None).cast(edit_counts.EDITS)), BYTE_BPE).count() == 0
+    found = packing.pack_documents(odd, BYTE_BPE)
+    assert found.where("doc_id is null").count() == 1 and found.columns[:2] == ["doc_id", "piece"]
+
+
+def test_other_models_are_refused(monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "get_score", lambda self, i: -0.5 - i)
+    with pytest.raises(ValueError):
+        sentencepiece_codec.Codec(PIECES)
