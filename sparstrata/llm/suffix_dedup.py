@@ -17,7 +17,9 @@ equal places. Neighbouring windows mostly share an anchor and form a run.
    everywhere lies in a longer group. All but the first occurrence of a group
    are covered.
 4. Anchors with very many occurrences are salted: each share is scanned alike,
-   and the windows that are first in their share meet once more, each by itself.
+   and the windows that are first in their share meet once more. Some neighbouring
+   ones travel together at first, by the hash of the bytes that all of them hold;
+   where that is unique in the corpus they are, and only the others meet each by itself.
 """
 
 from __future__ import annotations
@@ -301,7 +303,7 @@ def _covered(pdf: pd.DataFrame, length: int, hot_from: int) -> tuple[list[tuple]
             edges = np.flatnonzero(np.diff(np.concatenate(([0], free.astype(np.int8), [0]))))
             for start, stop in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
                 doc, key, lo = own[i]
-                rest.append((doc, key, lo + start, bodies[i][start : stop - 1 + length]))
+                rest.append((doc, key, lo + start, int(pdf["anchor"].iloc[i]), bodies[i][start : stop - 1 + length]))
     return ranges, rest
 
 
@@ -346,21 +348,45 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, q: int = Q, hot: int =
                     }
                 )
 
-    out_schema = T.StructType([T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in ("key", "start", "stop")), T.StructField("context", T.BinaryType())])
+    out_schema = T.StructType([T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in ("key", "start", "stop", "anchor")), T.StructField("context", T.BinaryType())])
 
     def cover(pdf: pd.DataFrame) -> pd.DataFrame:
         ranges, rest = _covered(pdf, length, buckets)
         found = pd.DataFrame(ranges, columns=["id", "key", "start", "stop"])
-        found["context"] = None
-        left = pd.DataFrame(rest, columns=["id", "key", "start", "context"])
+        found["context"] = found["anchor"] = None
+        left = pd.DataFrame(rest, columns=["id", "key", "start", "anchor", "context"])
         left["stop"] = None
-        return pd.concat([x.astype({"id": object, "stop": "Int64"})[out_schema.names] for x in (found, left)])
+        return pd.concat([x.astype({"id": object, "stop": "Int64", "anchor": "Int64"})[out_schema.names] for x in (found, left)])
 
     ready = marked.select("id", "key", "text", "marks").mapInPandas(contexts, contexts_schema)
     found = saved(ready.groupBy("bucket").applyInPandas(cover, out_schema), "ranges")
     ranges = found.where("context is null").select("id", "key", "start", "stop")
 
-    # what salted anchors have left: each window by itself
+    # what salted anchors have left, at first in groups of windows by their distance from the anchor, which equal windows share
+    step = max(1, length // 14)
+    part_schema = T.StructType([*out_schema.fields[:3], T.StructField("context", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("h1", "h2"))])
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for pdf in batches:
+            rows, digests = [], []
+            for doc, key, start, anchor, data in zip(pdf["id"].tolist(), pdf["key"].tolist(), pdf["start"].tolist(), pdf["anchor"].tolist(), pdf["context"].tolist(), strict=True):
+                last = start + len(data) - length
+                for group in range((anchor - last) // step, (anchor - start) // step + 1):
+                    held = anchor - step * group - start  # all windows of the group hold the bytes from here on
+                    lo, hi = max(0, held - step + 1), min(last - start, held)
+                    rows.append((doc, key, start + lo, data[lo : hi + length]))
+                    digests.append(xxhash.xxh3_128_digest(group.to_bytes(8, "little") + data[held : held - step + 1 + length]))
+            out = pd.DataFrame(rows, columns=part_schema.names[:4])
+            halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            yield out.assign(h1=halves[:, 0], h2=halves[:, 1])
+
+    hot_parts = saved(found.where("context is not null").select("id", "key", "start", "anchor", "context").mapInPandas(parts, part_schema), "hot-parts")
+    again = hot_parts.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    open_parts = hot_parts.join(again, ["h1", "h2"]).select("id", "key", "start", "context")
+
+    # then each window by itself
     window_schema = T.StructType([T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in ("key", "start", "h1", "h2"))])
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -376,7 +402,7 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, q: int = Q, hot: int =
                 start = part["start"].to_numpy(np.int64)[which] + np.concatenate([np.arange(k) for k in n])
                 yield pd.DataFrame({"id": part["id"].to_numpy()[which], "key": part["key"].to_numpy()[which], "start": start, "h1": halves[:, 0], "h2": halves[:, 1]})
 
-    hot_windows = found.where("context is not null").select("id", "key", "start", "context").mapInPandas(windows, window_schema)
+    hot_windows = open_parts.mapInPandas(windows, window_schema)
     place = F.struct("id", "key", "start")
     earliest = hot_windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     more = hot_windows.join(earliest, ["h1", "h2"]).where(place > F.col("first")).select("id", "key", "start", (F.col("start") + length).alias("stop"))
