@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparstrata.operators import features, groups, levels, matrix, schedule, solve, tune
+from sparstrata.operators import analysis, features, groups, levels, matrix, schedule, solve, tune
 from sparstrata.sources import fixtures as fx
+from sparstrata.sources import market
 
 F1 = """f1 as (select i, j, ((n*5+i+j)%7+1)/16.0::double v from
  (select cast(l_orderkey%384 as bigint) i, cast(l_partkey%384 as bigint) j, count(*) n from lineitem group by 1,2)
@@ -34,9 +35,25 @@ GROUPED = f"with recursive {F1}, {ROWS}, {THRESH}, {GLEV}"
 PACK = ", pk as (select g, level part, rn//4 pack, rn%4 lane, nnz from (select *, row_number() over (partition by level order by {order}) - 1 rn from gt))"
 ORD = """, od as (select part, pack, (row_number() over (order by part, pack)) - 1 ordinal, cast(sum(nnz) as bigint) "load" from pk group by part, pack)"""
 SIMPLE, BALANCED = PACK.format(order="g"), PACK.format(order="nnz desc, g")
+NODEP = """{with_}, pr as (select i, max(j) p from {entries} where j<i group by i), nx as (select a.i s, least(coalesce((select min(pr.i) from pr where pr.i>a.i and pr.i<a.i+{alpha} and pr.p>=a.i), a.i+{alpha}), a.i+{alpha}) nxt from rn a),
+ st(s) as (select 0::bigint union all select nxt from st join nx using(s) where nxt <= (select max(i) from rn)), gs as (select s, lead(s) over (order by s) e from st)
+ select rn.i, n, s g from rn join gs on rn.i>=s and (e is null or rn.i<e)"""
 BLOCK_SQL = """with t(k) as (select * from range(8)) select cast(2*k as bigint) block, 'triangle' kind, cast(48*k as bigint) up, cast(48*(k+1) as bigint) down, cast(48*k as bigint) "left", cast(48*(k+1) as bigint) "right" from t
  union all select cast(2*k+1 as bigint), 'rectangle', cast(48*(k+1) as bigint), cast(48*(k+1+((k+1) & (-(k+1)))) as bigint), cast(48*(k+1-((k+1) & (-(k+1)))) as bigint), cast(48*(k+1) as bigint) from t where k<7"""
 
+# a matrix that grows with orders: each customer's orders are a chain
+OC = """oc as (select i, rn, c, 8.0::double d, one, three, (i+one)%5+1 v1, (i+three)%5+1 v3 from (select cast(o_orderkey as bigint) i, o_custkey c,
+ row_number() over (partition by o_custkey order by o_orderkey) rn, cast(lag(o_orderkey, 1) over (partition by o_custkey order by o_orderkey) as bigint) one,
+ cast(lag(o_orderkey, 3) over (partition by o_custkey order by o_orderkey) as bigint) three from orders)),
+ oe as (select i, one j, v1::double v from oc where one is not null union all select i, three, v3::double from oc where three is not null union all select i, i, 8.0::double from oc)"""
+OLEV = "ol as (select i, rn - 1 as level from oc)"
+CHAIN = """, sx(c, rn, i, x, x1, x2) as (select c, rn, i, (i%7+1)/8.0::double, 0.0::double, 0.0::double from oc where rn = 1
+ union all select oc.c, oc.rn, oc.i, ((oc.i%7+1) - (oc.v1*sx.x + coalesce(oc.v3, 0)*sx.x2))/8.0::double, sx.x, sx.x1 from sx join oc on oc.c = sx.c and oc.rn = sx.rn + 1)"""
+RUNS = """runs as (select cast(user_id as bigint) matrix, cast(event_id%12 as bigint) plan, min(value)+1 "time" from events group by 1,2)"""
+INFO = "info as (select cast(user_id as bigint) matrix, count(distinct ts) m, count(*)*10 nnz from events group by 1)"
+LORD = "o as (select i, row_number() over (order by level, i) - 1 place from lev)"
+KNOWN = "kx as (select r, i, ((i*7+r*3)%10+1)::double x from range(3) a(r), range(384) b(i))"
+
 
 def _l(spark, d):
     return fx.lower_triangle(spark, d)
@@ -66,6 +83,39 @@ def _packs(spark, d, balanced=False):
     return schedule.packs(_groups(spark, d), 4, balanced=balanced)
 
 
+def _o(spark, d):
+    return fx.order_chain(spark, d)
+
+
+def _order(spark, d):
+    return levels.level_order(_levels(spark, d))
+
+
+def many_sides(spark, d):
+    """Three right-hand sides made from known solutions, solved together."""
+    a = _l(spark, d)
+    return solve.solve_many(a, solve.known_solution(a, fx.M, 3)[1])
+
+
+def known_error(spark, d):
+    a = _l(spark, d)
+    known, b = solve.known_solution(a, fx.M, 3)
+    return solve.relative_error(solve.solve_many(a, b), known)
+
+
+def segments(spark, d):
+    values = matrix.row_counts(_o(spark, d)).select("i", F.col("n").alias("v"), (F.col("i") % 37 == 5).alias("flag"))
+    return matrix.segment_sums(values)
+
+
+def chosen_score(spark, d):
+    """A plan chooser learned from some matrices, scored on the others."""
+    runs = tune.informed(fx.run_log(spark, d), fx.matrix_info(spark, d), 100).withColumn("m", F.col("m").cast("double")).withColumn("size", F.log("nnz"))
+    train, test = tune.split_by_matrix(runs)
+    model = tune.plan_chooser(train, ["m", "size"])
+    return tune.score(tune.chosen_plans(model, test.select("matrix", "m", "size").distinct()), test)
+
+
 def _blocks(spark, depth=3):
     return spark.createDataFrame(solve.block_bounds(fx.M, depth), "block long, kind string, up long, down long, left long, right long")
 
@@ -120,8 +170,47 @@ QUERIES = {
     "plan_labels": lambda s, d: tune.labels(fx.perf_log(s, d)),
     "best_plan": lambda s, d: tune.best_plans(fx.perf_log(s, d)),
     "popular_plan": lambda s, d: tune.popular_plan(fx.perf_log(s, d), 3),
+    "order_entries": lambda s, d: _o(s, d),
+    "order_levels": lambda s, d: levels.level_sets(_o(s, d)),
+    "order_level_order": lambda s, d: levels.level_order(levels.level_sets(_o(s, d))),
+    "order_row_pointers": lambda s, d: _order_pointers(s, d),
+    "order_product": lambda s, d: matrix.multiply(_o(s, d), fx.order_sides(s, d).withColumnRenamed("b", "x")),
+    "order_solve": lambda s, d: solve.solve_levels(_o(s, d), fx.order_sides(s, d)).select("i", F.round("x", 9).alias("x")),
+    "order_thresh": lambda s, d: groups.by_threshold(matrix.row_counts(_o(s, d)), 2),
+    "order_nodep": lambda s, d: groups.by_independence(_o(s, d), matrix.row_counts(_o(s, d)), 8),
+    "group_nodep": lambda s, d: groups.by_independence(_l(s, d), _rows(s, d), 8),
+    "group_pattern": lambda s, d: groups.by_pattern(_l(s, d), _rows(s, d), 8),
+    "segment_sums": segments,
+    "market_round_trip": lambda s, d: market.market_round_trip(_o(s, d), fx.order_sides(s, d).count()),
+    "permute_vector": lambda s, d: matrix.permuted_vector(_x(s, fx.M), _order(s, d)),
+    "unpermute_vector": lambda s, d: matrix.permuted_vector(_x(s, fx.M), _order(s, d), back=True),
+    "permute_rows": lambda s, d: matrix.permuted_axis(_l(s, d), _order(s, d), "i"),
+    "permute_columns": lambda s, d: matrix.permuted_axis(_l(s, d), _order(s, d), "j"),
+    "level_order_backward": lambda s, d: levels.level_order(_levels(s, d), backward=True),
+    "vector_subtract": lambda s, d: matrix.subtracted(fx.right_side(s), matrix.multiply(fx.skewed(s, d).withColumn("v", F.lit(0.5)), _x(s, 4096))),
+    "sub_triangle": lambda s, d: matrix.block(_l(s, d), 192, 384, 192, 384),
+    "sub_rectangle": lambda s, d: matrix.block(_l(s, d), 192, 384, 0, 192),
+    "level_graph_nodes": lambda s, d: levels.level_graph(_l(s, d), _levels(s, d), 3)[0],
+    "level_graph_edges": lambda s, d: levels.level_graph(_l(s, d), _levels(s, d), 3)[1],
+    "regrouped": lambda s, d: levels.regrouped(_groups(s, d).select("g", "n_rows"), _groups(s, d).select("g", "level")),
+    "solve_many": many_sides,
+    "known_error": known_error,
+    "solve_recblock_backward": lambda s, d: solve.solve_blocks_backward(matrix.transpose(_l(s, d)), fx.right_side(s), fx.M, 2),
+    "block_methods": lambda s, d: solve.block_methods(_l(s, d), _blocks(s)),
+    "solve_reordered": lambda s, d: analysis.solve_and_verify(_l(s, d), fx.right_side(s), analysis.Plan(reorder=True))[0],
+    "plan_parts": lambda s, d: analysis.analyse(_l(s, d), analysis.Plan(by_level=False)),
+    "plan_space": lambda s, d: tune.plan_space(s).join(F.broadcast(tune.best_plans(fx.run_log(s, d)).agg(F.count("*").alias("n_matrices"))), F.lit(True)),
+    "runs_informed": lambda s, d: tune.informed(fx.run_log(s, d), fx.matrix_info(s, d), 500),
+    "runs_complete": lambda s, d: tune.complete(fx.run_log(s, d), 12),
+    "run_labels": lambda s, d: tune.labels(fx.run_log(s, d)),
+    "run_throughput": lambda s, d: tune.informed(fx.run_log(s, d), fx.matrix_info(s, d), 0).select("matrix", "plan", *features.throughput(F.col("nnz"), F.col("m"), F.col("time"))),
+    "chosen_score": chosen_score,
 }
 
+
+def _order_pointers(spark, d):
+    return matrix.row_pointers(_o(spark, d), fx.order_sides(spark, d).count())
+
 ORACLES = {
     "spmv": f"with {F1} select i, sum(v*((j%5)+1)) y from f1 group by i",
     "spmv_long_row_split": f"with {SKEW} select i, sum(0.5::double*((j%5)+1)) y from sk group by i",
@@ -143,7 +232,9 @@ ORACLES = {
     "solve_neumann": FORWARD,
     "solve_recblock": FORWARD,
     "solve_backward": SOLVE.format(f1=F1, rhs=RHS, a="j", b="i"),
-    "residual_check": 'select 0.0::double max_error, 0::bigint as "at", 0.0::double rel_l1',
+    "residual_check": f"""{FORWARD.rsplit("select", 1)[0].rstrip()}, x as (select i, sum(v) x from y group by i), e as (select rhs.i, abs(b - s) e, abs(b) size
+ from rhs join (select f1.i, sum(f1.v*x.x) s from f1 join x on x.i=f1.j group by f1.i) p on p.i=rhs.i)
+ select max(e) max_error, (select i from e order by e desc, i limit 1) as "at", sum(e)/sum(size) rel_l1 from e""",
     "group_block": f"with {F1}, {ROWS} select i, n, (i//8)*8 g from rn",
     "group_thresh": f"with {F1}, {ROWS}, {THRESH} select i, n, g from th",
     "group_avg": f"with {F1}, {ROWS} select i, n, case when cast(sum(n) over (partition by i//32) as bigint)//count(*) over (partition by i//32) < 4 then (i//32)*32 else i end g from rn",
@@ -163,4 +254,40 @@ ORACLES = {
     "plan_labels": f'with {PERF} select matrix, plan, min("time") over (partition by matrix)/"time" >= 0.85::double good from perf',
     "best_plan": f'with {PERF} select matrix, plan, "time" from (select *, row_number() over (partition by matrix order by "time", plan) r from perf) where r=1',
     "popular_plan": f'with {PERF}, lb as (select matrix, plan, min("time") over (partition by matrix)/"time" >= 0.85::double good from perf where matrix<>3), ch as (select plan from lb group by plan order by count(*) filter (good) desc, plan limit 1) select matrix, plan, ratio from (select *, min("time") over ()/"time" ratio from perf where matrix=3) where plan in (select plan from ch)',
+    "order_entries": f"with {OC} select i, j, v from oe",
+    "order_levels": f"with {OC}, {OLEV} select i, level from ol",
+    "order_level_order": f"with {OC}, {OLEV} select i, row_number() over (order by level, i) - 1 place from ol",
+    "order_row_pointers": f"with {OC} select i, cast(coalesce(sum(n) over (order by i rows between unbounded preceding and 1 preceding), 0) as bigint) ptr from (select i, count(*) n from oe group by i)",
+    "order_product": f"with {OC} select i, sum(v*(j%7+1)) y from oe group by i",
+    "order_solve": f"with recursive {OC}{CHAIN} select i, round(x, 9) x from sx",
+    "order_thresh": f"""with {OC}, rn as (select i, count(*) n from oe group by i), th as (select i, n, case when n>2 then i else st + ((i-st)//32)*32 end g from
+ (select i, n, coalesce(max(case when n>2 then i+1 end) over (order by i rows unbounded preceding), 0) st from rn)) select i, n, g from th""",
+    "group_nodep": NODEP.format(with_=f"with recursive {F1}, {ROWS}", entries="f1", alpha=8),
+    "group_pattern": f"""with recursive {F1}, {ROWS}, pt as (select a.i s, b.i, coalesce((select string_agg(j, ',' order by j) from f1 where f1.i=b.i and f1.j<a.i), '') p
+ from rn a join rn b on b.i>=a.i and b.i<a.i+8), nx as (select s, least(min(case when pt.p<>o.p then pt.i end), s+8) nxt from pt join (select s z, p from pt where i=s) o on o.z=pt.s group by s),
+ st(s) as (select 0::bigint union all select nxt from st join nx using(s) where nxt < 384) select rn.i, n, (select max(s) from st where st.s<=rn.i) g from rn""",
+    "segment_sums": f"with {OC}, rn as (select i, count(*) n from oe group by i) select cast(seg as bigint) segment, cast(sum(n) as bigint) v from (select n, sum((i%37=5)::int) over (order by i rows unbounded preceding) seg from rn) group by seg",
+    "market_round_trip": f"with {OC} select i, j, v from oe",
+    "permute_vector": f"with recursive {F1}, {LEV}, {LORD} select place i, (i%5+1)::double x from o",
+    "unpermute_vector": f"with recursive {F1}, {LEV}, {LORD} select i, (place%5+1)::double x from o",
+    "permute_rows": f"with recursive {F1}, {LEV}, {LORD} select place i, j, v from f1 join o using(i)",
+    "permute_columns": f"with recursive {F1}, {LEV}, {LORD} select f1.i, place j, v from f1 join o on o.i=f1.j",
+    "level_order_backward": f"with recursive {F1}, {LEV}, {LORD} select i, 383 - place place from o",
+    "vector_subtract": f"with {SKEW}, {RHS} select i, b - coalesce(y, 0) b from rhs left join (select i, sum(0.5::double*((j%5)+1)) y from sk group by i) using(i)",
+    "sub_triangle": f"with {F1} select i-192 i, j-192 j, v from f1 where i>=192 and j>=192",
+    "sub_rectangle": f"with {F1} select i-192 i, j, v from f1 where i>=192 and j<192",
+    "level_graph_nodes": f"with recursive {F1}, {LEV}, n as (select * from lev where level<3), e as (select f1.j src, f1.i dst from f1 join n a on a.i=f1.j join n b on b.i=f1.i where f1.i<>f1.j) select i, level, (select count(*) from e where dst=i) n_in, (select count(*) from e where src=i) n_out from n",
+    "level_graph_edges": f"with recursive {F1}, {LEV}, n as (select * from lev where level<3) select f1.j src, f1.i dst from f1 join n a on a.i=f1.j join n b on b.i=f1.i where f1.i<>f1.j",
+    "regrouped": f'{GROUPED} select g, row_number() over (order by level, g) - 1 place, cast(coalesce(sum(n_rows) over (order by level, g rows between unbounded preceding and 1 preceding), 0) as bigint) "first" from gt',
+    "solve_many": f"with {KNOWN} select r, i, x from kx",
+    "known_error": "select r, 0.0::double max_error, 0.0::double rel_l1 from range(3) t(r)",
+    "solve_recblock_backward": SOLVE.format(f1=F1, rhs=RHS, a="j", b="i"),
+    "solve_reordered": FORWARD,
+    "plan_parts": f"{GROUPED} select g, n_rows, nnz, level, flags, 0::bigint part from gt",
+    "plan_space": """select tbs, sws, rp, alpha, lp, ls, ws, rg, (select count(distinct user_id) from events) n_matrices from (select unnest([64,256,1024]) tbs), (select unnest([1,4,8]) sws), (select unnest([0,1,2]) rp),
+ (select unnest([1,4,8,16,32]) alpha), (select unnest([0,1]) lp), (select 1 ls), (select unnest([0,1,2]) ws), (select unnest([0,1]) rg) where not (lp=1 and sws>1) and not (lp=1 and rg=1)""",
+    "runs_informed": f'with {RUNS}, {INFO} select matrix, plan, "time", m, nnz from runs join info using(matrix) where nnz>=500',
+    "runs_complete": f'with {RUNS} select matrix, plan, "time" from runs where matrix in (select matrix from runs group by matrix having count(*)=12)',
+    "run_labels": f'with {RUNS} select matrix, plan, min("time") over (partition by matrix)/"time" >= 0.85::double good from runs',
+    "run_throughput": f'with {RUNS}, {INFO} select matrix, plan, (2*nnz+m)/1073741824.0::double*1048576.0::double/"time" gflops, nnz*12+m*20 bytes from runs join info using(matrix)',
 }

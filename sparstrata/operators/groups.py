@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparstrata.functions.scan import prefix
+from sparstrata.functions.storage import forget, written
 from sparstrata.operators.levels import level_sets
+from sparstrata.operators.matrix import row_counts
 
 CAP = 32
 BUFFER = 8
@@ -19,21 +22,68 @@ def by_block(rows: DataFrame, alpha: int) -> DataFrame:
 def by_threshold(rows: DataFrame, alpha: int, cap: int = CAP) -> DataFrame:
     """Rows over ``alpha`` entries stay alone; runs of others are cut every ``cap`` rows from the run's start.
 
-    A run's start is the place after the last long row: a running maximum,
-    taken inside blocks of rows and carried over the blocks' own maxima.
+    A run's start is the place after the last long row, a running maximum.
     """
-    block = F.expr("i div 4096")
     long = F.when(F.col("n") > alpha, F.col("i") + 1)
-    marked = rows.withColumns({"block": block, "after": long})
-    ends = marked.groupBy("block").agg(F.max("after").alias("end"))
-    carried = ends.alias("a").join(ends.alias("b"), F.expr("b.block < a.block"), "left").groupBy(F.col("a.block").alias("block")).agg(F.max("b.end").alias("carry"))
-    inside = Window.partitionBy("block").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    placed = marked.withColumn("last", F.max("after").over(inside)).join(carried, "block")
-    start = F.coalesce(F.greatest("last", "carry"), F.lit(0))
+    start = F.coalesce("last", F.lit(0))
     cut = start + F.floor((F.col("i") - start) / cap) * cap
+    placed = prefix(rows.withColumn("after", long), "i", "after", "last", "max")
     return placed.select("i", "n", F.when(F.col("n") > alpha, F.col("i")).otherwise(cut).alias("g"))
 
 
+def _chained(rows: DataFrame, following: DataFrame) -> DataFrame:
+    """(i, n, g): groups that start at row 0 and, from each start s of following(s, next), at the next.
+
+    Starts are found by pointer doubling: a turn joins the starts known with jumps
+    over twice as many groups, so the turns are the logarithm of the groups.
+    """
+    jumps = written(following, "jumps")
+    starts = written(jumps.where("s = 0").select("s"), "starts")
+    known = -1
+    while known < (known := starts.count()):
+        ahead = starts.join(jumps, "s").where("next is not null").select(F.col("next").alias("s"))
+        past_starts, starts = starts, written(starts.unionByName(ahead).distinct(), "starts")
+        twice = jumps.join(jumps.select(F.col("s").alias("next"), F.col("next").alias("later")), "next", "left")
+        past_jumps, jumps = jumps, written(twice.select("s", F.col("later").alias("next")), "jumps")
+        forget(past_starts, past_jumps)
+    marked = rows.join(starts.select(F.col("s").alias("i"), F.col("s").alias("start")), "i", "left")
+    carried = prefix(marked, "i", "start", "before", "max")
+    return carried.select("i", "n", F.coalesce("start", "before").alias("g"))
+
+
+def by_independence(a: DataFrame, rows: DataFrame, alpha: int) -> DataFrame:
+    """(i, n, g): a group goes on while no row depends on another of it and it has fewer than ``alpha`` rows.
+
+    Rows are numbered from 0 without gaps.
+    """
+    nearest = a.where("j < i").groupBy("i").agg(F.max("j").alias("p"))
+    # the first row within reach of s that depends on s or a later one, or the row after the longest group
+    near = rows.select("i").join(nearest, "i", "left").where("p is not null and i - p < " + str(alpha))
+    cut = near.select(F.col("i"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("i") - alpha + 1), F.col("p"))).alias("s")).groupBy("s").agg(F.min("i").alias("stop"))
+    ends = rows.select(F.col("i").alias("s")).join(cut, "s", "left").withColumn("next", F.coalesce("stop", F.col("s") + alpha))
+    last = rows.select(F.col("i").alias("next"), F.lit(True).alias("there"))
+    following = ends.join(last, "next", "left").select("s", F.when(F.col("there"), F.col("next")).alias("next"))
+    return _chained(rows, following)
+
+
+def by_pattern(a: DataFrame, rows: DataFrame, cap: int = CAP) -> DataFrame:
+    """(i, n, g): a group goes on while a row has the dependencies of its first row outside the group, and has fewer than ``cap`` rows.
+
+    Patterns are compared by length and two sums of hashes of their columns
+    before each possible start. Rows are numbered from 0 without gaps.
+    """
+    # what row i depends on before s, for each s that i may share a group with
+    shared = rows.select("i", F.explode(F.sequence(F.greatest(F.lit(0), F.col("i") - cap + 1), F.col("i"))).alias("s"))
+    mark = lambda salt: F.coalesce(F.sum(F.when(F.col("j") < F.col("s"), F.shiftright(F.xxhash64("j", F.lit(salt)), 24))), F.lit(0))
+    size = F.coalesce(F.sum((F.col("j") < F.col("s")).cast("long")), F.lit(0))
+    seen = shared.join(a.where("j < i").select("i", "j"), "i", "left").groupBy("s", "i").agg(F.struct(size.alias("n"), mark(1).alias("x"), mark(2).alias("y")).alias("pattern"))
+    first = seen.where("s = i").select("s", F.col("pattern").alias("own"))
+    cut = seen.join(first, "s").where("pattern <> own").groupBy("s").agg(F.min("i").alias("stop"))
+    ends = rows.select(F.col("i").alias("s")).join(cut, "s", "left").withColumn("next", F.coalesce("stop", F.col("s") + cap))
+    last = rows.select(F.col("i").alias("next"), F.lit(True).alias("there"))
+    return _chained(rows, ends.join(last, "next", "left").select("s", F.when(F.col("there"), F.col("next")).alias("next")))
+
+
 def by_average(rows: DataFrame, alpha: int, cap: int = CAP) -> DataFrame:
     """``cap`` rows are one group if their whole average of entries is under ``alpha``, else each is its own."""
     block = (F.expr(f"i div {cap}") * cap).alias("block")
@@ -42,13 +92,21 @@ def by_average(rows: DataFrame, alpha: int, cap: int = CAP) -> DataFrame:
     return joined.select("i", "n", F.when(F.expr("nnz div rows") < alpha, F.col("block")).otherwise(F.col("i")).alias("g"))
 
 
-STRATEGIES = {"ROW_BLOCK": by_block, "ROW_BLOCK_THRESH": by_threshold, "ROW_BLOCK_AVG": by_average}
+#: Each takes a matrix, the entries of its rows(i, n), and a threshold.
+STRATEGIES = {
+    "ROW_BLOCK": lambda a, rows, alpha: by_block(rows, alpha),
+    "ROW_BLOCK_THRESH": lambda a, rows, alpha: by_threshold(rows, alpha),
+    "ROW_BLOCK_AVG": lambda a, rows, alpha: by_average(rows, alpha),
+    "ROW_BLOCK_NODEP": by_independence,
+    "SUPERNODE_BLOCK": lambda a, rows, alpha: by_pattern(a, rows),
+}
 
 
-def grouped(rows: DataFrame, strategy: str, alpha: int) -> DataFrame:
+def grouped(a: DataFrame, strategy: str, alpha: int) -> DataFrame:
+    """(i, n, g) by one of the strategies; others are not implemented."""
     if strategy not in STRATEGIES:
         raise NotImplementedError(f"row grouping {strategy}")
-    return STRATEGIES[strategy](rows, alpha)
+    return STRATEGIES[strategy](a, row_counts(a), alpha)
 
 
 def group_table(a: DataFrame, groups: DataFrame, lanes: int = 1) -> DataFrame:

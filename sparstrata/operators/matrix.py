@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparstrata.functions.scan import prefix
+from sparstrata.functions.storage import written
+
+#: Numbers of long rows are broadcast up to so many (8 bytes each), beyond that joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
 
 def transpose(a: DataFrame) -> DataFrame:
     return a.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
@@ -32,17 +38,9 @@ def row_counts(a: DataFrame) -> DataFrame:
 
 
 def row_pointers(a: DataFrame, m: int) -> DataFrame:
-    """(i, ptr): entries before each row, empty rows included.
-
-    Prefix sums run inside blocks of rows and over the blocks' totals, so that
-    no window holds all rows.
-    """
-    block = F.expr("i div 4096")
-    counts = a.sparkSession.range(m).select(F.col("id").alias("i")).join(row_counts(a), "i", "left").select("i", F.coalesce("n", F.lit(0)).alias("n"), block.alias("block"))
-    totals = counts.groupBy("block").agg(F.sum("n").alias("total"))
-    before = totals.alias("a").join(totals.alias("b"), F.expr("b.block < a.block"), "left").groupBy(F.col("a.block").alias("block")).agg(F.coalesce(F.sum("b.total"), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("block").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("local", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(before, "block").select("i", (F.col("base") + F.col("local")).alias("ptr"))
+    """(i, ptr): entries before each row, empty rows included."""
+    counts = a.sparkSession.range(m).select(F.col("id").alias("i")).join(row_counts(a), "i", "left").select("i", F.coalesce("n", F.lit(0)).alias("n"))
+    return prefix(counts, "i", "n", "ptr").select("i", "ptr")
 
 
 def multiply(a: DataFrame, x: DataFrame) -> DataFrame:
@@ -52,10 +50,15 @@ def multiply(a: DataFrame, x: DataFrame) -> DataFrame:
 
 
 def multiply_split(a: DataFrame, x: DataFrame, longest: int, pieces: int = 16) -> DataFrame:
-    """As ``multiply``, with rows over ``longest`` entries summed in pieces first."""
-    counts = row_counts(a).where(F.col("n") > longest).select("i", F.lit(True).alias("long"))
+    """As ``multiply``, with rows over ``longest`` entries summed in pieces first.
+
+    There are few such rows: their numbers are broadcast up to ``BROADCAST_ROWS``,
+    so that no join sends a long row to one task.
+    """
+    long = written(long_rows(a, longest).select("i", F.lit(True).alias("long")), "long-rows")
+    long = F.broadcast(long) if long.count() <= BROADCAST_ROWS else long
     piece = F.when(F.col("long"), F.pmod("j", F.lit(pieces))).otherwise(F.lit(0))
-    marked = a.join(counts, "i", "left").withColumn("piece", piece)
+    marked = a.join(long, "i", "left").withColumn("piece", piece)
     part = marked.join(x.select(F.col("i").alias("j"), "x"), "j").groupBy("i", "piece").agg(F.sum(F.col("v") * F.col("x")).alias("y"))
     return part.groupBy("i").agg(F.sum("y").alias("y"))
 
@@ -65,12 +68,9 @@ def long_rows(a: DataFrame, longest: int) -> DataFrame:
 
 
 def compact_rows(a: DataFrame) -> DataFrame:
-    """(i, row): numbers of the non-empty rows, by ranks inside blocks of rows and the blocks' totals."""
-    rows = a.select("i").distinct().withColumn("block", F.expr("i div 4096"))
-    totals = rows.groupBy("block").agg(F.count("*").alias("total"))
-    before = totals.alias("a").join(totals.alias("b"), F.expr("b.block < a.block"), "left").groupBy(F.col("a.block").alias("block")).agg(F.coalesce(F.sum("b.total"), F.lit(0)).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("block").orderBy("i")).cast("long") - 1
-    return rows.withColumn("rank", rank).join(before, "block").select("i", (F.col("base") + F.col("rank")).alias("row"))
+    """(i, row): numbers of the non-empty rows."""
+    rows = a.select("i").distinct().withColumn("one", F.lit(1).cast("long"))
+    return prefix(rows, "i", "one", "row").select("i", "row")
 
 
 def roots(a: DataFrame) -> DataFrame:
@@ -92,6 +92,44 @@ def permuted(a: DataFrame, order: DataFrame) -> DataFrame:
     return a.join(rows, "i").join(columns, "j").select(F.col("row").alias("i"), F.col("column").alias("j"), "v")
 
 
+def permuted_axis(a: DataFrame, order: DataFrame, axis: str) -> DataFrame:
+    """Rows (axis i) or columns (axis j) alone renumbered by order(i, place)."""
+    if axis not in ("i", "j"):
+        raise ValueError(f"no axis {axis}")
+    own = order.select(F.col("i").alias(axis), F.col("place").alias("to"))
+    return a.join(own, axis).withColumn(axis, F.col("to")).select("i", "j", "v")
+
+
+def permuted_vector(x: DataFrame, order: DataFrame, back: bool = False) -> DataFrame:
+    """A vector (i, x) in a new order(i, place), or with ``back`` from it to the old one."""
+    to, at = ("i", "place") if back else ("place", "i")
+    return x.withColumnRenamed("i", "from").join(order.select(F.col(at).alias("from"), F.col(to).alias("i")), "from").select("i", "x")
+
+
+def subtracted(b: DataFrame, y: DataFrame) -> DataFrame:
+    """(i, b): b less y(i, y), which counts as 0 where it has no row."""
+    return b.join(y, "i", "left").select("i", (F.col("b") - F.coalesce("y", F.lit(0.0))).alias("b"))
+
+
+def block(a: DataFrame, up: int, down: int, left: int, right: int) -> DataFrame:
+    """The entries of rows [up, down) and columns [left, right), both renumbered from 0."""
+    inside = (F.col("i") >= up) & (F.col("i") < down) & (F.col("j") >= left) & (F.col("j") < right)
+    return a.where(inside).select((F.col("i") - up).alias("i"), (F.col("j") - left).alias("j"), "v")
+
+
+def segment_sums(values: DataFrame) -> DataFrame:
+    """(segment, v) of values(i, v, flag): a flag opens a segment at its place; values before the first one are segment 0."""
+    flags = values.withColumn("flag", F.col("flag").cast("long"))
+    placed = prefix(flags, "i", "flag", "before").withColumn("segment", F.col("before") + F.col("flag"))
+    return placed.groupBy("segment").agg(F.sum("v").alias("v"))
+
+
+def seeded_values(a: DataFrame, seed: int = 0) -> DataFrame:
+    """All values replaced by numbers in [1, 2) that depend on place and seed alone."""
+    share = F.pmod(F.xxhash64("i", "j", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
+    return a.select("i", "j", (1.0 + share).alias("v"))
+
+
 def padded_rows(a: DataFrame, height: int) -> DataFrame:
     """(g, slot, lane, j, v): groups of ``height`` rows padded to their longest row, the diagonal in the last slot."""
     inner = Window.partitionBy("i").orderBy(F.expr("i = j"), "j")

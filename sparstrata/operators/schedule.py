@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparstrata.functions.scan import prefix
+
 UNITS = 80
 WARP = 32
 
@@ -24,9 +26,7 @@ def packs(groups: DataFrame, lanes: int, by_level: bool = True, balanced: bool =
 def ordinals(packed: DataFrame) -> DataFrame:
     """(part, pack, ordinal, load): packs numbered over all partitions, partition after partition."""
     each = packed.groupBy("part", "pack").agg(F.sum("nnz").alias("load"), F.min("g").alias("first"))
-    sizes = each.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.expr("b.part < a.part"), "left")
-    before = before.groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("base"))
+    before = prefix(each.groupBy("part").agg(F.count("*").alias("n")), "part", "n", "base").select("part", "base")
     return each.join(before, "part").select("part", "pack", (F.col("base") + F.col("pack")).alias("ordinal"), "load", "first")
 
 
@@ -79,7 +79,5 @@ def launches(numbered: DataFrame, kind: str, threshold: int = UNITS) -> DataFram
         return sizes.select("part", "n_packs", F.col("part").alias("launch"))
     if kind != "THRESH_LEVEL":
         raise NotImplementedError(f"launch policy {kind}")
-    # partitions are levels: their number is small beside that of rows
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     big = (F.col("n_packs") >= threshold).cast("long")
-    return sizes.withColumn("launch", F.coalesce(F.sum(big).over(before), F.lit(0)))
+    return prefix(sizes.withColumn("big", big), "part", "big", "launch").drop("big")

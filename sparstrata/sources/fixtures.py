@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 M = 384
@@ -44,3 +44,34 @@ def perf_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tuning history (matrix, plan, time) from ``events``."""
     events = _read(spark, sf_dir, "events")
     return events.groupBy((F.col("user_id") % 8).cast("long").alias("matrix"), (F.col("event_id") % 12).cast("long").alias("plan")).agg((F.min("value") + 1).alias("time"))
+
+
+def order_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lower triangular (i, j, v) with a row for each of ``orders``, which grows with the table.
+
+    An order depends on its customer's order before and on the third before; the diagonal is 8.
+    """
+    own = Window.partitionBy("o_custkey").orderBy("i")
+    rows = _read(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").cast("long").alias("i"))
+    back = rows.select("i", F.lag("i", 1).over(own).alias("one"), F.lag("i", 3).over(own).alias("three"))
+    entry = lambda j, v: F.struct(j.alias("j"), v.cast("double").alias("v"))
+    value = lambda j: (F.col("i") + F.col(j)) % 5 + 1
+    entries = F.array(entry(F.col("one"), value("one")), entry(F.col("three"), value("three")), entry(F.col("i"), F.lit(8)))
+    return back.select("i", F.explode(entries).alias("e")).where("e.j is not null").select("i", "e.j", "e.v")
+
+
+def order_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Right-hand side (i, b) of ``order_chain``."""
+    return _read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("i"), (F.col("o_orderkey") % 7 + 1).cast("double").alias("b"))
+
+
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tuning history (matrix, plan, time) that grows with ``events``: a matrix for each user; not all have run all plans."""
+    events = _read(spark, sf_dir, "events")
+    return events.groupBy(F.col("user_id").cast("long").alias("matrix"), (F.col("event_id") % 12).cast("long").alias("plan")).agg((F.min("value") + 1).alias("time"))
+
+
+def matrix_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(matrix, m, nnz): size of each user's matrix of ``events``."""
+    events = _read(spark, sf_dir, "events")
+    return events.groupBy(F.col("user_id").cast("long").alias("matrix")).agg(F.countDistinct("ts").alias("m"), (F.count("*") * 10).alias("nnz"))

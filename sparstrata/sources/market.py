@@ -2,43 +2,128 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparstrata.operators.matrix import expand_symmetric
+from sparstrata.functions.storage import fresh_path
+from sparstrata.operators.matrix import expand_symmetric, row_pointers
+
+
+class Header(NamedTuple):
+    m: int
+    n: int
+    nnz: int
+    field: str
+    symmetry: str
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("line")]
+    return spark.read.text(path).select("value", *place)
+
 
+def market_header(spark: SparkSession, path: str) -> Header:
+    """Sizes and kind of a coordinate file: its banner, and the first line of the same file that is neither comment nor blank.
 
-def read_market(spark: SparkSession, path: str) -> DataFrame:
-    """(i, j, v), 0-based, of a coordinate file; symmetric ones are expanded, pattern entries are 1."""
-    lines = spark.read.text(path)
-    # the banner and the size line, the first that is no comment, are one row each
-    banner = lines.where(F.col("value").startswith("%%MatrixMarket")).first()
+    Comments between the two fit into the file's first split.
+    """
+    return _header(_lines(spark, path))[0]
+
+
+def _header(lines: DataFrame) -> tuple[Header, tuple[str, int]]:
+    banner = lines.where(F.col("value").startswith("%%MatrixMarket")).orderBy("line").first()
     if banner is None:
         raise ValueError("no banner")
-    words = banner[0].lower().split()
-    if len(words) != 5 or words[1:3] != ["matrix", "coordinate"] or words[3] not in ("real", "integer", "pattern") or words[4] not in ("general", "symmetric", "hermitian"):
-        raise ValueError(f"not supported: {banner[0]}")
-    body = lines.where(~F.col("value").startswith("%") & (F.trim("value") != "")).select(F.monotonically_increasing_id().alias("line"), F.split(F.trim("value"), "\\s+").alias("p"))
-    size_line = body.agg(F.min("line")).first()[0]
-    value = F.lit(1.0) if words[3] == "pattern" else F.col("p")[2].cast("double")
-    entries = body.where(F.col("line") != size_line).select((F.col("p")[0].cast("long") - 1).alias("i"), (F.col("p")[1].cast("long") - 1).alias("j"), value.alias("v"))
-    return entries if words[4] == "general" else expand_symmetric(entries)
+    words = banner["value"].lower().split()
+    if len(words) != 5 or words[1] != "matrix" or words[2] != "coordinate" or words[3] not in ("real", "integer", "pattern", "complex") or words[4] not in ("general", "symmetric", "hermitian"):
+        raise ValueError(f"not supported: {banner['value']}")
+    if words[4] == "hermitian" and words[3] in ("real", "pattern"):
+        raise ValueError(f"not a valid kind: {banner['value']}")
+    own = lines.where((F.col("file") == banner["file"]) & (F.col("part") == banner["part"]))
+    sizes = own.where(~F.col("value").startswith("%") & (F.trim("value") != "")).orderBy("line").first()
+    numbers = [] if sizes is None else sizes["value"].split()
+    if len(numbers) != 3 or not all(x.isdigit() for x in numbers):
+        raise ValueError("no sizes")
+    return Header(*map(int, numbers), words[3], words[4]), (sizes["file"], sizes["line"])
+
+
+def read_market(spark: SparkSession, path: str, real_part: bool = False) -> DataFrame:
+    """(i, j, v), 0-based, of a coordinate file or a folder of its pieces; symmetric ones are expanded, pattern entries are 1.
+
+    The number of entries and the range of their indices are checked against the
+    sizes. Complex values are refused, or with ``real_part`` lose the other part.
+    """
+    lines = _lines(spark, path)
+    header, (file, line) = _header(lines)
+    if header.field == "complex" and not real_part:
+        raise ValueError("complex values")
+    body = lines.where(~F.col("value").startswith("%") & (F.trim("value") != "") & ~((F.col("file") == file) & (F.col("line") == line)))
+    p = F.split(F.trim("value"), "\\s+")
+    value = F.lit(1.0) if header.field == "pattern" else p[2].cast("double")
+    entries = body.select((p[0].cast("long") - 1).alias("i"), (p[1].cast("long") - 1).alias("j"), value.alias("v"))
+    bad = F.sum((F.col("i").between(0, header.m - 1) & F.col("j").between(0, header.n - 1) & F.col("v").isNotNull()).cast("long"))
+    count, sound = entries.agg(F.count("*"), F.coalesce(bad, F.lit(0))).first()
+    if count != header.nnz or sound != count:
+        raise ValueError(f"{count} entries of which {count - sound} are not in range, where {header.nnz} were announced")
+    return entries if header.symmetry == "general" else expand_symmetric(entries)
 
 
 def write_market(a: DataFrame, path: str, m: int, n: int) -> None:
-    """A folder with banner and size in one file and entries in others; concatenate them, that one first, for ``read_market``."""
+    """A folder that ``read_market`` reads: banner and sizes in one file, entries in others."""
     spark = a.sparkSession
-    head = spark.createDataFrame([(0, f"%%MatrixMarket matrix coordinate real general\n{m} {n} {a.count()}")], "part int, value string")
-    head.select("value").coalesce(1).write.mode("overwrite").text(path)
+    head = spark.range(1).select(F.lit(f"%%MatrixMarket matrix coordinate real general\n{m} {n} {a.count()}").alias("value"))
+    head.coalesce(1).write.mode("overwrite").text(path)
     a.select(F.format_string("%d %d %.17g", F.col("i") + 1, F.col("j") + 1, F.col("v")).alias("value")).write.mode("append").text(path)
 
 
+def write_rows(a: DataFrame, path: str, m: int) -> None:
+    """Compressed-row text in four folders, whose files in order of their names are one file of the format.
+
+    Sizes, row pointers without the last, columns, and values in full precision;
+    the diagonal is last in its row. Each folder is sorted as a whole.
+    """
+    spark = a.sparkSession
+    spark.range(1).select(F.lit(f"{m} {a.count()}").alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/0-sizes")
+    pointers = row_pointers(a, m).repartitionByRange("i").sortWithinPartitions("i")
+    pointers.select(F.col("ptr").cast("string").alias("value")).write.mode("overwrite").text(f"{path}/1-pointers")
+    order = [F.col("i"), F.expr("i = j"), F.col("j")]
+    # both files come from one sorted table, so that they agree in order
+    entries = a.repartitionByRange(*order).sortWithinPartitions(*order)
+    entries.select(F.col("j").cast("string").alias("value")).write.mode("overwrite").text(f"{path}/2-columns")
+    entries.select(F.format_string("%.17g", "v").alias("value")).write.mode("overwrite").text(f"{path}/3-values")
+
+
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(i, j, v) of compressed-row text: sizes, row pointers, columns, values, one line each."""
+    """(i, j, v) of compressed-row text: sizes, row pointers, columns, values.
+
+    One file is one row of text, which bounds it by 2 GB; larger matrices are
+    kept as entries.
+    """
     parts = spark.read.text(path, wholetext=True).select(F.split(F.trim("value"), "\\s+").alias("t"))
     sized = parts.select("t", F.col("t")[0].cast("int").alias("m"), F.col("t")[1].cast("int").alias("nnz"))
-    pointers = sized.select("nnz", F.posexplode(F.slice("t", F.lit(3), F.col("m"))).alias("i", "p"))
-    starts = pointers.select(F.col("i").cast("long").alias("i"), F.col("p").cast("long").alias("start"), F.coalesce(F.lead(F.col("p").cast("long")).over(Window.orderBy("i")), F.col("nnz").cast("long")).alias("stop"))
+    pointers = sized.select("m", "nnz", F.posexplode(F.slice("t", F.lit(3), F.col("m"))).alias("i", "p"))
+    starts = pointers.select("m", "nnz", F.col("i").cast("long").alias("i"), F.col("p").cast("long").alias("start"))
+    stops = starts.select((F.col("i") - 1).alias("i"), F.col("start").alias("stop"))
+    ends = starts.join(stops, "i", "left").select("i", "start", F.coalesce("stop", F.col("nnz").cast("long")).alias("stop"))
     entries = sized.select(F.posexplode(F.arrays_zip(F.slice("t", F.col("m") + 3, F.col("nnz")).alias("j"), F.slice("t", F.col("m") + F.col("nnz") + 3, F.col("nnz")).alias("v"))).alias("k", "e"))
-    rows = starts.where("stop > start").select("i", F.explode(F.sequence("start", F.col("stop") - 1)).alias("k"))
+    rows = ends.where("stop > start").select("i", F.explode(F.sequence("start", F.col("stop") - 1)).alias("k"))
     return rows.join(entries, "k").select("i", F.col("e.j").cast("long").alias("j"), F.col("e.v").cast("double").alias("v"))
+
+
+def append_table(rows: DataFrame, path: str) -> None:
+    """Append a table of features, runs or plans as CSV with its column names."""
+    rows.write.mode("append").option("header", True).csv(path)
+
+
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table that ``append_table`` has written, by the names of its columns."""
+    return spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(path)
+
+
+def market_round_trip(a: DataFrame, m: int) -> DataFrame:
+    """A matrix written to the shared folder as coordinate text and read back."""
+    path = fresh_path(a.sparkSession, "market")
+    write_market(a, path, m, m)
+    return read_market(a.sparkSession, path)
