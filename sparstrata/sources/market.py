@@ -61,10 +61,11 @@ def read_market(spark: SparkSession, path: str, real_part: bool = False) -> Data
         raise ValueError("complex values")
     body = lines.where(~F.col("value").startswith("%") & (F.trim("value") != "") & ~((F.col("file") == file) & (F.col("line") == line)))
     p = F.split(F.trim("value"), "\\s+")
-    value = F.lit(1.0) if header.field == "pattern" else p[2].cast("double")
-    entries = body.select((p[0].cast("long") - 1).alias("i"), (p[1].cast("long") - 1).alias("j"), value.alias("v"))
-    bad = F.sum((F.col("i").between(0, header.m - 1) & F.col("j").between(0, header.n - 1) & F.col("v").isNotNull()).cast("long"))
-    count, sound = entries.agg(F.count("*"), F.coalesce(bad, F.lit(0))).first()
+    token = lambda k, kind: F.get(p, F.lit(k)).try_cast(kind)
+    value = F.lit(1.0) if header.field == "pattern" else token(2, "double")
+    entries = body.select((token(0, "long") - 1).alias("i"), (token(1, "long") - 1).alias("j"), value.alias("v"))
+    fine = F.col("i").between(0, header.m - 1) & F.col("j").between(0, header.n - 1) & F.col("v").isNotNull()
+    count, sound = entries.agg(F.count("*"), F.coalesce(F.sum(F.coalesce(fine, F.lit(False)).cast("long")), F.lit(0))).first()
     if count != header.nnz or sound != count:
         raise ValueError(f"{count} entries of which {count - sound} are not in range, where {header.nnz} were announced")
     return entries if header.symmetry == "general" else expand_symmetric(entries)
