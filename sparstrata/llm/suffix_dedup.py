@@ -19,7 +19,8 @@ equal places. Neighbouring windows mostly share an anchor and form a run.
 4. Anchors with very many occurrences are salted: each share is scanned alike,
    and the windows that are first in their share meet once more. Some neighbouring
    ones travel together at first, by the hash of the bytes that all of them hold;
-   where that is unique in the corpus they are, and only the others meet each by itself.
+   where that is unique in the corpus they are. Of groups of equal bytes all but the
+   first are covered as a whole, and only the first ones' windows meet each by itself.
 """
 
 from __future__ import annotations
@@ -384,7 +385,11 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, q: int = Q, hot: int =
 
     hot_parts = saved(found.where("context is not null").select("id", "key", "start", "anchor", "context").mapInPandas(parts, part_schema), "hot-parts")
     again = hot_parts.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    open_parts = hot_parts.join(again, ["h1", "h2"]).select("id", "key", "start", "context")
+    place = F.struct("id", "key", "start")
+    open_parts = saved(hot_parts.join(again, ["h1", "h2"]).select("id", "key", "start", "context"), "open-parts")
+    first_parts = saved(open_parts.groupBy("context").agg(F.min(place).alias("first"), F.count("*").alias("n")), "first-parts")
+    copies = open_parts.join(first_parts.where("n > 1"), "context").where(place > F.col("first"))
+    copies = copies.select("id", "key", "start", (F.col("start") + F.octet_length("context")).alias("stop"))
 
     # then each window by itself
     window_schema = T.StructType([T.StructField("id", kind), *(T.StructField(c, T.LongType()) for c in ("key", "start", "h1", "h2"))])
@@ -402,12 +407,11 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, q: int = Q, hot: int =
                 start = part["start"].to_numpy(np.int64)[which] + np.concatenate([np.arange(k) for k in n])
                 yield pd.DataFrame({"id": part["id"].to_numpy()[which], "key": part["key"].to_numpy()[which], "start": start, "h1": halves[:, 0], "h2": halves[:, 1]})
 
-    hot_windows = open_parts.mapInPandas(windows, window_schema)
-    place = F.struct("id", "key", "start")
+    hot_windows = first_parts.select("first.id", "first.key", "first.start", "context").mapInPandas(windows, window_schema)
     earliest = hot_windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     more = hot_windows.join(earliest, ["h1", "h2"]).where(place > F.col("first")).select("id", "key", "start", (F.col("start") + length).alias("stop"))
     # of a document at most its own ranges meet here
-    return ranges.unionByName(more).groupBy("id", "key").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
+    return ranges.unionByName(copies).unionByName(more).groupBy("id", "key").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
 
 
 def merged(ranges) -> list[tuple[int, int]]:
