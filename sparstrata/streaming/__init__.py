@@ -1 +1 @@
-
+"""Jobs over streams."""
