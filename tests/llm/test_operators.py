@@ -602,3 +602,31 @@ def test_other_models_are_refused(monkeypatch):
     monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "get_score", lambda self, i: -0.5 - i)
     with pytest.raises(ValueError):
         sentencepiece_codec.Codec(PIECES)
+
+
+def test_pipeline_on_an_awkward_table(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(4, 1), (6, 1), (7, 1), (8, 0), (None, 1)], "doc_id long, quality int")
+    for name, table in (("documents", odd), ("labels", labels)):
+        table.write.parquet(f"file://{tmp_path}/{name}.parquet")
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, f"file://{tmp_path}")
+        out.write.parquet(f"file://{tmp_path}/out-{name}")
+        assert stage(spark, empty(docs), f"file://{tmp_path}").count() == 0
+        out = spark.read.parquet(f"file://{tmp_path}/out-{name}")
+        if name != "packing":
+            assert out.columns == odd.columns
+            docs = out
+    texts = [r.text or "" for r in docs.collect()]
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(BYTE_BPE)
+    rows = out.collect()
+    assert sum(r.length for r in rows) == sum(len(own.encode(t, add_special_tokens=False).ids) + 1 for t in texts)
+    # what is left repeats no string of 100 bytes, and near copies went before
+    assert not any(any(c) for c in brute_cover([t.encode() for t in texts], 100)) and len({t for t in texts if t}) == len([t for t in texts if t])
+    whole = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    key = lambda r: (str(r.doc_id), r.piece, r.length, r.ids_crc32)
+    assert sorted(map(key, whole)) == sorted(map(key, rows))
