@@ -99,3 +99,24 @@ def test_plan_chooser(spark, tmp_path):
     found = tune.score(tune.chosen_plans(PipelineModel.load(f"file://{tmp_path}/model"), test.select("matrix", "m").distinct()), test).first()
     assert found.ratio > 0.9 and found.hits > 0.8 * found.n
     assert tune.complete(log.where("not (matrix = 3 and plan = 1)"), 3).where("matrix = 3").count() == 0
+
+
+def test_block_methods(spark):
+    m, rng = 64, random.Random(7)
+    rows = {(i, i): 8 for i in range(m)} | {(i, rng.randrange(i)): 1 for i in range(16, m) for _ in range(3)} | {(40, j): 1 for j in range(32)}
+    a = entries(spark, [(i, j, v) for (i, j), v in rows.items()])
+    bounds = solve.block_bounds(m, 2)
+    found = {r.block: r for r in solve.block_methods(a, spark.createDataFrame(bounds, "block long, kind string, up long, down long, left long, right long")).collect()}
+    for block, kind, up, down, left, right in bounds:
+        own = [(i, j) for i, j in rows if up <= i < down and left <= j < right]
+        n, full = len(own) // (down - up), len({i for i, _ in own})
+        level = {}
+        for i in range(up, down):
+            level[i] = max((level[j] + 1 for k, j in own if k == i and j < i and kind == "triangle"), default=0)
+        depth = max(level.values()) + 1
+        if kind == "triangle":
+            method = 0 if len(own) == down - up else 2 if (n <= 15 and depth <= 20) or (n == 1 and depth <= 100) else 3
+        else:
+            method = (0 if 1 - full / (down - up) <= 0.5 else 1) if n <= 12 else (2 if 1 - full / (down - up) <= 0.15 else 3)
+        assert (found[block].nnz, found[block].method) == (len(own), method)
+        assert kind == "rectangle" or found[block].n_levels == depth
