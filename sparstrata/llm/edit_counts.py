@@ -5,22 +5,27 @@ tree hold blocks of neighbouring pre-tokens with their characters and token
 counts, inner nodes hold sums. An edit finds its leaves from the root, cuts
 anew only from the pre-token before it up to where old and new cuts agree
 again, encodes what changed, and updates the sums on the way up.
+
+Trees are rows: ``grow_trees`` adds one to each document, ``edit_trees`` applies a
+batch of edits and hands the trees on to the next batch, so a table of trees is
+kept between batches and no batch cuts or encodes a whole text again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import carried, restored, text_of
-from .tokenization import encoder, text_slices
+from .common import text_of
+from .tokenization import encoder
 
-BLOCK = 32
+#: Pre-tokens of a fresh leaf, and how many a leaf may hold before the next batch finds the leaves dealt anew.
+BLOCK, LARGEST = 32, 256
 MEMO_TOKENS = 400_000
 
 _COUNTERS: dict[str, Counter] = {}
@@ -53,32 +58,82 @@ def counter(tokenizer: str) -> Counter:
     return _COUNTERS[tokenizer]
 
 
-@dataclass
+class Leaves:
+    """Blocks of (characters, tokens) pairs, read from the flat array when they are first touched."""
+
+    def __init__(self, pairs: np.ndarray, sizes: np.ndarray):
+        self.pairs, self.ends = pairs, np.cumsum(sizes)
+        self.sizes, self.read, self.changed = sizes, {}, set()
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def __getitem__(self, i: int) -> list[tuple[int, int]]:
+        if i >= len(self.sizes):
+            raise IndexError(i)
+        if i not in self.read:
+            self.read[i] = [(n, k) for n, k in self.pairs[self.ends[i] - self.sizes[i] : self.ends[i]].tolist()]
+        return self.read[i]
+
+    def __setitem__(self, i: int, pairs: list[tuple[int, int]]) -> None:
+        self.read[i] = pairs
+        self.changed.add(i)
+
+    def flat(self) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs and the leaves' sizes, with the changed leaves in their places."""
+        if not self.changed:
+            return self.pairs, self.sizes
+        sizes, parts, at = self.sizes.copy(), [], 0
+        for i in sorted(self.changed):
+            parts += [self.pairs[at : self.ends[i] - self.sizes[i]], np.array(self.read[i], "<i4").reshape(-1, 2)]
+            sizes[i], at = len(self.read[i]), self.ends[i]
+        return np.concatenate([*parts, self.pairs[at:]]), sizes
+
+
 class TokenTree:
     """Segment tree of one document. ``chars`` and ``sums`` are flat, node n has children 2n and 2n + 1."""
 
-    counter: Counter
-    text: str
-    encoded: int = 0  # pre-tokens encoded since the tree was built
-    leaves: list[list[tuple[int, int]]] = field(default_factory=list)
-
-    def __post_init__(self) -> None:
-        tokens = self.counter.pattern.findall(self.text)
-        pairs = list(zip(map(len, tokens), self.counter.counts(tokens), strict=True))
-        self.leaves = [pairs[i : i + BLOCK] for i in range(0, len(pairs), BLOCK)] or [[]]
-        self.width = 1 << (len(self.leaves) - 1).bit_length()
-        self.chars = [0] * (2 * self.width)
-        self.sums = [0] * (2 * self.width)
-        for i, leaf in enumerate(self.leaves):
-            self.chars[self.width + i] = sum(n for n, _ in leaf)
-            self.sums[self.width + i] = sum(k for _, k in leaf)
-        for n in range(self.width - 1, 0, -1):
-            self.chars[n] = self.chars[2 * n] + self.chars[2 * n + 1]
-            self.sums[n] = self.sums[2 * n] + self.sums[2 * n + 1]
+    def __init__(self, counter: Counter, text: str, stored: tuple[bytes, bytes, bytes, bytes] | None = None):
+        self.counter, self.text = counter, text
+        self.encoded = 0  # pre-tokens encoded since the tree was made or read
+        if stored:
+            pairs, sizes, chars, sums = stored
+            self.leaves = Leaves(np.frombuffer(pairs, "<i4").reshape(-1, 2), np.frombuffer(sizes, "<i4"))
+            self.chars, self.sums = np.frombuffer(chars, "<i8").copy(), np.frombuffer(sums, "<i8").copy()
+            self.width = len(self.chars) // 2
+        else:
+            tokens = counter.pattern.findall(text)
+            self.deal(np.array([*zip(map(len, tokens), counter.counts(tokens), strict=True)], "<i4").reshape(-1, 2))
+
+    def deal(self, pairs: np.ndarray) -> None:
+        """Even leaves over the pairs, and all sums."""
+        starts = np.arange(0, max(len(pairs), 1), BLOCK)
+        self.leaves = Leaves(pairs, np.diff(np.append(starts, len(pairs))).astype("<i4"))
+        self.width = 1 << (len(starts) - 1).bit_length()
+        nodes = np.zeros((2 * self.width, 2), "<i8")
+        if len(pairs):
+            nodes[self.width : self.width + len(starts)] = np.add.reduceat(pairs, starts, dtype=np.int64)
+        low = self.width
+        while low > 1:
+            nodes[low // 2 : low] = nodes[low : 2 * low : 2] + nodes[low + 1 : 2 * low : 2]
+            low //= 2
+        self.chars, self.sums = nodes[:, 0].copy(), nodes[:, 1].copy()
+
+    def stored(self) -> tuple[bytes, bytes, bytes, bytes]:
+        """The form in which a later batch reads the tree; leaves that grew large are dealt anew, without encoding."""
+        pairs, sizes = self.leaves.flat()
+        if sizes.max() > LARGEST:
+            self.deal(pairs)
+            pairs, sizes = self.leaves.flat()
+        return pairs.tobytes(), sizes.tobytes(), self.chars.tobytes(), self.sums.tobytes()
 
     @property
     def total(self) -> int:
-        return self.sums[1]
+        return int(self.sums[1])
+
+    @property
+    def n_pretokens(self) -> int:
+        return int(self.leaves.sizes.sum()) + sum(len(self.leaves[i]) - int(self.leaves.sizes[i]) for i in self.leaves.changed)
 
     def find(self, at: int) -> tuple[int, int]:
         """Leaf that holds character ``at`` (the last with any, at the end), and the characters before it."""
@@ -88,7 +143,7 @@ class TokenTree:
             if at - before < self.chars[left] or not self.chars[left + 1]:
                 node = left
             else:
-                before += self.chars[left]
+                before += int(self.chars[left])
                 node = left + 1
         return min(node - self.width, len(self.leaves) - 1), before
 
@@ -154,42 +209,68 @@ class TokenTree:
 
 
 EDITS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("removed", T.LongType()), T.StructField("inserted", T.StringType())]))
+PARTS = ("pairs", "sizes", "chars", "sums")
+TREE = "text string, " + ", ".join(f"{c} binary" for c in PARTS)
+COUNTS = ("n_edits", "n_before", "n_after", "n_pretokens", "n_reencoded")
 
 
-def edited_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
-    """Rows (id, n_edits, n_before, n_after, n_pretokens, n_reencoded, edited_sha256), one per document.
+def tree_of(text: Column, tokenizer: str) -> Column:
+    """The tree of a text that is not null, a struct of the fields of ``TREE``."""
+
+    def grow(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = counter(tokenizer)
+        for texts in batches:
+            yield pd.DataFrame([(t, *TokenTree(own, t).stored()) for t in texts], columns=["text", *PARTS])
+
+    return F.pandas_udf(grow, TREE)(text)
+
+
+def edited(tree: Column, edits: Column, tokenizer: str) -> Column:
+    """The tree after the edits, and the fields of ``COUNTS``."""
+
+    def run(batches: Iterator[tuple[pd.DataFrame, pd.Series]]) -> Iterator[pd.DataFrame]:
+        own = counter(tokenizer)
+        for trees, edits in batches:
+            rows = []
+            for (text, *stored), changes in zip(trees.itertuples(index=False), edits, strict=True):
+                it = TokenTree(own, text, stored)
+                before = it.total
+                changes = [] if changes is None else changes
+                for e in changes:
+                    it.edit(int(e["start"] or 0), int(e["removed"] or 0), e["inserted"] or "")
+                rows.append((len(changes), before, it.total, it.n_pretokens, it.encoded, it.text, *it.stored()))
+            yield pd.DataFrame(rows, columns=[*COUNTS, "text", *PARTS])
+
+    return F.pandas_udf(run, ", ".join(f"{c} long" for c in COUNTS) + ", " + TREE)(tree, F.coalesce(edits.cast(EDITS), F.array().cast(EDITS)))
+
+
+def grow_trees(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, tree), one per document, to be written and kept.
+
+    Null text is empty, repeated rows give a row each, other columns are ignored,
+    an empty table gives no rows. Narrow: no shuffle.
+    """
+    return docs.select(id_col, text_of(text_col).alias("text")).select(id_col, tree_of(F.col("text"), tokenizer).alias("tree"))
+
+
+def edit_trees(trees: DataFrame, tokenizer: str, id_col: str = "doc_id", edits_col: str = "edits") -> DataFrame:
+    """Rows (id, n_edits, n_before, n_after, n_pretokens, n_reencoded, tree) of kept trees (id, tree, edits), the trees after the edits.
 
     ``edits_col`` holds an array of (start, removed, inserted), applied in
-    order, each to the text that the one before left. Null text is empty; null
-    edits are none; a null field of an edit is 0 or the empty string; ranges
-    are clipped to the text. Repeated rows give a row each, other columns are
-    ignored, an empty table gives no rows. Narrow: no shuffle.
+    order, each to the text that the one before left. Null edits are none; a null
+    field of an edit is 0 or the empty string; ranges are clipped to the text.
+    Repeated rows give a row each, other columns are ignored, an empty table
+    gives no rows. Narrow: no shuffle; the caller joins edits to trees by id.
     """
-    import hashlib
+    found = trees.select(id_col, edited(F.col("tree"), F.col(edits_col), tokenizer).alias("found"))
+    return found.select(id_col, *[f"found.{c}" for c in COUNTS], F.struct(*[f"found.{c}" for c in ("text", *PARTS)]).alias("tree"))
 
-    schema = T.StructType(
-        [T.StructField("id", T.StringType())]
-        + [T.StructField(c, T.LongType()) for c in ("n_edits", "n_before", "n_after", "n_pretokens", "n_reencoded")]
-        + [T.StructField("edited_sha256", T.StringType())]
-    )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = counter(tokenizer)
-        for pdf in batches:
-            keys, texts, edits = pdf["id"], pdf["text"].tolist(), pdf["edits"].tolist()
-            for lo, hi in text_slices(texts):
-                rows = []
-                for text, changes in zip(texts[lo:hi], edits[lo:hi], strict=True):
-                    tree = TokenTree(own, text)
-                    before = tree.total
-                    changes = [] if changes is None else changes
-                    for e in changes:
-                        tree.edit(int(e["start"] or 0), int(e["removed"] or 0), e["inserted"] or "")
-                    rows.append((len(changes), before, tree.total, sum(map(len, tree.leaves)), tree.encoded, hashlib.sha256(tree.text.encode()).hexdigest()))
-                out = pd.DataFrame(rows, columns=schema.names[1:])
-                out.insert(0, "id", keys.iloc[lo:hi].to_numpy())
-                yield out
-
-    edits = F.coalesce(F.col(edits_col).cast(EDITS), F.array().cast(EDITS))
-    found = docs.select(carried(id_col).alias("id"), text_of(text_col).alias("text"), edits.alias("edits")).mapInPandas(run, schema)
-    return found.select(restored("id", docs.schema[id_col].dataType).alias(id_col), *schema.names[1:])
+def edited_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
+    """Rows (id, n_edits, n_before, n_after, n_pretokens, n_reencoded, edited_sha256), one per document.
+
+    Trees are grown and edited in one pass; nulls, repeats and empty tables as in ``grow_trees`` and ``edit_trees``.
+    """
+    ready = docs.select(id_col, text_of(text_col).alias("text"), F.col(edits_col).alias("edits"))
+    trees = ready.select(id_col, tree_of(F.col("text"), tokenizer).alias("tree"), "edits")
+    return edit_trees(trees, tokenizer, id_col, "edits").select(id_col, *COUNTS, F.sha2(F.col("tree.text").cast("binary"), 256).alias("edited_sha256"))

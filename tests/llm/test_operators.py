@@ -8,6 +8,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparstrata.llm import edit_counts, exact_dedup, near_dedup, packing, quality, sentence_spans, sentencepiece_codec, suffix_dedup, vector_search, warc
 from sparstrata.llm.queries import BYTE_BPE, PIECES
@@ -430,6 +431,38 @@ def test_token_trees_follow_random_edits():
             assert [n for leaf in tree.leaves for n, _ in leaf] == [len(t) for t in own.pattern.findall(text)]
 
 
+def test_trees_are_kept_between_batches(spark, odd, tmp_path):
+    # three batches, each on the trees that the one before wrote; a large insertion makes leaves be dealt anew
+    rng = random.Random(19)
+    docs = odd.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    own = edit_counts.Counter(BYTE_BPE)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    edit_counts.grow_trees(docs, BYTE_BPE).write.parquet(f"{tmp_path}/0")
+    for batch in range(3):
+        rows = []
+        for i, text in texts.items():
+            edits = []
+            for _ in range(rng.randrange(0, 4)):
+                start, gone = rng.randrange(0, len(text) + 1), rng.randrange(0, 30)
+                new = words(rng, 400 if rng.random() < 0.1 else rng.randrange(0, 3))
+                text = text[:start] + new + text[start + gone :]
+                edits.append((start, gone, new))
+            texts[i] = text
+            rows.append((i, edits))
+        edits = spark.createDataFrame(rows, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("edits", edit_counts.EDITS)]))
+        trees = spark.read.parquet(f"{tmp_path}/{batch}").join(edits, "doc_id", "left")
+        found = edit_counts.edit_trees(trees, BYTE_BPE)
+        found.select("doc_id", "tree").write.parquet(f"{tmp_path}/{batch + 1}")
+        counts = {r.doc_id: r for r in found.select("*", "tree.text").drop("tree").collect()}
+        for i, text in texts.items():
+            assert counts[i].text == text
+            assert counts[i].n_after == own.encode(text)
+            assert counts[i].n_pretokens == len(own.pattern.findall(text))
+        few = next(i for i, t in texts.items() if len(t) > 9000)
+        edited = sum(len(e[2]) for e in dict(rows)[few])
+        assert counts[few].n_reencoded <= edited + 40  # never the whole text
+
+
 def test_edited_counts_odd(odd):
     edits = F.array(F.struct(F.lit(0).alias("start"), F.lit(1).alias("removed"), F.lit(None).cast("string").alias("inserted")))
     found = edit_counts.edited_counts(odd.withColumn("edits", F.when(F.col("doc_id") > 3, edits)), BYTE_BPE)
