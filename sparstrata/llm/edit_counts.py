@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of
+from .common import carried, restored, text_of
 from .tokenization import encoder
 
 #: Pre-tokens of a fresh leaf, and how many a leaf may hold before the next batch finds the leaves dealt anew.
@@ -135,6 +135,13 @@ class TokenTree:
     def n_pretokens(self) -> int:
         return int(self.leaves.sizes.sum()) + sum(len(self.leaves[i]) - int(self.leaves.sizes[i]) for i in self.leaves.changed)
 
+    def counts_after(self, edits) -> tuple[int, ...]:
+        """The fields of ``COUNTS`` once the edits, or none if null, are applied."""
+        edits, before = [] if edits is None else edits, self.total
+        for e in edits:
+            self.edit(int(e["start"] or 0), int(e["removed"] or 0), e["inserted"] or "")
+        return len(edits), before, self.total, self.n_pretokens, self.encoded
+
     def find(self, at: int) -> tuple[int, int]:
         """Leaf that holds character ``at`` (the last with any, at the end), and the characters before it."""
         node, before = 1, 0
@@ -220,7 +227,8 @@ def tree_of(text: Column, tokenizer: str) -> Column:
     def grow(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = counter(tokenizer)
         for texts in batches:
-            yield pd.DataFrame([(t, *TokenTree(own, t).stored()) for t in texts], columns=["text", *PARTS])
+            for lo, hi in text_slices(texts.tolist()):
+                yield pd.DataFrame([(t, *TokenTree(own, t).stored()) for t in texts.iloc[lo:hi]], columns=["text", *PARTS])
 
     return F.pandas_udf(grow, TREE)(text)
 
@@ -231,15 +239,12 @@ def edited(tree: Column, edits: Column, tokenizer: str) -> Column:
     def run(batches: Iterator[tuple[pd.DataFrame, pd.Series]]) -> Iterator[pd.DataFrame]:
         own = counter(tokenizer)
         for trees, edits in batches:
-            rows = []
-            for (text, *stored), changes in zip(trees.itertuples(index=False), edits, strict=True):
-                it = TokenTree(own, text, stored)
-                before = it.total
-                changes = [] if changes is None else changes
-                for e in changes:
-                    it.edit(int(e["start"] or 0), int(e["removed"] or 0), e["inserted"] or "")
-                rows.append((len(changes), before, it.total, it.n_pretokens, it.encoded, it.text, *it.stored()))
-            yield pd.DataFrame(rows, columns=[*COUNTS, "text", *PARTS])
+            for lo, hi in text_slices(trees["text"].tolist()):
+                rows = []
+                for (text, *stored), changes in zip(trees.iloc[lo:hi].itertuples(index=False), edits.iloc[lo:hi], strict=True):
+                    tree = TokenTree(own, text, stored)
+                    rows.append((*tree.counts_after(changes), tree.text, *tree.stored()))
+                yield pd.DataFrame(rows, columns=[*COUNTS, "text", *PARTS])
 
     return F.pandas_udf(run, ", ".join(f"{c} long" for c in COUNTS) + ", " + TREE)(tree, F.coalesce(edits.cast(EDITS), F.array().cast(EDITS)))
 
@@ -269,8 +274,26 @@ def edit_trees(trees: DataFrame, tokenizer: str, id_col: str = "doc_id", edits_c
 def edited_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
     """Rows (id, n_edits, n_before, n_after, n_pretokens, n_reencoded, edited_sha256), one per document.
 
-    Trees are grown and edited in one pass; nulls, repeats and empty tables as in ``grow_trees`` and ``edit_trees``.
+    Trees are grown and edited in one pass and not kept, so only one of them is in
+    memory; nulls, repeats and empty tables as in ``grow_trees`` and ``edit_trees``.
     """
-    ready = docs.select(id_col, text_of(text_col).alias("text"), F.col(edits_col).alias("edits"))
-    trees = ready.select(id_col, tree_of(F.col("text"), tokenizer).alias("tree"), "edits")
-    return edit_trees(trees, tokenizer, id_col, "edits").select(id_col, *COUNTS, F.sha2(F.col("tree.text").cast("binary"), 256).alias("edited_sha256"))
+    import hashlib
+
+    schema = T.StructType([T.StructField("id", T.StringType()), *(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("edited_sha256", T.StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = counter(tokenizer)
+        for pdf in batches:
+            keys, texts, edits = pdf["id"], pdf["text"].tolist(), pdf["edits"].tolist()
+            for lo, hi in text_slices(texts):
+                rows = []
+                for text, changes in zip(texts[lo:hi], edits[lo:hi], strict=True):
+                    tree = TokenTree(own, text)
+                    rows.append((*tree.counts_after(changes), hashlib.sha256(tree.text.encode()).hexdigest()))
+                out = pd.DataFrame(rows, columns=schema.names[1:])
+                out.insert(0, "id", keys.iloc[lo:hi].to_numpy())
+                yield out
+
+    edits = F.coalesce(F.col(edits_col).cast(EDITS), F.array().cast(EDITS))
+    found = docs.select(carried(id_col).alias("id"), text_of(text_col).alias("text"), edits.alias("edits")).mapInPandas(run, schema)
+    return found.select(restored("id", docs.schema[id_col].dataType).alias(id_col), *schema.names[1:])
