@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edit_counts, exact_dedup, near_dedup, packing, quality, sentence_spans, sentencepiece_codec, suffix_dedup, vector_search, warc
+from . import bitplane_clusters, collocations, edit_counts, exact_dedup, line_dedup, near_dedup, packing, quality, sentence_spans, sentencepiece_codec, suffix_dedup, vector_search, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -162,8 +162,92 @@ def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_counts.edited_counts(derived_edits(_table(spark, sf_dir, "documents")), BYTE_BPE)
 
 
+def op11_bitplane_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after three rounds from 16 centroids."""
+    return bitplane_clusters.clusters(_table(spark, sf_dir, "embeddings"))
+
+
+def _moved(n: int) -> str:
+    """SQL of a round: a{n} assigns vectors to centroids c{n}, c{n + 1} are these moved."""
+    return f"""a{n} as (
+  select vec_id, e, k, d from (select v.vec_id, v.e, c.k, list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as d from v, c{n} c)
+  qualify row_number() over (partition by vec_id order by d, k) = 1
+), m{n} as (
+  select k, pos, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) as q from (select k, unnest(e) as x, unnest(range(64)) as pos from a{n}) group by k, pos
+), c{n + 1} as (
+  select k, coalesce(m.e, c{n}.e) as e from c{n} left join (select k, list(q::bigint order by pos) as e from m{n} group by k) m using (k)
+)"""
+
+
+OP11_SQL = f"""
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as e from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), c0 as (
+  select row_number() over (order by sha256('1:' || vec_id)) - 1 as k, e from v order by sha256('1:' || vec_id) limit 16
+), {_moved(0)}, {_moved(1)}, {_moved(2)}, a3 as (
+  select vec_id, k, d from (select v.vec_id, c.k, list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as d from v, c3 c)
+  qualify row_number() over (partition by vec_id order by d, k) = 1
+)
+select vec_id, k::int as cluster, d::bigint as distance, (sum(d) over (partition by k))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia, sha256(array_to_string(c3.e, ',')) as centroid_sha256
+from a3 join c3 using (k)
+"""
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that ten documents or more have."""
+    return line_dedup.drop_lines(_table(spark, sf_dir, "documents"), min_docs=10, with_text=False)
+
+
+OP12_SQL = r"""
+with split as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as place from documents
+), keyed as (
+  select *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from split
+), frequent as (
+  select key from keyed where key <> '' group by key having count(distinct doc_id) >= 10
+)
+select doc_id, count(*) as n_lines, count(f.key) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by place) filter (f.key is null), '')) as kept_sha256
+from keyed k left join frequent f on f.key = k.key group by doc_id
+"""
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest phrases of each language."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents
+), cut as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces
+), grams as (
+  select lang, m, w[i + 1 : i + m] as g from (select lang, w, unnest(range(len(w))) as i from cut where len(w) > 0), (select unnest([1, 2, 3, 4]) as m) where i + m <= len(w)
+), counts as (
+  select lang, m, g, array_to_string(g, ' ') as phrase, count(*) as f from grams group by lang, m, g
+), totals as (
+  select lang, sum(f)::bigint as n from counts where m = 1 group by lang
+), candidates as (
+  select * from counts where m > 1 and f >= 30
+), scored as (
+  select c.lang, c.phrase, c.f as a, k, l.f as l, r.f as r, ((2000000::hugeint * c.f) // (l.f + r.f))::bigint as score
+  from (select *, unnest(range(1, m)) as k from candidates) c
+  join counts l on l.lang = c.lang and l.phrase = array_to_string(c.g[1 : k], ' ') join counts r on r.lang = c.lang and r.phrase = array_to_string(c.g[k + 1 : c.m], ' ')
+  qualify row_number() over (partition by c.lang, c.phrase order by score, k) = 1
+), inner_ones as (
+  select lang, array_to_string(g[i + 1 : i + s], ' ') as phrase, max(f) as most
+  from (select *, unnest(range(m - s + 1)) as i from (select *, unnest(range(2, m)) as s from candidates)) group by 1, 2
+)
+select s.lang, (row_number() over (partition by s.lang order by score desc, a desc, encode(s.phrase)))::int as rank, s.phrase, a, l, r, n, score
+from scored s join totals t on t.lang = s.lang left join inner_ones h on h.lang = s.lang and h.phrase = s.phrase
+where not coalesce(100 * most >= 80 * a, false) qualify rank <= 2000
+"""
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_exact_dedup, op3_warc, op4_packing, op5_sentence_spans, op6_quality, op7_vector_search, op8_near_dedup, op9_suffix_dedup, op10_edit_counts)
+    for f in (op1_sentencepiece, op2_exact_dedup, op3_warc, op4_packing, op5_sentence_spans, op6_quality, op7_vector_search, op8_near_dedup, op9_suffix_dedup, op10_edit_counts,
+              op11_bitplane_clusters, op12_line_dedup, op13_collocations)
 }
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op8_near_dedup": OP8_SQL, "op9_suffix_dedup": OP9_SQL}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op3_warc": OP3_SQL, "op8_near_dedup": OP8_SQL, "op9_suffix_dedup": OP9_SQL, "op11_bitplane_clusters": OP11_SQL, "op12_line_dedup": OP12_SQL, "op13_collocations": OP13_SQL}
