@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparstrata.operators import analysis, features, groups, levels, matrix, schedule, solve, tune
+from sparstrata.operators import analysis, blocks, counters, features, groups, levels, matrix, pieces, schedule, solve, tune
 from sparstrata.sources import fixtures as fx
 from sparstrata.sources import market
 
-F1 = """f1 as (select i, j, ((n*5+i+j)%7+1)/16.0::double v from
- (select cast(l_orderkey%384 as bigint) i, cast(l_partkey%384 as bigint) j, count(*) n from lineitem group by 1,2)
- where j//64 < i//64 and (i*31+j)%23=0 union all select r, r, 8.0::double from range(384) t(r))"""
-RHS = "rhs as (select r i, ((r%5+1)/8.0)::double b from range(384) t(r))"
-SQ = """sq as (select i, j, (((i*7+j)%9+1)/16.0)::double v from
- (select distinct cast(o_orderkey%512 as bigint) i, cast(o_custkey%512 as bigint) j from orders))"""
-SKEW = "sk as (select distinct cast(case when event_id%4=0 then 0 else event_id%256 end as bigint) i, cast(event_id%4096 as bigint) j from events)"
-PERF = """perf as (select cast(user_id%8 as bigint) matrix, cast(event_id%12 as bigint) plan, min(value)+1 "time" from events group by 1,2)"""
-LEV = """p(i,k) as (select r, 0 from range(384) t(r) union select o.i, p.k+1 from p join f1 o on o.j=p.i and o.i<>o.j),
+SZ = """sz as (select ns, ns+np_ po, ns+np_+no oc_, ns+np_+no+nc m from (select (select count(*) from supplier) ns, (select count(*) from part) np_, (select count(*) from orders) no, (select count(*) from customer) nc)),
+ al as (select unnest(range(m)) r from sz)"""
+F1 = f"""{SZ}, f1 as (select i, j, ((n*5+i+j)%7+1)/16.0::double v from (select ns + l_partkey i, l_suppkey j, count(*) n from lineitem, sz group by 1,2
+ union all select po + l_orderkey, ns + l_partkey, count(*) from lineitem, sz group by 1,2 union all select oc_ + o_custkey, po + o_orderkey, count(*) from orders, sz group by 1,2)
+ union all select r, r, 8.0::double from al)"""
+RHS = "rhs as (select r i, ((r%5+1)/8.0)::double b from al)"
+SQ = """sq as (select i, j, (((i*7+j)%9+1)/16.0)::double v from (select distinct l_orderkey i, l_partkey j from lineitem))"""
+SKEW = "sk as (select distinct cast(case when event_id%4=0 then 0 else event_id//8+1 end as bigint) i, cast(event_id as bigint) j from events)"
+PERF = """perf as (select cast(user_id as bigint) matrix, cast(event_id%12 as bigint) plan, min(value)+1 "time" from events group by 1,2)"""
+LEV = """p(i,k) as (select r, 0 from al union select o.i, p.k+1 from p join f1 o on o.j=p.i and o.i<>o.j),
  lev as (select i, cast(max(k) as bigint) level from p group by i)"""
 ROWS = "rn as (select i, count(*) n from f1 group by i)"
 THRESH = """th as (select i, n, case when n>4 then i else st + ((i-st)//32)*32 end g from
@@ -38,8 +39,9 @@ SIMPLE, BALANCED = PACK.format(order="g"), PACK.format(order="nnz desc, g")
 NODEP = """{with_}, pr as (select i, max(j) p from {entries} where j<i group by i), nx as (select a.i s, least(coalesce((select min(pr.i) from pr where pr.i>a.i and pr.i<a.i+{alpha} and pr.p>=a.i), a.i+{alpha}), a.i+{alpha}) nxt from rn a),
  st(s) as (select 0::bigint union all select nxt from st join nx using(s) where nxt <= (select max(i) from rn)), gs as (select s, lead(s) over (order by s) e from st)
  select rn.i, n, s g from rn join gs on rn.i>=s and (e is null or rn.i<e)"""
-BLOCK_SQL = """with t(k) as (select * from range(8)) select cast(2*k as bigint) block, 'triangle' kind, cast(48*k as bigint) up, cast(48*(k+1) as bigint) down, cast(48*k as bigint) "left", cast(48*(k+1) as bigint) "right" from t
- union all select cast(2*k+1 as bigint), 'rectangle', cast(48*(k+1) as bigint), cast(48*(k+1+((k+1) & (-(k+1)))) as bigint), cast(48*(k+1-((k+1) & (-(k+1)))) as bigint), cast(48*(k+1) as bigint) from t where k<7"""
+BLOCK_SQL = """with sz as (select (select count(*) from supplier) + (select count(*) from part) + (select count(*) from orders) + (select count(*) from customer) m), t as (select unnest(range(8)) k, m//8 n, m from sz)
+ select cast(2*k as bigint) block, 'triangle' kind, k*n up, case when k=7 then m else n*(k+1) end down, k*n "left", case when k=7 then m else n*(k+1) end "right" from t
+ union all select cast(2*k+1 as bigint), 'rectangle', n*(k+1), case when k+1+((k+1) & (-(k+1))) = 8 then m else n*(k+1+((k+1) & (-(k+1)))) end, n*(k+1-((k+1) & (-(k+1)))), n*(k+1) from t where k<7"""
 
 # a matrix that grows with orders: each customer's orders are a chain
 OC = """oc as (select i, rn, c, 8.0::double d, one, three, (i+one)%5+1 v1, (i+three)%5+1 v3 from (select cast(o_orderkey as bigint) i, o_custkey c,
@@ -49,20 +51,44 @@ OC = """oc as (select i, rn, c, 8.0::double d, one, three, (i+one)%5+1 v1, (i+th
 OLEV = "ol as (select i, rn - 1 as level from oc)"
 CHAIN = """, sx(c, rn, i, x, x1, x2) as (select c, rn, i, (i%7+1)/8.0::double, 0.0::double, 0.0::double from oc where rn = 1
  union all select oc.c, oc.rn, oc.i, ((oc.i%7+1) - (oc.v1*sx.x + coalesce(oc.v3, 0)*sx.x2))/8.0::double, sx.x, sx.x1 from sx join oc on oc.c = sx.c and oc.rn = sx.rn + 1)"""
+# chains by nation: as many levels as its customers have orders
+NC = """nc as (select *, (i+one)%5+1 v1, (i+three)%5+1 v3 from (select cast(o_orderkey as bigint) i, c_nationkey c, row_number() over w rn, lag(o_orderkey, 1) over w one, lag(o_orderkey, 3) over w three
+ from orders join customer on c_custkey = o_custkey window w as (partition by c_nationkey order by o_orderkey)))"""
+NATION_SOLVE = f"""with recursive {NC}, sx(c, rn, i, x, x1, x2) as (select c, rn, i, (i%7+1)/16.0::double, 0.0::double, 0.0::double from nc where rn = 1
+ union all select nc.c, nc.rn, nc.i, ((nc.i%7+1) - (nc.v1*sx.x + coalesce(nc.v3, 0)*sx.x2))/16.0::double, sx.x, sx.x1 from sx join nc on nc.c = sx.c and nc.rn = sx.rn + 1)
+ select i, round(x, 9) x from sx"""
 RUNS = """runs as (select cast(user_id as bigint) matrix, cast(event_id%12 as bigint) plan, min(value)+1 "time" from events group by 1,2)"""
 INFO = "info as (select cast(user_id as bigint) matrix, count(distinct ts) m, count(*)*10 nnz from events group by 1)"
 LORD = "o as (select i, row_number() over (order by level, i) - 1 place from lev)"
-KNOWN = "kx as (select r, i, ((i*7+r*3)%10+1)::double x from range(3) a(r), range(384) b(i))"
+KNOWN = "kx as (select a.r, al.r i, ((al.r*7+a.r*3)%10+1)::double x from range(3) a(r), al)"
 
 
 def _l(spark, d):
     return fx.lower_triangle(spark, d)
 
 
-def _x(spark, n):
+def _x(spark, d):
+    return _vector(spark, fx.size(spark, d))
+
+
+def _vector(spark, n):
     return spark.range(n).select(F.col("id").alias("i"), (F.col("id") % 5 + 1).cast("double").alias("x"))
 
 
+def _orders(spark, d):
+    parts, orders, customers, m = fx.tiers(spark, d)
+    return customers - orders
+
+
+def _events(spark, d):
+    return fx.skewed(spark, d).select(F.col("j").alias("i"), (F.col("j") % 5 + 1).cast("double").alias("x"))
+
+
+def _lower_half(spark, d, right):
+    m = fx.size(spark, d)
+    return matrix.block(_l(spark, d), m // 2, m, m // 2 if right else 0, m if right else m // 2)
+
+
 def _levels(spark, d):
     return levels.level_sets(_l(spark, d))
 
@@ -94,12 +120,12 @@ def _order(spark, d):
 def many_sides(spark, d):
     """Three right-hand sides made from known solutions, solved together."""
     a = _l(spark, d)
-    return solve.solve_many(a, solve.known_solution(a, fx.M, 3)[1])
+    return solve.solve_many(a, solve.known_solution(a, fx.size(spark, d), 3)[1])
 
 
 def known_error(spark, d):
     a = _l(spark, d)
-    known, b = solve.known_solution(a, fx.M, 3)
+    known, b = solve.known_solution(a, fx.size(spark, d), 3)
     return solve.relative_error(solve.solve_many(a, b), known)
 
 
@@ -116,28 +142,28 @@ def chosen_score(spark, d):
     return tune.score(tune.chosen_plans(model, test.select("matrix", "m", "size").distinct()), test)
 
 
-def _blocks(spark, depth=3):
-    return spark.createDataFrame(solve.block_bounds(fx.M, depth), "block long, kind string, up long, down long, left long, right long")
+def _blocks(spark, d, depth=3):
+    return spark.createDataFrame(solve.block_bounds(fx.size(spark, d), depth), "block long, kind string, up long, down long, left long, right long")
 
 
 def block_entries(spark, d):
     """Entries of each block: a range join with the short table of bounds."""
     a = _l(spark, d)
     inside = F.expr("i >= up and i < down and j >= left and j < right")
-    found = F.broadcast(_blocks(spark)).join(a, inside, "left").groupBy("block", "kind").agg(F.count("i").alias("nnz"), F.countDistinct("i").alias("n_rows"))
+    found = F.broadcast(_blocks(spark, d)).join(a, inside, "left").groupBy("block", "kind").agg(F.count("i").alias("nnz"), F.countDistinct("i").alias("n_rows"))
     return found
 
 
 QUERIES = {
-    "spmv": lambda s, d: matrix.multiply(_l(s, d), _x(s, fx.M)),
-    "spmv_long_row_split": lambda s, d: matrix.multiply_split(fx.skewed(s, d).withColumn("v", F.lit(0.5)), _x(s, 4096), 64),
+    "spmv": lambda s, d: matrix.multiply(_l(s, d), _x(s, d)),
+    "spmv_long_row_split": lambda s, d: matrix.multiply_split(fx.skewed(s, d).withColumn("v", F.lit(0.5)), _events(s, d), 64),
     "long_rows": lambda s, d: matrix.long_rows(fx.skewed(s, d), 64),
     "row_histogram": lambda s, d: matrix.row_counts(fx.square(s, d)),
-    "row_ptr_scan": lambda s, d: matrix.row_pointers(fx.square(s, d), fx.SQUARE),
+    "row_ptr_scan": lambda s, d: matrix.row_pointers(fx.square(s, d), _orders(s, d)),
     "transpose": lambda s, d: matrix.transpose(fx.square(s, d)),
-    "triangularise": lambda s, d: matrix.lower_part(fx.square(s, d), fx.SQUARE),
+    "triangularise": lambda s, d: matrix.lower_part(fx.square(s, d), _orders(s, d)),
     "sym_expand": lambda s, d: matrix.expand_symmetric(_l(s, d)),
-    "dcsr_rows": lambda s, d: matrix.compact_rows(fx.square(s, d).where("j < i and (i + j) % 3 = 0")),
+    "dcsr_rows": lambda s, d: matrix.compact_rows(matrix.transpose(fx.square(s, d))),
     "roots_anti_join": lambda s, d: matrix.roots(_l(s, d)),
     "edges_distinct": lambda s, d: matrix.edges(_l(s, d), _thresh(s, d)),
     "level_sets": lambda s, d: _levels(s, d),
@@ -145,11 +171,11 @@ QUERIES = {
     "level_nnz": lambda s, d: levels.level_sizes(_l(s, d), _levels(s, d)),
     "level_order": lambda s, d: levels.level_order(_levels(s, d)),
     "permute_levels": lambda s, d: matrix.permuted(_l(s, d), levels.level_order(_levels(s, d))),
-    "solve_level_loop": lambda s, d: solve.solve_levels(_l(s, d), fx.right_side(s)),
-    "solve_neumann": lambda s, d: solve.solve_series(_l(s, d), fx.right_side(s)),
-    "solve_backward": lambda s, d: solve.solve_backward(_l(s, d), fx.right_side(s)),
-    "solve_recblock": lambda s, d: solve.solve_blocks(_l(s, d), fx.right_side(s), fx.M, 2),
-    "residual_check": lambda s, d: solve.residual(_l(s, d), solve.solve_levels(_l(s, d), fx.right_side(s)), fx.right_side(s)),
+    "solve_level_loop": lambda s, d: solve.solve_levels(_l(s, d), fx.right_side(s, d)),
+    "solve_neumann": lambda s, d: solve.solve_series(_l(s, d), fx.right_side(s, d)),
+    "solve_backward": lambda s, d: solve.solve_backward(_l(s, d), fx.right_side(s, d)),
+    "solve_recblock": lambda s, d: solve.solve_blocks(_l(s, d), fx.right_side(s, d), fx.size(s, d), 2),
+    "residual_check": lambda s, d: solve.residual(_l(s, d), solve.solve_levels(_l(s, d), fx.right_side(s, d)), fx.right_side(s, d)),
     "group_block": lambda s, d: groups.by_block(_rows(s, d), 8),
     "group_thresh": lambda s, d: _thresh(s, d),
     "group_avg": lambda s, d: groups.by_average(_rows(s, d), 4),
@@ -182,22 +208,22 @@ QUERIES = {
     "group_pattern": lambda s, d: groups.by_pattern(_l(s, d), _rows(s, d), 8),
     "segment_sums": segments,
     "market_round_trip": lambda s, d: market.market_round_trip(_o(s, d), fx.order_sides(s, d).count()),
-    "permute_vector": lambda s, d: matrix.permuted_vector(_x(s, fx.M), _order(s, d)),
-    "unpermute_vector": lambda s, d: matrix.permuted_vector(_x(s, fx.M), _order(s, d), back=True),
+    "permute_vector": lambda s, d: matrix.permuted_vector(_x(s, d), _order(s, d)),
+    "unpermute_vector": lambda s, d: matrix.permuted_vector(_x(s, d), _order(s, d), back=True),
     "permute_rows": lambda s, d: matrix.permuted_axis(_l(s, d), _order(s, d), "i"),
     "permute_columns": lambda s, d: matrix.permuted_axis(_l(s, d), _order(s, d), "j"),
     "level_order_backward": lambda s, d: levels.level_order(_levels(s, d), backward=True),
-    "vector_subtract": lambda s, d: matrix.subtracted(fx.right_side(s), matrix.multiply(fx.skewed(s, d).withColumn("v", F.lit(0.5)), _x(s, 4096))),
-    "sub_triangle": lambda s, d: matrix.block(_l(s, d), 192, 384, 192, 384),
-    "sub_rectangle": lambda s, d: matrix.block(_l(s, d), 192, 384, 0, 192),
+    "vector_subtract": lambda s, d: matrix.subtracted(fx.right_side(s, d), matrix.multiply(fx.skewed(s, d).withColumn("v", F.lit(0.5)), _events(s, d))),
+    "sub_triangle": lambda s, d: _lower_half(s, d, True),
+    "sub_rectangle": lambda s, d: _lower_half(s, d, False),
     "level_graph_nodes": lambda s, d: levels.level_graph(_l(s, d), _levels(s, d), 3)[0],
     "level_graph_edges": lambda s, d: levels.level_graph(_l(s, d), _levels(s, d), 3)[1],
     "regrouped": lambda s, d: levels.regrouped(_groups(s, d).select("g", "n_rows"), _groups(s, d).select("g", "level")),
     "solve_many": many_sides,
     "known_error": known_error,
-    "solve_recblock_backward": lambda s, d: solve.solve_blocks_backward(matrix.transpose(_l(s, d)), fx.right_side(s), fx.M, 2),
-    "block_methods": lambda s, d: solve.block_methods(_l(s, d), _blocks(s)),
-    "solve_reordered": lambda s, d: analysis.solve_and_verify(_l(s, d), fx.right_side(s), analysis.Plan(reorder=True))[0],
+    "solve_recblock_backward": lambda s, d: solve.solve_blocks_backward(matrix.transpose(_l(s, d)), fx.right_side(s, d), fx.size(s, d), 2),
+    "block_methods": lambda s, d: solve.block_methods(_l(s, d), _blocks(s, d)),
+    "solve_reordered": lambda s, d: analysis.solve_and_verify(_l(s, d), fx.right_side(s, d), analysis.Plan(reorder=True))[0],
     "plan_parts": lambda s, d: analysis.analyse(_l(s, d), analysis.Plan(by_level=False)),
     "plan_space": lambda s, d: tune.plan_space(s).join(F.broadcast(tune.best_plans(fx.run_log(s, d)).agg(F.count("*").alias("n_matrices"))), F.lit(True)),
     "runs_informed": lambda s, d: tune.informed(fx.run_log(s, d), fx.matrix_info(s, d), 500),
@@ -205,9 +231,28 @@ QUERIES = {
     "run_labels": lambda s, d: tune.labels(fx.run_log(s, d)),
     "run_throughput": lambda s, d: tune.informed(fx.run_log(s, d), fx.matrix_info(s, d), 0).select("matrix", "plan", *features.throughput(F.col("nnz"), F.col("m"), F.col("time"))),
     "chosen_score": chosen_score,
+    "counter_levels": lambda s, d: counters.levels_by_counters(_o(s, d)),
+    "counter_solve": lambda s, d: _rounded(counters.solve_by_counters(_o(s, d), fx.order_sides(s, d))),
+    "fused_levels": lambda s, d: pieces.levels_fused(fx.nation_chain(s, d))[0],
+    "fused_solve": lambda s, d: _rounded(pieces.solve_fused(fx.nation_chain(s, d), fx.order_sides(s, d))[0]),
+    "solve_plan_block": lambda s, d: _planned(s, d, "ROW_BLOCK", 64),
+    "solve_plan_thresh": lambda s, d: _planned(s, d, "ROW_BLOCK_THRESH", 4),
+    "solve_plan_nodep": lambda s, d: _planned(s, d, "ROW_BLOCK_NODEP", 64),
+    "solve_plan_parts": lambda s, d: _planned(s, d, "ROW_BLOCK_AVG", 8, by_level=False),
+    "solve_blocks_by_method": lambda s, d: blocks.solve_blocks_by_method(_l(s, d), fx.right_side(s, d), fx.size(s, d), 2),
+    "order_reverse_level": lambda s, d: features.reverse_level(levels.level_sets(_o(s, d))).select(F.round("reverse_level", 9).alias("reverse_level")),
 }
 
 
+def _rounded(x):
+    return x.select("i", F.round("x", 9).alias("x"))
+
+
+def _planned(spark, d, strategy, alpha, by_level=True):
+    """The solution by a plan's groups."""
+    return analysis.solve_planned(_l(spark, d), fx.right_side(spark, d), analysis.Plan(strategy, alpha, by_level))[0]
+
+
 def _order_pointers(spark, d):
     return matrix.row_pointers(_o(spark, d), fx.order_sides(spark, d).count())
 
@@ -216,11 +261,11 @@ ORACLES = {
     "spmv_long_row_split": f"with {SKEW} select i, sum(0.5::double*((j%5)+1)) y from sk group by i",
     "long_rows": f"with {SKEW} select i, count(*) n from sk group by i having count(*)>64",
     "row_histogram": f"with {SQ} select i, count(*) n from sq group by i",
-    "row_ptr_scan": f"with {SQ} select r i, cast(coalesce(sum(n) over (order by r rows between unbounded preceding and 1 preceding),0) as bigint) ptr from (select r, count(sq.i) n from range(512) t(r) left join sq on sq.i=r group by r)",
+    "row_ptr_scan": f"with {SQ} select r i, cast(coalesce(sum(n) over (order by r rows between unbounded preceding and 1 preceding),0) as bigint) ptr from (select r, count(sq.i) n from range((select count(*) from orders)) t(r) left join sq on sq.i=r group by r)",
     "transpose": f"with {SQ} select j i, i j, v from sq",
-    "triangularise": f"with {SQ} select i, j, v from sq where j<i union all select r, r, cast(count(sq.i)+2 as double) from range(512) t(r) left join sq on sq.i=r and sq.j<r group by r",
+    "triangularise": f"with {SQ} select i, j, v from sq where j<i union all select r, r, cast(count(sq.i)+2 as double) from range((select count(*) from orders)) t(r) left join sq on sq.i=r and sq.j<r group by r",
     "sym_expand": f"with {F1} select i, j, v from f1 union all select j, i, v from f1 where i<>j",
-    "dcsr_rows": f"with {SQ} select i, row_number() over (order by i) - 1 as row from (select distinct i from sq where j<i and (i+j)%3=0)",
+    "dcsr_rows": f"with {SQ} select i, row_number() over (order by i) - 1 as row from (select distinct j i from sq)",
     "roots_anti_join": f"with {F1} select i from f1 group by i having count(*)=1",
     "edges_distinct": f"with {F1}, {ROWS}, {THRESH} select distinct b.g src, a.g dst from f1 o join th a on a.i=o.i join th b on b.i=o.j where o.i<>o.j and b.g<a.g",
     "level_sets": f"with recursive {F1}, {LEV} select i, level from lev",
@@ -265,22 +310,32 @@ ORACLES = {
     "group_nodep": NODEP.format(with_=f"with recursive {F1}, {ROWS}", entries="f1", alpha=8),
     "group_pattern": f"""with recursive {F1}, {ROWS}, pt as (select a.i s, b.i, coalesce((select string_agg(j, ',' order by j) from f1 where f1.i=b.i and f1.j<a.i), '') p
  from rn a join rn b on b.i>=a.i and b.i<a.i+8), nx as (select s, least(min(case when pt.p<>o.p then pt.i end), s+8) nxt from pt join (select s z, p from pt where i=s) o on o.z=pt.s group by s),
- st(s) as (select 0::bigint union all select nxt from st join nx using(s) where nxt < 384) select rn.i, n, (select max(s) from st where st.s<=rn.i) g from rn""",
+ st(s) as (select 0::bigint union all select nxt from st join nx using(s) where nxt < (select m from sz)) select rn.i, n, (select max(s) from st where st.s<=rn.i) g from rn""",
     "segment_sums": f"with {OC}, rn as (select i, count(*) n from oe group by i) select cast(seg as bigint) segment, cast(sum(n) as bigint) v from (select n, sum((i%37=5)::int) over (order by i rows unbounded preceding) seg from rn) group by seg",
     "market_round_trip": f"with {OC} select i, j, v from oe",
     "permute_vector": f"with recursive {F1}, {LEV}, {LORD} select place i, (i%5+1)::double x from o",
     "unpermute_vector": f"with recursive {F1}, {LEV}, {LORD} select i, (place%5+1)::double x from o",
     "permute_rows": f"with recursive {F1}, {LEV}, {LORD} select place i, j, v from f1 join o using(i)",
     "permute_columns": f"with recursive {F1}, {LEV}, {LORD} select f1.i, place j, v from f1 join o on o.i=f1.j",
-    "level_order_backward": f"with recursive {F1}, {LEV}, {LORD} select i, 383 - place place from o",
-    "vector_subtract": f"with {SKEW}, {RHS} select i, b - coalesce(y, 0) b from rhs left join (select i, sum(0.5::double*((j%5)+1)) y from sk group by i) using(i)",
-    "sub_triangle": f"with {F1} select i-192 i, j-192 j, v from f1 where i>=192 and j>=192",
-    "sub_rectangle": f"with {F1} select i-192 i, j, v from f1 where i>=192 and j<192",
+    "level_order_backward": f"with recursive {F1}, {LEV}, {LORD} select i, (select m from sz) - 1 - place place from o",
+    "vector_subtract": f"with {SZ}, {SKEW}, {RHS} select i, b - coalesce(y, 0) b from rhs left join (select i, sum(0.5::double*((j%5)+1)) y from sk group by i) using(i)",
+    "sub_triangle": f"with {F1} select i-m//2 i, j-m//2 j, v from f1, sz where i>=m//2 and j>=m//2",
+    "sub_rectangle": f"with {F1} select i-m//2 i, j, v from f1, sz where i>=m//2 and j<m//2",
     "level_graph_nodes": f"with recursive {F1}, {LEV}, n as (select * from lev where level<3), e as (select f1.j src, f1.i dst from f1 join n a on a.i=f1.j join n b on b.i=f1.i where f1.i<>f1.j) select i, level, (select count(*) from e where dst=i) n_in, (select count(*) from e where src=i) n_out from n",
     "level_graph_edges": f"with recursive {F1}, {LEV}, n as (select * from lev where level<3) select f1.j src, f1.i dst from f1 join n a on a.i=f1.j join n b on b.i=f1.i where f1.i<>f1.j",
     "regrouped": f'{GROUPED} select g, row_number() over (order by level, g) - 1 place, cast(coalesce(sum(n_rows) over (order by level, g rows between unbounded preceding and 1 preceding), 0) as bigint) "first" from gt',
-    "solve_many": f"with {KNOWN} select r, i, x from kx",
-    "known_error": "select r, 0.0::double max_error, 0.0::double rel_l1 from range(3) t(r)",
+    "solve_many": f"with {SZ}, {KNOWN} select r, i, x from kx",
+    "known_error": f"""with recursive {F1}, {KNOWN},
+ kb as (select r, f1.i, sum(f1.v*kx.x) b from f1 join kx on kx.i = f1.j group by 1, 2), y(r, i, k, v) as (select r, i, 0, b/8.0::double from kb union all
+ select y.r, o.i, y.k+1, -sum(o.v*y.v)/8.0::double from y join f1 o on o.j=y.i and o.i<>o.j group by y.r, o.i, y.k), xs as (select r, i, sum(v) x from y group by r, i)
+ select r, max(abs(kx.x-xs.x)) max_error, sum(abs(kx.x-xs.x))/sum(abs(kx.x)) rel_l1 from kx join xs using (r, i) group by r""",
+    "counter_levels": f"with {OC}, {OLEV} select i, level from ol",
+    "counter_solve": f"with recursive {OC}{CHAIN} select i, round(x, 9) x from sx",
+    "fused_levels": f"with {NC} select i, rn - 1 as level from nc",
+    "fused_solve": NATION_SOLVE,
+    **dict.fromkeys(("solve_plan_block", "solve_plan_thresh", "solve_plan_nodep", "solve_plan_parts", "solve_blocks_by_method"), FORWARD),
+    "order_nodep": NODEP.format(with_=f"with recursive {OC}, rn as (select i, count(*) n from oe group by i)", entries="oe", alpha=8),
+    "order_reverse_level": f"with {OC}, {OLEV} select round(sum(c/(i+1.0::double))/count(*),9) reverse_level from (select a.i, (select count(*) from ol b where b.i<a.i and b.level>a.level) c from ol a)",
     "solve_recblock_backward": SOLVE.format(f1=F1, rhs=RHS, a="j", b="i"),
     "solve_reordered": FORWARD,
     "plan_parts": f"{GROUPED} select g, n_rows, nnz, level, flags, 0::bigint part from gt",

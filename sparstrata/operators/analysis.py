@@ -1,4 +1,4 @@
-"""One entry: a plan's groups and levels, and a solution with its check."""
+"""One entry: a plan's groups and levels, and a solution by them with its check."""
 
 from __future__ import annotations
 
@@ -7,12 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparstrata.operators import groups, levels, matrix, solve
+from sparstrata.operators import counters, groups, levels, matrix, solve
+
+#: Rows of a part at least, where groups are not kept apart by level; a part ends with a group.
+PART = 4096
 
 
 @dataclass(frozen=True)
 class Plan:
-    """How to group rows, whether levels are kept apart, and whether the system is reordered by level before it is solved."""
+    """How to group rows, whether levels of groups are kept apart, and whether the system is reordered by level before it is solved."""
 
     strategy: str = "ROW_BLOCK_THRESH"
     alpha: int = 4
@@ -26,13 +29,26 @@ def analyse(a: DataFrame, plan: Plan) -> DataFrame:
     return table.withColumn("part", F.col("level") if plan.by_level else F.lit(0).cast("long"))
 
 
+def planned_groups(a: DataFrame, plan: Plan) -> DataFrame:
+    """(i, g): rows that are substituted at once: a plan's groups, or without levels whole groups of neighbouring rows up to ``PART`` rows."""
+    own = groups.grouped(a, plan.strategy, plan.alpha).select("i", "g")
+    return own if plan.by_level else own.withColumn("g", F.expr(f"g div {PART}"))
+
+
+def solve_planned(a: DataFrame, b: DataFrame, plan: Plan) -> tuple[DataFrame, int]:
+    """(i, x) by the plan's groups, and the turns that it took: the levels of the graph of groups."""
+    if not levels.triangular(a):
+        raise ValueError("entries on both sides of the diagonal")
+    if not plan.reorder:
+        return counters.solve_by_groups(a, b, planned_groups(a, plan))
+    order = levels.level_order(levels.level_sets(a))
+    turned = matrix.permuted(a, order)
+    side = matrix.permuted_vector(b.withColumnRenamed("b", "x"), order).withColumnRenamed("x", "b")
+    x, turns = counters.solve_by_groups(turned, side, planned_groups(turned, plan))
+    return matrix.permuted_vector(x, order, back=True), turns
+
+
 def solve_and_verify(a: DataFrame, b: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
-    """The solution (i, x), and one row of its largest error, where that is, and the relative error."""
-    if plan.reorder:
-        order = levels.level_order(levels.level_sets(a))
-        turned = matrix.permuted(a, order)
-        side = matrix.permuted_vector(b.withColumnRenamed("b", "x"), order).withColumnRenamed("x", "b")
-        x = matrix.permuted_vector(solve.solve_levels(turned, side), order, back=True)
-    else:
-        x = solve.solve_levels(a, b)
+    """The solution (i, x) by the plan, and one row of its largest error, where that is, and the relative error."""
+    x, _ = solve_planned(a, b, plan)
     return x, solve.residual(a, x, b)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparstrata.functions.scan import prefix
+
 
 def features(a: DataFrame, levels: DataFrame) -> DataFrame:
     """One row: size, entries, averages and variation of rows and levels, distance of dependencies, level count."""
@@ -20,18 +22,27 @@ def features(a: DataFrame, levels: DataFrame) -> DataFrame:
     return per_row.crossJoin(F.broadcast(per_level))
 
 
-def reverse_level(levels: DataFrame) -> DataFrame:
-    """One row: the mean share of earlier rows that have a higher level.
+def later_above(levels: DataFrame) -> DataFrame:
+    """(i, n): how many earlier rows of levels(i, level) have a higher level, for rows that have any.
 
-    Counted by blocks of rows and levels: earlier blocks by their totals, the own
-    block by a join inside it, so no row meets all others.
+    Counted by bits of the level: two levels differ first, from the top, in one
+    bit, so rows are split by the bits above it, and of these a row with a 0
+    counts the earlier ones with a 1, by a prefix scan inside the split. All bits
+    are scanned together; no row meets another.
     """
-    blocked = levels.withColumn("block", F.expr("i div 512"))
-    totals = blocked.groupBy("block", "level").agg(F.count("*").alias("c"))
-    outer = blocked.alias("a").join(totals.alias("b"), F.expr("b.block < a.block and b.level > a.level"), "left").groupBy("a.i", "a.level", "a.block").agg(F.coalesce(F.sum("b.c"), F.lit(0)).alias("far"))
-    other = blocked.select("block", F.col("i").alias("k"), F.col("level").alias("above"))
-    counted = outer.join(other, "block").groupBy("i", "far").agg(F.sum(F.when((F.col("k") < F.col("i")) & (F.col("above") > F.col("level")), 1).otherwise(0)).alias("near"))
-    return counted.agg((F.sum((F.col("far") + F.col("near")) / (F.col("i") + 1)) / F.count("*")).alias("reverse_level"))
+    top = levels.agg(F.max("level")).first()[0]
+    bits = max(1, int(top or 0).bit_length())
+    split = levels.select("i", "level", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit"))
+    split = split.select("i", "bit", F.expr("shiftright(level, bit + 1)").alias("above"), F.expr("shiftright(level, bit) & 1").alias("one"))
+    counted = prefix(split, "i", "one", "n", by=("bit", "above"))
+    return counted.where("one = 0 and n > 0").groupBy("i").agg(F.sum("n").alias("n"))
+
+
+def reverse_level(levels: DataFrame) -> DataFrame:
+    """One row: the mean share of earlier rows that have a higher level."""
+    shares = later_above(levels).agg(F.coalesce(F.sum(F.col("n") / (F.col("i") + 1)), F.lit(0.0)).alias("s"))
+    # one row each
+    return levels.agg(F.count("*").alias("m")).crossJoin(F.broadcast(shares)).select((F.col("s") / F.col("m")).alias("reverse_level"))
 
 
 def throughput(nnz, m, micros):

@@ -9,14 +9,7 @@ from pyspark.sql import functions as F
 
 from sparstrata.functions.storage import fresh_path, written
 from sparstrata.operators.levels import level_sets, triangular
-from sparstrata.operators.matrix import multiply, subtracted, transpose
-
-
-def checked_diagonal(a: DataFrame) -> DataFrame:
-    """(i, d); raises where a row has no diagonal or a zero there."""
-    found = a.groupBy("i").agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("v"))).alias("d"))
-    bad = F.col("d").isNull() | (F.col("d") == 0)
-    return found.select("i", F.when(bad, F.raise_error(F.concat(F.lit("no pivot in row "), F.col("i")))).otherwise(F.col("d")).alias("d"))
+from sparstrata.operators.matrix import checked_diagonal, multiply, subtracted, transpose
 
 
 def solve_many(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -132,7 +125,11 @@ def block_methods(a: DataFrame, bounds: DataFrame) -> DataFrame:
     aside, and by the share of empty rows. There are few blocks; they are broadcast.
     """
     inside = F.expr("i >= up and i < down and j >= left and j < right")
-    held = written(a.join(F.broadcast(bounds), inside).select("block", "kind", "i", "j", "v"), "block-entries")
+    return methods_of(written(a.join(F.broadcast(bounds), inside).select("block", "kind", "i", "j", "v"), "block-entries"), bounds)
+
+
+def methods_of(held: DataFrame, bounds: DataFrame) -> DataFrame:
+    """``block_methods`` of written entries held(block, kind, i, j, v)."""
     own = held.where("kind = 'triangle'")
     depth = level_sets(own).join(own.select("block", "i").distinct(), "i").groupBy("block").agg((F.max("level") + 1).alias("n_levels"))
     rows = held.groupBy("block", "i").agg(F.count("*").alias("n"))
