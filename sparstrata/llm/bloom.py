@@ -8,7 +8,7 @@ there, whichever parts it came in.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -116,11 +116,15 @@ def collected(spark: SparkSession, shards: DataFrame, column: str, bits: int):
     return spark.sparkContext.broadcast(whole)
 
 
+def lit(filled: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether each of these bits is set."""
+    return (filled[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 def holds(filled: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether each hash is, or may be, in the filter."""
-    at = places(hashes, 8 * len(filled))
-    found = filled[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1
-    return (found[: len(hashes)] & found[len(hashes) :]).astype(bool)
+    found = lit(filled, places(hashes, 8 * len(filled)))
+    return found[: len(hashes)] & found[len(hashes) :]
 
 
 def hash_of(data: bytes) -> int:
@@ -129,14 +133,48 @@ def hash_of(data: bytes) -> int:
     return xxhash.xxh3_64_intdigest(data)
 
 
-def filter_of(rows: DataFrame, column: str, each: int = 16):
-    """A broadcast filter of the values of a column of bytes, and how many there are."""
-    n = rows.count()
-    bits = filter_bits(n, each)
+def filter_of(rows: DataFrame, columns: list[str], hashed: Callable[..., int], each: int = 16):
+    """A broadcast filter of a hash of some columns of a saved table."""
+    bits = filter_bits(rows.count(), each)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = (np.unique(np.fromiter(map(hash_of, b.column(0).to_pylist()), np.uint64, b.num_rows)) for b in batches)
-        yield from parts(hashed, bits)
+        own = (np.unique(np.fromiter(map(hashed, *(c.to_pylist() for c in b.columns)), np.uint64, b.num_rows)) for b in batches)
+        yield from parts(own, bits)
+
+    return collected(rows.sparkSession, merged(rows.select(*columns).mapInArrow(run, SCHEMA)), "once", bits)
+
+
+COUNTED = "shard long, places binary, counts binary"
+MOST_COUNTED = 255
+
+
+def counted_part(buckets: np.ndarray) -> pa.RecordBatch:
+    """Rows (shard, places, counts) of how often each bucket occurs, up to ``MOST_COUNTED``."""
+    found, counts = np.unique(buckets, return_counts=True)
+    counts = np.minimum(counts, MOST_COUNTED).astype(np.uint8)
+    shards = np.unique(found // SHARD)
+    cuts = np.searchsorted(found, np.append(shards.astype(np.uint64), np.uint64(shards[-1]) + np.uint64(1)) * np.uint64(SHARD)).tolist()
+    pieces = list(zip(cuts[:-1], cuts[1:], strict=True))
+    columns = [[(found[a:b] % SHARD).astype("<u4").tobytes() for a, b in pieces], [counts[a:b].tobytes() for a, b in pieces]]
+    return pa.RecordBatch.from_arrays([pa.array(shards.astype(np.int64)), *[pa.array(c, pa.binary()) for c in columns]], ["shard", "places", "counts"])
+
+
+def often(table: DataFrame, least: int) -> DataFrame:
+    """Bit maps (shard, once) of the buckets that occur ``least`` times or more (``MOST_COUNTED`` at most) in all parts together."""
+    least = min(least, MOST_COUNTED)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = total = None
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.packbits(total >= least, bitorder="little").tobytes()])], ["shard", "once"])
+        for batch in batches:
+            for shard, places, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != at:
+                    if at is not None:
+                        yield row()
+                    at, total = shard, np.zeros(SHARD, np.uint16)
+                own = np.frombuffer(places, "<u4")
+                total[own] = np.minimum(total[own] + np.frombuffer(counts, np.uint8), MOST_COUNTED)
+        if at is not None:
+            yield row()
 
-    shards = merged(rows.select(F.col(column).cast("binary")).mapInArrow(run, SCHEMA))
-    return collected(rows.sparkSession, shards, "once", bits), n
+    return table.repartition("shard").sortWithinPartitions("shard").mapInArrow(add, "shard long, once binary")

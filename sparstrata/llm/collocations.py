@@ -9,7 +9,8 @@ common first word or pair is spread, and runs of one prefix are merged by sums.
 Words are counted first, then pairs, then phrases of three and four words. A phrase
 is only as frequent as its rarest part, so tasks count only phrases whose words,
 and whose pairs, are frequent. They look these up in Bloom filters of bounded size,
-which may let more phrases pass but never lose one.
+which may let more phrases pass but never lose one. Before pairs are counted, they
+are counted by hash: a pair whose hash came too rarely needs no counter of its own.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ LONGEST = 4
 #: Bytes of text that are cut into words at once; longer texts are taken in steps that end at the end of a piece.
 STEP = 2_000_000
 #: Entries of a container before it bursts, of a trie before subtrees leave it, and words that a task numbers before it starts anew.
-BURST, ENTRIES, WORDS = 8192, 1_000_000, 1 << 20
+BURST, ENTRIES, WORDS = 8192, 500_000, 1 << 20
+#: Hashes that a task holds before it sums them up.
+HELD = 4_000_000
 #: Rows of a run that leave a task at once.
 RUN_ROWS = 50_000
 #: A part is looked up by broadcast if it has more than this share of all words: no more than so many can have.
@@ -115,78 +118,104 @@ class HatTrie:
             yield first, found
 
 
-class Numbered:
-    """Ids of the words of each language, 0 for those that are not frequent, and the words."""
+class Ids(dict):
+    """Ids of the words of a language, given when a word is first asked for: 0 for those that are not frequent."""
+
+    def __init__(self, numbered: Numbered, lang: str):
+        super().__init__({BREAK: 0})
+        self.numbered, self.lang, self.mark = numbered, lang, mark_of(lang)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = self.numbered.number(self.lang, word, bloom.hash_of(self.mark + word))
+        return found
 
-    def __init__(self, frequent: np.ndarray | None):
-        self.frequent, self.ids, self.words, self.langs = frequent, {}, [b""], [""]
+
+class Numbered:
+    """Ids of frequent words of all languages, their hashes and the words themselves."""
+
+    def __init__(self, frequent: np.ndarray):
+        # a look-up of one word at a time
+        self.frequent, self.mask = frequent.data, 8 * len(frequent) - 1
+        self.ids, self.words, self.langs, self.hashed = {}, [b""], [""], np.zeros(1 << 12, np.uint64)
+
+    def number(self, lang: str, word: bytes, value: int) -> int:
+        a, b = value & self.mask, value >> 32 & self.mask
+        if not (self.frequent[a >> 3] >> (a & 7) & self.frequent[b >> 3] >> (b & 7) & 1):
+            return 0
+        found = len(self.words)
+        self.words.append(word)
+        self.langs.append(lang)
+        if found == len(self.hashed):
+            self.hashed = np.concatenate([self.hashed, np.zeros_like(self.hashed)])
+        self.hashed[found] = value
+        return found
 
     def of(self, lang: str, words: list[bytes]) -> np.ndarray:
-        ids = self.ids.setdefault(lang, {BREAK: 0})
-        new = [w for w in set(words) if w not in ids]
-        if new:
-            mark = lang.encode() + b"\0"
-            hashes = np.fromiter((bloom.hash_of(mark + w) for w in new), np.uint64, len(new))
-            for w, known in zip(new, bloom.holds(self.frequent, hashes).tolist(), strict=True):
-                ids[w] = len(self.words) if known else 0
-                if known:
-                    self.words.append(w)
-                    self.langs.append(lang)
-        return np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+        own = self.ids.get(lang)
+        if own is None:
+            own = self.ids[lang] = Ids(self, lang)
+        return np.fromiter(map(own.__getitem__, words), np.int64, len(words))
+
+    @property
+    def full(self) -> bool:
+        return sum(map(len, self.ids.values())) > WORDS
+
+
+def mark_of(lang: str) -> bytes:
+    return lang.encode() + b"\0"
+
+
+def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A hash of two hashes of words, in this order."""
+    mixed = (first * np.uint64(0x9E3779B97F4A7C15) + second) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return mixed ^ mixed >> np.uint64(29)
 
 
-def _counted(keys: np.ndarray) -> tuple[np.ndarray, list[int]]:
-    found, counts = np.unique(keys, return_counts=True)
-    return found, counts.tolist()
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(keys, return_counts=True)
 
 
 class PhraseCounter:
-    """Counts phrases of two words, or of three and four if a filter of frequent pairs is given, in a ``HatTrie``."""
+    """Counts phrases in a ``HatTrie``: pairs whose bucket is lit, or phrases of three and four words of pairs that a filter holds."""
 
-    def __init__(self, words: np.ndarray, pairs: np.ndarray | None):
-        self.frequent, self.pairs = words, pairs
+    def __init__(self, words: np.ndarray, pairs: np.ndarray, longer: bool):
+        self.frequent, self.pairs, self.longer = words, pairs, longer
         self.fresh()
 
     def fresh(self) -> None:
-        self.numbered, self.trie, self.memo = Numbered(self.frequent), HatTrie(), {}
+        self.numbered, self.trie = Numbered(self.frequent), HatTrie()
 
     def add(self, lang: str, words: list[bytes]) -> None:
         ids = self.numbered.of(lang, words)
-        a, b = ids[:-1], ids[1:]
-        sound = (a > 0) & (b > 0)
-        if self.pairs is None:
-            self._insert(*_counted(a[sound] << 32 | b[sound]), np.zeros((0, 2), np.int64))
-            return
-        # each pair that is frequent gets a number in this batch
-        pair, inverse = np.unique(np.where(sound, a << 32 | b, 0), return_inverse=True)
-        own, number = self.numbered.words, inverse.reshape(-1)
-        mark = lang.encode() + b"\0"
-        asked = [p for p in pair.tolist() if p and p not in self.memo]
-        hashes = np.fromiter((bloom.hash_of(mark + own[p >> 32] + b" " + own[p & 0xFFFFFFFF]) for p in asked), np.uint64, len(asked))
-        self.memo.update(zip(asked, bloom.holds(self.pairs, hashes).tolist(), strict=True))
-        known = np.fromiter((bool(p) and self.memo[p] for p in pair.tolist()), bool, len(pair))[number]
+        hashed = self.numbered.hashed[ids]
+        known = (ids[:-1] > 0) & (ids[1:] > 0)
+        asked = pair_hash(hashed[:-1][known], hashed[1:][known])
+        known[known] = bloom.holds(self.pairs, asked) if self.longer else bloom.lit(self.pairs, asked & np.uint64(8 * len(self.pairs) - 1))
+        at = np.flatnonzero(known)
+        # pairs are numbered in this batch
+        pair, number = np.unique(ids[at] << 32 | ids[at + 1], return_inverse=True)
         split = np.stack([pair >> 32, pair & 0xFFFFFFFF], axis=1)
-        three = known[:-1] & known[1:]
-        four = three[:-1] & three[1:]
-        self._insert(*_counted(number[:-1][three] << 32 | b[1:][three]), split)
-        self._insert(*_counted(number[:-2][four] << 32 | number[2:][four]), split, True)
-
-    def _insert(self, keys: np.ndarray, counts: list[int], pairs: np.ndarray, four: bool = False) -> None:
-        """Keys are (first, second), (number of a pair, third) or, with ``four``, numbers of two pairs."""
-        if not len(keys):
+        if not self.longer:
+            self._insert(split, np.bincount(number.reshape(-1), minlength=len(pair)))
+            return
+        numbers = np.zeros(len(ids), np.int64)
+        numbers[at] = number.reshape(-1)
+        three = np.flatnonzero(known[:-1] & known[1:])
+        four = three[:-1][np.diff(three) == 1]
+        key, n = _counted(numbers[three] << 32 | ids[three + 2])
+        self._insert(np.column_stack([split[key >> 32], key & 0xFFFFFFFF]), n)
+        key, n = _counted(numbers[four] << 32 | numbers[four + 2])
+        self._insert(np.column_stack([split[key >> 32], split[key & 0xFFFFFFFF]]), n)
+
+    def _insert(self, phrases: np.ndarray, counts: np.ndarray) -> None:
+        """Rows of ids, each with its count."""
+        if not len(phrases):
             return
-        left, right = keys >> 32, keys & 0xFFFFFFFF
-        if not len(pairs):
-            first, rest = left, [(x,) for x in right.tolist()]
-        else:
-            first = pairs[left, 0]
-            columns = [pairs[left, 1], *([pairs[right, 0], pairs[right, 1]] if four else [right])]
-            order = np.argsort(first, kind="stable")
-            first, counts = first[order], np.array(counts)[order].tolist()
-            rest = list(zip(*(c[order].tolist() for c in columns), strict=True))
+        order = np.argsort(phrases[:, 0], kind="stable")
+        first, rest, counts = phrases[order, 0], [*zip(*(c[order].tolist() for c in phrases.T[1:]), strict=True)], counts[order].tolist()
         cuts = np.flatnonzero(np.diff(first, prepend=-1))
-        for at, stop in zip(cuts.tolist(), [*cuts[1:].tolist(), len(first)], strict=True):
-            self.trie.add(int(first[at]), rest[at:stop], counts[at:stop])
+        for at, stop, own in zip(cuts.tolist(), [*cuts[1:].tolist(), len(first)], first[cuts].tolist(), strict=True):
+            self.trie.add(own, rest[at:stop], counts[at:stop])
 
     def runs(self, most: int) -> Iterator[pa.RecordBatch]:
         """Sorted runs of the subtrees that leave the trie, one behind the other."""
@@ -232,23 +261,49 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, COUNTED).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-def count_phrases(texts: DataFrame, words, pairs=None) -> DataFrame:
-    """Rows (lang, phrase, n) of phrases of frequent words: of two words, or with a filter of frequent pairs of three and four."""
+def pair_filter(texts: DataFrame, words, buckets: int, least: int):
+    """A broadcast filter of hashes of pairs of frequent words, of those whose bucket has ``least`` occurrences or more.
+
+    ``buckets`` is a power of two within ``bloom.MOST_BITS``; with too few of them
+    more pairs pass.
+    """
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbered, held, size = Numbered(words.value), [], 0
+        for lang, found in word_runs(batches):
+            ids = numbered.of(lang, found)
+            known = (ids[:-1] > 0) & (ids[1:] > 0)
+            hashed = numbered.hashed[ids]
+            held.append((pair_hash(hashed[:-1][known], hashed[1:][known]) & np.uint64(buckets - 1)).astype(np.uint32))
+            size += len(held[-1])
+            if size >= HELD:
+                yield bloom.counted_part(np.concatenate(held))
+                held, size = [], 0
+            if numbered.full:
+                numbered = Numbered(words.value)
+        if size:
+            yield bloom.counted_part(np.concatenate(held))
+
+    return bloom.collected(texts.sparkSession, bloom.often(texts.mapInArrow(parts, bloom.COUNTED), least), "once", buckets)
+
+
+def count_phrases(texts: DataFrame, words, pairs, longer: bool) -> DataFrame:
+    """Rows (lang, phrase, n) of the pairs whose bucket is lit, or of phrases of three and four words of pairs that a filter holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = PhraseCounter(words.value, pairs and pairs.value)
+        own = PhraseCounter(words.value, pairs.value, longer)
         for lang, found in word_runs(batches):
             own.add(lang, found)
             if own.trie.total > ENTRIES:
                 yield from own.runs(ENTRIES // 2)
-            if len(own.numbered.words) > WORDS or len(own.memo) > 4 * WORDS or sum(map(len, own.numbered.ids.values())) > 4 * WORDS:
+            if own.numbered.full:
                 yield from own.runs(0)
                 own.fresh()
         yield from own.runs(0)
 
-    prefix = F.substring_index("phrase", " ", 3)
-    dealt = texts.mapInArrow(run, COUNTED).withColumn("prefix", prefix).repartition("lang", "prefix")
-    return dealt.groupBy("lang", "prefix", "phrase").agg(F.sum("n").alias("n")).drop("prefix")
+    prefix = F.xxhash64("lang", F.substring_index("phrase", " ", 3))
+    dealt = texts.mapInArrow(run, COUNTED).withColumn("prefix", prefix).repartition("prefix")
+    return dealt.groupBy("prefix", "lang", "phrase").agg(F.sum("n").alias("n")).drop("prefix")
 
 
 def frequent_phrases(docs: DataFrame, least: int = 30, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -259,13 +314,19 @@ def frequent_phrases(docs: DataFrame, least: int = 30, text_col: str = "text", l
     """
     texts = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), text_of(f"`{text_col}`").cast("binary").alias("text"))
     words = saved(count_words(texts).where((F.col("n") >= least) | F.col("phrase").isNull()), "words")
-    keyed = lambda table: table.select(F.concat(F.encode("lang", "UTF-8"), F.lit(b"\0"), F.encode("phrase", "UTF-8")).alias("key"))
-    single = words.where(F.col("phrase").isNotNull())
-    known, _ = bloom.filter_of(keyed(single), "key")
-    pairs = saved(count_phrases(texts, known).where(F.col("n") >= least), "pairs")
-    known_pairs, _ = bloom.filter_of(keyed(pairs), "key")
-    longer = saved(count_phrases(texts, known, known_pairs).where(F.col("n") >= least), "phrases")
-    return single.unionByName(pairs).unionByName(longer), words.where(F.col("phrase").isNull()).select("lang", "n")
+    single, totals = words.where(F.col("phrase").isNotNull()), words.where(F.col("phrase").isNull()).select("lang", "n")
+    n = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    known = bloom.filter_of(single, ["lang", "phrase"], lambda lang, phrase: bloom.hash_of(mark_of(lang) + phrase.encode()))
+    likely = pair_filter(texts, known, max(bloom.SHARD, bloom.filter_bits(int(n), 1) >> 3), least)
+    pairs = saved(count_phrases(texts, known, likely, False).where(F.col("n") >= least), "pairs")
+
+    def hashed(lang: str, phrase: str) -> int:
+        own = [np.array([bloom.hash_of(mark_of(lang) + w)], np.uint64) for w in phrase.encode().split(b" ")]
+        return int(pair_hash(*own)[0])
+
+    known_pairs = bloom.filter_of(pairs, ["lang", "phrase"], hashed)
+    longer = saved(count_phrases(texts, known, known_pairs, True).where(F.col("n") >= least), "phrases")
+    return single.unionByName(pairs).unionByName(longer), totals
 
 
 def _parts(found: DataFrame) -> DataFrame:
