@@ -10,7 +10,7 @@ from sparstrata.sources import market
 
 SZ = """sz as (select ns, ns+np_ po, ns+np_+no oc_, ns+np_+no+nc m from (select (select count(*) from supplier) ns, (select count(*) from part) np_, (select count(*) from orders) no, (select count(*) from customer) nc)),
  al as (select unnest(range(m)) r from sz)"""
-F1 = f"""{SZ}, f1 as (select i, j, ((n*5+i+j)%7+1)/16.0::double v from (select ns + l_partkey i, l_suppkey j, count(*) n from lineitem, sz group by 1,2
+F1 = f"""{SZ}, f1 as materialized (select i, j, ((n*5+i+j)%7+1)/16.0::double v from (select ns + l_partkey i, l_suppkey j, count(*) n from lineitem, sz group by 1,2
  union all select po + l_orderkey, ns + l_partkey, count(*) from lineitem, sz group by 1,2 union all select oc_ + o_custkey, po + o_orderkey, count(*) from orders, sz group by 1,2)
  union all select r, r, 8.0::double from al)"""
 RHS = "rhs as (select r i, ((r%5+1)/8.0)::double b from al)"
@@ -19,26 +19,37 @@ SKEW = "sk as (select distinct cast(case when event_id%4=0 then 0 else event_id/
 PERF = """perf as (select cast(user_id as bigint) matrix, cast(event_id%12 as bigint) plan, min(value)+1 "time" from events group by 1,2)"""
 LEV = """p(i,k) as (select r, 0 from al union select o.i, p.k+1 from p join f1 o on o.j=p.i and o.i<>o.j),
  lev as (select i, cast(max(k) as bigint) level from p group by i)"""
-ROWS = "rn as (select i, count(*) n from f1 group by i)"
-THRESH = """th as (select i, n, case when n>4 then i else st + ((i-st)//32)*32 end g from
+ROWS = "rn as materialized (select i, count(*) n from f1 group by i)"
+THRESH = """th as materialized (select i, n, case when n>4 then i else st + ((i-st)//32)*32 end g from
  (select i, n, coalesce(max(case when n>4 then i+1 end) over (order by i rows unbounded preceding), 0) st from rn))"""
 SOLVE = """with recursive {f1}, {rhs}, y(i,k,v) as (select i, 0, b/8.0::double from rhs union all
  select o.{a}, y.k+1, -sum(o.v*y.v)/8.0::double from y join f1 o on o.{b}=y.i and o.i<>o.j group by o.{a}, y.k)
  select i, sum(v) x from y group by i"""
 FORWARD = SOLVE.format(f1=F1, rhs=RHS, a="i", b="j")
-GLEV = """ge as (select distinct a.g i, b.g j from f1 o join th a on a.i=o.i join th b on b.i=o.j where o.i<>o.j and b.g<a.g),
- gi as (select distinct a.g from f1 o join th a on a.i=o.i join th b on b.i=o.j where o.i<>o.j and b.g=a.g),
+# joined one by one: with both at once the plan may begin with a join of all pairs of groups
+ENDS = """em as materialized (select o.j, a.g dst from f1 o join th a on a.i=o.i where o.i<>o.j), en as materialized (select b.g src, dst from em join th b on b.i=em.j)"""
+GLEV = f"""{ENDS}, ge as materialized (select distinct dst i, src j from en where src<dst), gi as materialized (select distinct dst g from en where src=dst),
  q(i,k) as (select distinct g, 0 from th union select o.i, q.k+1 from q join ge o on o.j=q.i),
- gt as (select th.g, count(*) n_rows, cast(sum(n) as bigint) nnz, (select cast(max(k) as bigint) from q where q.i=th.g) as level,
+ gt as materialized (select th.g, count(*) n_rows, cast(sum(n) as bigint) nnz, (select cast(max(k) as bigint) from q where q.i=th.g) as level,
   cast((case when count(*)>=8 or exists(select 1 from gi where gi.g=th.g) then 1 else 0 end) + (case when sum(n)>256 then 2 else 0 end)
   + (case when exists(select 1 from gi where gi.g=th.g) then 0 else 256 end) as bigint) flags from th group by th.g)"""
 GROUPED = f"with recursive {F1}, {ROWS}, {THRESH}, {GLEV}"
 PACK = ", pk as (select g, level part, rn//4 pack, rn%4 lane, nnz from (select *, row_number() over (partition by level order by {order}) - 1 rn from gt))"
 ORD = """, od as (select part, pack, (row_number() over (order by part, pack)) - 1 ordinal, cast(sum(nnz) as bigint) "load" from pk group by part, pack)"""
 SIMPLE, BALANCED = PACK.format(order="g"), PACK.format(order="nnz desc, g")
-NODEP = """{with_}, pr as (select i, max(j) p from {entries} where j<i group by i), nx as (select a.i s, least(coalesce((select min(pr.i) from pr where pr.i>a.i and pr.i<a.i+{alpha} and pr.p>=a.i), a.i+{alpha}), a.i+{alpha}) nxt from rn a),
- st(s) as (select 0::bigint union all select nxt from st join nx using(s) where nxt <= (select max(i) from rn)), gs as (select s, lead(s) over (order by s) e from st)
- select rn.i, n, s g from rn join gs on rn.i>=s and (e is null or rn.i<e)"""
+
+
+def _starts(steps: int = 20) -> str:
+    """SQL of st(s): 0 and all that nx(s, nxt) reaches from it, by jumps over twice as many groups at each step."""
+    parts = ["r0 as materialized (select 0::bigint s)", "j0 as materialized (select s, nxt from nx where nxt <= (select max(i) from rn))"]
+    for k in range(steps):
+        parts.append(f"r{k + 1} as materialized (select s from r{k} union select j{k}.nxt from r{k} join j{k} using (s))")
+        parts.append(f"j{k + 1} as materialized (select a.s, b.nxt from j{k} a join j{k} b on b.s = a.nxt)")
+    return ", ".join(parts) + f", st as (select s from r{steps}), gs as (select i, n, max(s) over (order by i rows unbounded preceding) g from rn left join st on st.s = rn.i)"
+
+
+NODEP = """{with_}, pr as (select i, max(j) p from {entries} where j<i group by i), ct as (select s, min(i) stop from (select i, unnest(range(greatest(0, i-{alpha}+1), p+1)) s from pr where i-p<{alpha}) group by s),
+ nx as (select rn.i s, coalesce(ct.stop, rn.i+{alpha}) nxt from rn left join ct on ct.s = rn.i), {starts} select i, n, g from gs"""
 BLOCK_SQL = """with sz as (select (select count(*) from supplier) + (select count(*) from part) + (select count(*) from orders) + (select count(*) from customer) m), t as (select unnest(range(8)) k, m//8 n, m from sz)
  select cast(2*k as bigint) block, 'triangle' kind, k*n up, case when k=7 then m else n*(k+1) end down, k*n "left", case when k=7 then m else n*(k+1) end "right" from t
  union all select cast(2*k+1 as bigint), 'rectangle', n*(k+1), case when k+1+((k+1) & (-(k+1))) = 8 then m else n*(k+1+((k+1) & (-(k+1)))) end, n*(k+1-((k+1) & (-(k+1)))), n*(k+1) from t where k<7"""
@@ -231,6 +242,7 @@ QUERIES = {
     "run_labels": lambda s, d: tune.labels(fx.run_log(s, d)),
     "run_throughput": lambda s, d: tune.informed(fx.run_log(s, d), fx.matrix_info(s, d), 0).select("matrix", "plan", *features.throughput(F.col("nnz"), F.col("m"), F.col("time"))),
     "chosen_score": chosen_score,
+    "rows_round_trip": lambda s, d: market.rows_round_trip(_o(s, d), fx.order_sides(s, d).count()),
     "counter_levels": lambda s, d: counters.levels_by_counters(_o(s, d)),
     "counter_solve": lambda s, d: _rounded(counters.solve_by_counters(_o(s, d), fx.order_sides(s, d))),
     "fused_levels": lambda s, d: pieces.levels_fused(fx.nation_chain(s, d))[0],
@@ -267,7 +279,7 @@ ORACLES = {
     "sym_expand": f"with {F1} select i, j, v from f1 union all select j, i, v from f1 where i<>j",
     "dcsr_rows": f"with {SQ} select i, row_number() over (order by i) - 1 as row from (select distinct j i from sq)",
     "roots_anti_join": f"with {F1} select i from f1 group by i having count(*)=1",
-    "edges_distinct": f"with {F1}, {ROWS}, {THRESH} select distinct b.g src, a.g dst from f1 o join th a on a.i=o.i join th b on b.i=o.j where o.i<>o.j and b.g<a.g",
+    "edges_distinct": f"with {F1}, {ROWS}, {THRESH}, {ENDS} select distinct src, dst from en where src<dst",
     "level_sets": f"with recursive {F1}, {LEV} select i, level from lev",
     "level_stats": f"with recursive {F1}, {LEV} select count(*) n_levels, cast(sum(n) as bigint) n_rows, min(n) least, max(n) most, sum(n)/count(*) parallelism from (select count(*) n from lev group by level)",
     "level_nnz": f"with recursive {F1}, {LEV}, {ROWS} select level, count(*) n_rows, cast(sum(n) as bigint) nnz, max(n) max_row from lev join rn using(i) group by level",
@@ -307,10 +319,7 @@ ORACLES = {
     "order_solve": f"with recursive {OC}{CHAIN} select i, round(x, 9) x from sx",
     "order_thresh": f"""with {OC}, rn as (select i, count(*) n from oe group by i), th as (select i, n, case when n>2 then i else st + ((i-st)//32)*32 end g from
  (select i, n, coalesce(max(case when n>2 then i+1 end) over (order by i rows unbounded preceding), 0) st from rn)) select i, n, g from th""",
-    "group_nodep": NODEP.format(with_=f"with recursive {F1}, {ROWS}", entries="f1", alpha=8),
-    "group_pattern": f"""with recursive {F1}, {ROWS}, pt as (select a.i s, b.i, coalesce((select string_agg(j, ',' order by j) from f1 where f1.i=b.i and f1.j<a.i), '') p
- from rn a join rn b on b.i>=a.i and b.i<a.i+8), nx as (select s, least(min(case when pt.p<>o.p then pt.i end), s+8) nxt from pt join (select s z, p from pt where i=s) o on o.z=pt.s group by s),
- st(s) as (select 0::bigint union all select nxt from st join nx using(s) where nxt < (select m from sz)) select rn.i, n, (select max(s) from st where st.s<=rn.i) g from rn""",
+    "group_nodep": NODEP.format(with_=f"with {F1}, {ROWS}", entries="f1", alpha=8, starts=_starts()),
     "segment_sums": f"with {OC}, rn as (select i, count(*) n from oe group by i) select cast(seg as bigint) segment, cast(sum(n) as bigint) v from (select n, sum((i%37=5)::int) over (order by i rows unbounded preceding) seg from rn) group by seg",
     "market_round_trip": f"with {OC} select i, j, v from oe",
     "permute_vector": f"with recursive {F1}, {LEV}, {LORD} select place i, (i%5+1)::double x from o",
@@ -329,12 +338,13 @@ ORACLES = {
  kb as (select r, f1.i, sum(f1.v*kx.x) b from f1 join kx on kx.i = f1.j group by 1, 2), y(r, i, k, v) as (select r, i, 0, b/8.0::double from kb union all
  select y.r, o.i, y.k+1, -sum(o.v*y.v)/8.0::double from y join f1 o on o.j=y.i and o.i<>o.j group by y.r, o.i, y.k), xs as (select r, i, sum(v) x from y group by r, i)
  select r, max(abs(kx.x-xs.x)) max_error, sum(abs(kx.x-xs.x))/sum(abs(kx.x)) rel_l1 from kx join xs using (r, i) group by r""",
+    "rows_round_trip": f"with {OC} select i, j, v from oe",
     "counter_levels": f"with {OC}, {OLEV} select i, level from ol",
     "counter_solve": f"with recursive {OC}{CHAIN} select i, round(x, 9) x from sx",
     "fused_levels": f"with {NC} select i, rn - 1 as level from nc",
     "fused_solve": NATION_SOLVE,
     **dict.fromkeys(("solve_plan_block", "solve_plan_thresh", "solve_plan_nodep", "solve_plan_parts", "solve_blocks_by_method"), FORWARD),
-    "order_nodep": NODEP.format(with_=f"with recursive {OC}, rn as (select i, count(*) n from oe group by i)", entries="oe", alpha=8),
+    "order_nodep": NODEP.format(with_=f"with {OC}, rn as (select i, count(*) n from oe group by i)", entries="oe", alpha=8, starts=_starts()),
     "order_reverse_level": f"with {OC}, {OLEV} select round(sum(c/(i+1.0::double))/count(*),9) reverse_level from (select a.i, (select count(*) from ol b where b.i<a.i and b.level>a.level) c from ol a)",
     "solve_recblock_backward": SOLVE.format(f1=F1, rhs=RHS, a="j", b="i"),
     "solve_reordered": FORWARD,

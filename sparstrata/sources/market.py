@@ -7,7 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparstrata.functions.storage import fresh_path
+from sparstrata.functions.scan import prefix
+from sparstrata.functions.storage import fresh_path, written
 from sparstrata.operators.matrix import expand_symmetric, row_pointers
 
 
@@ -82,35 +83,65 @@ def write_market(a: DataFrame, path: str, m: int, n: int) -> None:
 def write_rows(a: DataFrame, path: str, m: int) -> None:
     """Compressed-row text in four folders, whose files in order of their names are one file of the format.
 
-    Sizes, row pointers without the last, columns, and values in full precision;
-    the diagonal is last in its row. Each folder is sorted as a whole.
+    Sizes, row pointers without the last, columns, and values in full precision,
+    apart by blanks; the diagonal is last in its row. Each folder is sorted as a whole.
     """
     spark = a.sparkSession
-    spark.range(1).select(F.lit(f"{m} {a.count()}").alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/0-sizes")
-    pointers = row_pointers(a, m).repartitionByRange("i").sortWithinPartitions("i")
-    pointers.select(F.col("ptr").cast("string").alias("value")).write.mode("overwrite").text(f"{path}/1-pointers")
+    put = lambda rows, name: rows.write.mode("overwrite").option("lineSep", " ").text(f"{path}/{name}")
+    put(spark.range(1).select(F.lit(f"{m} {a.count()}").alias("value")).coalesce(1), "0-sizes")
+    put(row_pointers(a, m).repartitionByRange("i").sortWithinPartitions("i").select(F.col("ptr").cast("string").alias("value")), "1-pointers")
     order = [F.col("i"), F.expr("i = j"), F.col("j")]
     # both files come from one sorted table, so that they agree in order
-    entries = a.repartitionByRange(*order).sortWithinPartitions(*order)
-    entries.select(F.col("j").cast("string").alias("value")).write.mode("overwrite").text(f"{path}/2-columns")
-    entries.select(F.format_string("%.17g", "v").alias("value")).write.mode("overwrite").text(f"{path}/3-values")
+    entries = written(a.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "row-text")
+    sorted_again = entries.repartitionByRange("at").sortWithinPartitions("at")
+    put(sorted_again.select(F.col("j").cast("string").alias("value")), "2-columns")
+    put(sorted_again.select(F.format_string("%.17g", "v").alias("value")), "3-values")
 
 
-def read_rows(spark: SparkSession, path: str) -> DataFrame:
+def _numbered_tokens(spark: SparkSession, path: str, separator: str) -> DataFrame:
+    """(place, token) of the words of a file, or of all files below a folder in order of their names.
+
+    Records are numbered inside their splits and splits by the sums of those
+    before; a record's words are numbered by a prefix scan. The driver sees
+    a row for each split.
+    """
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at")]
+    read = spark.read.option("lineSep", separator).option("recursiveFileLookup", True).text(path)
+    records = written(read.select("value", *place), "tokens")
+    splits = records.groupBy("file", "part").agg(F.count("*").alias("n"), F.min("at").alias("first")).collect()
+    bases, before = [], 0
+    for file, part, n, first in sorted(map(tuple, splits)):
+        bases.append((file, part, before - first))
+        before += n
+    shift = F.broadcast(spark.createDataFrame(bases, "file string, part long, shift long"))
+    words = F.filter(F.split("value", "\\s+"), lambda x: x != "")
+    numbered = records.join(shift, ["file", "part"]).select((F.col("at") + F.col("shift")).alias("record"), words.alias("words"))
+    placed = prefix(numbered.withColumn("n", F.size("words").cast("long")), "record", "n", "start")
+    return placed.select("start", F.posexplode("words").alias("k", "token")).select((F.col("start") + F.col("k")).alias("place"), "token")
+
+
+def read_rows(spark: SparkSession, path: str, separator: str = " ") -> DataFrame:
     """(i, j, v) of compressed-row text: sizes, row pointers, columns, values.
 
-    One file is one row of text, which bounds it by 2 GB; larger matrices are
-    kept as entries.
+    Reads a file of the format or the folder that ``write_rows`` makes. Words end at
+    the separator or at any other white space; a file is split at separators
+    alone, so one whose words stand in lines of their own is read with a line feed.
+    Fewer or more words than the sizes announce raise an error.
     """
-    parts = spark.read.text(path, wholetext=True).select(F.split(F.trim("value"), "\\s+").alias("t"))
-    sized = parts.select("t", F.col("t")[0].cast("int").alias("m"), F.col("t")[1].cast("int").alias("nnz"))
-    pointers = sized.select("m", "nnz", F.posexplode(F.slice("t", F.lit(3), F.col("m"))).alias("i", "p"))
-    starts = pointers.select("m", "nnz", F.col("i").cast("long").alias("i"), F.col("p").cast("long").alias("start"))
-    stops = starts.select((F.col("i") - 1).alias("i"), F.col("start").alias("stop"))
-    ends = starts.join(stops, "i", "left").select("i", "start", F.coalesce("stop", F.col("nnz").cast("long")).alias("stop"))
-    entries = sized.select(F.posexplode(F.arrays_zip(F.slice("t", F.col("m") + 3, F.col("nnz")).alias("j"), F.slice("t", F.col("m") + F.col("nnz") + 3, F.col("nnz")).alias("v"))).alias("k", "e"))
-    rows = ends.where("stop > start").select("i", F.explode(F.sequence("start", F.col("stop") - 1)).alias("k"))
-    return rows.join(entries, "k").select("i", F.col("e.j").cast("long").alias("j"), F.col("e.v").cast("double").alias("v"))
+    tokens = written(_numbered_tokens(spark, path, separator), "places")
+    sizes = {r["place"]: int(r["token"]) for r in tokens.where("place < 2").collect()}
+    if len(sizes) < 2:
+        raise ValueError("no sizes")
+    m, nnz = sizes[0], sizes[1]
+    if (n := tokens.count()) != 2 + m + 2 * nnz:
+        raise ValueError(f"{n} words where {2 + m + 2 * nnz} were announced")
+    section = lambda first, size, name, kind: tokens.where(F.col("place").between(first, first + size - 1)).select((F.col("place") - first).alias("k"), F.col("token").cast(kind).alias(name))
+    starts = section(2, m, "start", "long").withColumnRenamed("k", "i")
+    following = starts.select((F.col("i") - 1).alias("i"), F.col("start").alias("stop"))
+    filled = starts.join(following, "i", "left").where(F.coalesce("stop", F.lit(nnz)) > F.col("start")).select(F.col("start").alias("k"), "i")
+    entries = section(2 + m, nnz, "j", "long").join(section(2 + m + nnz, nnz, "v", "double"), "k").join(filled, "k", "left")
+    # a row begins where its pointer points, and goes on to the next that is not empty
+    return prefix(entries, "k", "i", "before", "max").select(F.coalesce("i", "before").alias("i"), "j", "v")
 
 
 def append_table(rows: DataFrame, path: str) -> None:
@@ -128,3 +159,10 @@ def market_round_trip(a: DataFrame, m: int) -> DataFrame:
     path = fresh_path(a.sparkSession, "market")
     write_market(a, path, m, m)
     return read_market(a.sparkSession, path)
+
+
+def rows_round_trip(a: DataFrame, m: int) -> DataFrame:
+    """A matrix written to the shared folder as compressed-row text and read back."""
+    path = fresh_path(a.sparkSession, "rows")
+    write_rows(a, path, m)
+    return read_rows(a.sparkSession, path)
