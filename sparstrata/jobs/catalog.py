@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparstrata.operators import analysis, blocks, counters, features, groups, levels, matrix, pieces, schedule, solve, tune
+from sparstrata.functions.storage import fresh_path
+from sparstrata.operators import analysis, blocks, counters, features, groups, levels, matrix, pieces, schedule, search, solve, tune
 from sparstrata.sources import fixtures as fx
 from sparstrata.sources import market
 
@@ -252,6 +253,7 @@ QUERIES = {
     "solve_plan_nodep": lambda s, d: _planned(s, d, "ROW_BLOCK_NODEP", 64),
     "solve_plan_parts": lambda s, d: _planned(s, d, "ROW_BLOCK_AVG", 8, by_level=False),
     "solve_blocks_by_method": lambda s, d: blocks.solve_blocks_by_method(_l(s, d), fx.right_side(s, d), fx.size(s, d), 2),
+    "plan_search": plan_search,
     "order_reverse_level": lambda s, d: features.reverse_level(levels.level_sets(_o(s, d))).select(F.round("reverse_level", 9).alias("reverse_level")),
 }
 
@@ -265,6 +267,13 @@ def _planned(spark, d, strategy, alpha, by_level=True):
     return analysis.solve_planned(_l(spark, d), fx.right_side(spark, d), analysis.Plan(strategy, alpha, by_level))[0]
 
 
+def plan_search(spark, d):
+    """The log of a search among plans of neighbouring rows: turns of each, and whether its answer is right."""
+    plans = [search.Plan("ROW_BLOCK", alpha, by_level) for alpha, by_level in ((64, True), (1024, True), (64, False))]
+    log = search.search(_l(spark, d), fx.right_side(spark, d), "tiers", plans, fresh_path(spark, "search"))
+    return log.select("matrix", "strategy", "alpha", "by_level", "turns", (F.col("max_error") <= search.TOLERANCE).alias("right"))
+
+
 def _order_pointers(spark, d):
     return matrix.row_pointers(_o(spark, d), fx.order_sides(spark, d).count())
 
@@ -344,6 +353,9 @@ ORACLES = {
     "fused_levels": f"with {NC} select i, rn - 1 as level from nc",
     "fused_solve": NATION_SOLVE,
     **dict.fromkeys(("solve_plan_block", "solve_plan_thresh", "solve_plan_nodep", "solve_plan_parts", "solve_blocks_by_method"), FORWARD),
+    "plan_search": f"""with recursive {F1}, pl as (select * from (values (64, true, 64), (1024, true, 1024), (64, false, 4096)) t(alpha, by_level, width)),
+ qe as materialized (select distinct width, i//width g, j//width h from f1, pl where i<>j), qu(width, g, k) as (select distinct width, i//width, 0 from f1, pl union select u.width, e.g, u.k+1 from qu u join qe e on e.width=u.width and e.h=u.g and e.g<>e.h)
+ select 'tiers' matrix, 'ROW_BLOCK' strategy, alpha, by_level, cast((select max(k)+1 from qu where qu.width=pl.width) as bigint) turns, true as "right" from pl""",
     "order_nodep": NODEP.format(with_=f"with {OC}, rn as (select i, count(*) n from oe group by i)", entries="oe", alpha=8, starts=_starts()),
     "order_reverse_level": f"with {OC}, {OLEV} select round(sum(c/(i+1.0::double))/count(*),9) reverse_level from (select a.i, (select count(*) from ol b where b.i<a.i and b.level>a.level) c from ol a)",
     "solve_recblock_backward": SOLVE.format(f1=F1, rhs=RHS, a="j", b="i"),

@@ -38,10 +38,12 @@ def _header(lines: DataFrame) -> tuple[Header, tuple[str, int]]:
     if banner is None:
         raise ValueError("no banner")
     words = banner["value"].lower().split()
-    if len(words) != 5 or words[1] != "matrix" or words[2] != "coordinate" or words[3] not in ("real", "integer", "pattern", "complex") or words[4] not in ("general", "symmetric", "hermitian"):
+    if len(words) != 5 or words[1] != "matrix" or words[2] != "coordinate" or words[3] not in ("real", "integer", "pattern", "complex") or words[4] not in ("general", "symmetric", "skew-symmetric", "hermitian"):
         raise ValueError(f"not supported: {banner['value']}")
     if words[4] == "hermitian" and words[3] in ("real", "pattern"):
         raise ValueError(f"not a valid kind: {banner['value']}")
+    if words[4] == "skew-symmetric" and words[3] == "pattern":
+        raise ValueError(f"not a valid kind: {banner['value']}")
     own = lines.where((F.col("file") == banner["file"]) & (F.col("part") == banner["part"]))
     sizes = own.where(~F.col("value").startswith("%") & (F.trim("value") != "")).orderBy("line").first()
     numbers = [] if sizes is None else sizes["value"].split()
@@ -51,7 +53,7 @@ def _header(lines: DataFrame) -> tuple[Header, tuple[str, int]]:
 
 
 def read_market(spark: SparkSession, path: str, real_part: bool = False) -> DataFrame:
-    """(i, j, v), 0-based, of a coordinate file or a folder of its pieces; symmetric ones are expanded, pattern entries are 1.
+    """(i, j, v), 0-based, of a coordinate file or a folder of its pieces; symmetric and skew-symmetric ones are expanded, pattern entries are 1.
 
     The number of entries and the range of their indices are checked against the
     sizes. Complex values are refused, or with ``real_part`` lose the other part.
@@ -69,6 +71,9 @@ def read_market(spark: SparkSession, path: str, real_part: bool = False) -> Data
     count, sound = entries.agg(F.count("*"), F.coalesce(F.sum(F.coalesce(fine, F.lit(False)).cast("long")), F.lit(0))).first()
     if count != header.nnz or sound != count:
         raise ValueError(f"{count} entries of which {count - sound} are not in range, where {header.nnz} were announced")
+    if header.symmetry == "skew-symmetric":
+        # the diagonal is zero and not stored
+        return entries.unionByName(entries.select(F.col("j").alias("i"), F.col("i").alias("j"), (-F.col("v")).alias("v")))
     return entries if header.symmetry == "general" else expand_symmetric(entries)
 
 
@@ -154,6 +159,15 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(path)
 
 
+#: Logs of plans hold their values in this order, whatever order their header names.
+PLAN_LOG = "matrix string, tbs int, sws int, rp int, alpha int, lp int, ls int, ws int, rg int, time double"
+
+
+def read_plan_log(spark: SparkSession, path: str) -> DataFrame:
+    """A log of plans as CSV, by the order of its values; its header line, which may name another order, is skipped."""
+    return spark.read.option("header", True).option("enforceSchema", True).schema(PLAN_LOG).csv(path)
+
+
 def market_round_trip(a: DataFrame, m: int) -> DataFrame:
     """A matrix written to the shared folder as coordinate text and read back."""
     path = fresh_path(a.sparkSession, "market")

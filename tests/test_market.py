@@ -66,3 +66,34 @@ def test_tables(spark, tmp_path):
         market.append_table(rows, f"file://{tmp_path}/log")
     found = market.read_table(spark, f"file://{tmp_path}/log", "matrix string, m long, time double")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, [*rows.collect(), *rows.collect()]))
+
+
+def test_skew_symmetric(spark, tmp_path):
+    (tmp_path / "k.mtx").write_text("%%MatrixMarket matrix coordinate real skew-symmetric\n3 3 2\n2 1 4.5\n3 2 -1\n")
+    assert as_set(read_market(spark, f"file://{tmp_path}/k.mtx")) == {(1, 0, 4.5), (0, 1, -4.5), (2, 1, -1.0), (1, 2, 1.0)}
+
+
+def test_plan_log_goes_by_the_order_of_values(spark, tmp_path):
+    (tmp_path / "log.csv").write_text("matrix,tbs,sws,rp,alpha,lp,rg,ws,ls,time\nm,64,1,0,4,0,1,2,0,3.5\n")
+    row = market.read_plan_log(spark, f"file://{tmp_path}/log.csv").first()
+    assert (row.matrix, row.ls, row.ws, row.rg, row.time) == ("m", 1, 2, 0, 3.5)
+
+
+def test_row_text_from_many_splits(spark, tmp_path):
+    entries = {(i, j, 1 / (i + j + 1)) for i in range(0, 400, 3) for j in (i, i // 2)}
+    write_rows(spark.createDataFrame(sorted(entries), "i long, j long, v double").repartition(3), f"file://{tmp_path}/r", 400)
+    text = "".join(p.read_text() for p in sorted((tmp_path / "r").glob("*/part-*")))
+    (tmp_path / "whole.csr").write_text(text)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in before:
+        spark.conf.set(k, "300b")
+    try:
+        assert as_set(read_rows(spark, f"file://{tmp_path}/r")) == entries == as_set(read_rows(spark, f"file://{tmp_path}/whole.csr"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    (tmp_path / "lines.csr").write_text("\n".join(text.split()))
+    assert as_set(read_rows(spark, f"file://{tmp_path}/lines.csr", "\n")) == entries
+    (tmp_path / "short.csr").write_text(" ".join(text.split()[:-1]))
+    with pytest.raises(ValueError, match="words"):
+        read_rows(spark, f"file://{tmp_path}/short.csr")
