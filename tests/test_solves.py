@@ -39,17 +39,17 @@ def near(found, wanted):
 @pytest.mark.parametrize("job", ["counters", "blocks", "pieces", "plan"])
 def test_solves_and_levels(spark, job, monkeypatch):
     monkeypatch.setattr(counters, "BATCH", 40)
-    rows, b, a, sides = system(spark, 80, 3, 5, back=14)
+    rows, b, a, sides = system(spark, 48, 3, 5, back=14)
     wanted, level = substituted(rows, b)
     by_block = groups.by_block(matrix.row_counts(a), 16)
     if job == "counters":
         x, found = counters.solve_by_counters(a, sides), counters.levels_by_counters(a)
     elif job == "blocks":
         (x, turns), (found, _) = counters.solve_by_groups(a, sides, by_block), counters.levels_by_groups(a, by_block)
-        assert turns == 5
+        assert turns == 3
     elif job == "pieces":
         (x, turns), (found, _) = pieces.solve_fused(a, sides, 30), pieces.levels_fused(a, 30)
-        assert turns <= 3 < max(level.values())
+        assert turns <= 2 < max(level.values())
     else:
         (x, _), found = analysis.solve_planned(a, sides, analysis.Plan("ROW_BLOCK_NODEP", 8, reorder=True)), levels.level_sets(a)
     assert near({r.i: r.x for r in x.collect()}, wanted)
@@ -58,7 +58,7 @@ def test_solves_and_levels(spark, job, monkeypatch):
 
 def test_turns_write_no_more_than_rows_and_entries(spark, monkeypatch):
     """A matrix with many paths: a row is reached by each path, but leaves once."""
-    m, width = 16, 6
+    m, width = 10, 4
     entries = [(i, i, 2.0) for i in range(m)] + [(i, j, 0.125) for i in range(m) for j in range(max(0, i - width), i)]
     a = spark.createDataFrame(entries, "i long, j long, v double")
     written = []
@@ -95,13 +95,13 @@ def test_hundreds_of_levels_in_few_turns(spark):
 
 
 def test_plans_differ_in_turns(spark):
-    rows, b, a, sides = system(spark, 150, 2, 11, back=20)
+    rows, b, a, sides = system(spark, 36, 2, 11, back=20)
     wanted, _ = substituted(rows, b)
     turns = {}
-    for plan in (analysis.Plan("ROW_BLOCK", 4), analysis.Plan("ROW_BLOCK", 50), analysis.Plan("ROW_BLOCK_NODEP", 8), analysis.Plan("ROW_BLOCK", 4, by_level=False)):
+    for plan in (analysis.Plan("ROW_BLOCK", 9), analysis.Plan("ROW_BLOCK", 20), analysis.Plan("ROW_BLOCK_NODEP", 8), analysis.Plan("ROW_BLOCK", 9, by_level=False)):
         x, turns[plan] = analysis.solve_planned(a, sides, plan)
         assert near({r.i: r.x for r in x.collect()}, wanted)
-    assert len(set(turns.values())) >= 3 and turns[analysis.Plan("ROW_BLOCK", 4, by_level=False)] == 1
+    assert len(set(turns.values())) >= 3 and turns[analysis.Plan("ROW_BLOCK", 9, by_level=False)] == 1
 
 
 def test_cycles_and_pivots(spark):
@@ -118,8 +118,8 @@ def test_cycles_and_pivots(spark):
 
 
 def test_block_store_reads_each_entry_once(spark, monkeypatch):
-    rows, b, a, sides = system(spark, 128, 3, 3)
-    store = blocks.store_blocks(a, 128, 2)
+    rows, b, a, sides = system(spark, 32, 3, 3)
+    store = blocks.store_blocks(a, 32, 2)
     taken = []
     read = blocks.BlockStore.entries
     monkeypatch.setattr(blocks.BlockStore, "entries", lambda self, block: taken.append(block) or read(self, block))
@@ -164,8 +164,8 @@ def test_pattern_groups_against_a_loop(spark):
 
 
 def test_search_is_taken_up_where_it_stopped(spark, monkeypatch, tmp_path):
-    rows, b, a, sides = system(spark, 60, 2, 6, back=12)
-    plans = [search.Plan("ROW_BLOCK", 4), search.Plan("ROW_BLOCK", 30), search.Plan("ROW_BLOCK_NODEP", 8)]
+    rows, b, a, sides = system(spark, 32, 2, 6, back=12)
+    plans = [search.Plan("ROW_BLOCK", 8), search.Plan("ROW_BLOCK", 16), search.Plan("ROW_BLOCK_NODEP", 8)]
     path, solved = f"file://{tmp_path}/log", []
     run = search.solve_planned
 
