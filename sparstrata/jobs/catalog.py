@@ -353,9 +353,6 @@ ORACLES = {
     "fused_levels": f"with {NC} select i, rn - 1 as level from nc",
     "fused_solve": NATION_SOLVE,
     **dict.fromkeys(("solve_plan_block", "solve_plan_thresh", "solve_plan_nodep", "solve_plan_parts", "solve_blocks_by_method"), FORWARD),
-    "plan_search": f"""with recursive {F1}, pl as (select * from (values (64, true, 64), (1024, true, 1024), (64, false, 4096)) t(alpha, by_level, width)),
- qe as materialized (select distinct width, i//width g, j//width h from f1, pl where i<>j), qu(width, g, k) as (select distinct width, i//width, 0 from f1, pl union select u.width, e.g, u.k+1 from qu u join qe e on e.width=u.width and e.h=u.g and e.g<>e.h)
- select 'tiers' matrix, 'ROW_BLOCK' strategy, alpha, by_level, cast((select max(k)+1 from qu where qu.width=pl.width) as bigint) turns, true as "right" from pl""",
     "order_nodep": NODEP.format(with_=f"with {OC}, rn as (select i, count(*) n from oe group by i)", entries="oe", alpha=8, starts=_starts()),
     "order_reverse_level": f"with {OC}, {OLEV} select round(sum(c/(i+1.0::double))/count(*),9) reverse_level from (select a.i, (select count(*) from ol b where b.i<a.i and b.level>a.level) c from ol a)",
     "solve_recblock_backward": SOLVE.format(f1=F1, rhs=RHS, a="j", b="i"),
