@@ -10,6 +10,8 @@ from . import bitplane_clusters, collocations, edit_counts, exact_dedup, line_de
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+#: Words of a repeated span at least: half of a passage of 50 words, which may begin and end inside a sentence.
+SPAN_WORDS = 25
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +65,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the sentence spans that an earlier one has."""
-    return sentence_spans.remove_repeated_spans(_table(spark, sf_dir, "documents"))
+    return sentence_spans.remove_repeated_spans(_table(spark, sf_dir, "documents"), least=SPAN_WORDS)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
