@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sparstrata.functions.storage import fresh_path
 from sparstrata.operators import analysis, blocks, counters, features, groups, levels, matrix, pieces, schedule, search, solve, tune
 from sparstrata.sources import fixtures as fx
-from sparstrata.sources import market
+from sparstrata.sources import market, market_source
 
 SZ = """sz as (select ns, ns+np_ po, ns+np_+no oc_, ns+np_+no+nc m from (select (select count(*) from supplier) ns, (select count(*) from part) np_, (select count(*) from orders) no, (select count(*) from customer) nc)),
  al as (select unnest(range(m)) r from sz)"""
@@ -161,6 +161,14 @@ def plan_search(spark, d):
     return log.select("matrix", "strategy", "alpha", "by_level", "turns", (F.col("max_error") <= search.TOLERANCE).alias("right"))
 
 
+def source_round_trip(spark, d):
+    """A matrix written and read back through the data source."""
+    market_source.register(spark)
+    m, path = fx.order_sides(spark, d).count(), fresh_path(spark, "matrix")
+    _o(spark, d).write.format("matrix_market").options(m=m, n=m).mode("append").save(path)
+    return spark.read.format("matrix_market").load(path)
+
+
 def _blocks(spark, d, depth=3):
     return spark.createDataFrame(solve.block_bounds(fx.size(spark, d), depth), "block long, kind string, up long, down long, left long, right long")
 
@@ -250,6 +258,7 @@ QUERIES = {
     "run_labels": lambda s, d: tune.labels(fx.run_log(s, d)),
     "run_throughput": lambda s, d: tune.informed(fx.run_log(s, d), fx.matrix_info(s, d), 0).select("matrix", "plan", *features.throughput(F.col("nnz"), F.col("m"), F.col("time"))),
     "chosen_score": chosen_score,
+    "source_round_trip": source_round_trip,
     "rows_round_trip": lambda s, d: market.rows_round_trip(_o(s, d), fx.order_sides(s, d).count()),
     "counter_levels": lambda s, d: counters.levels_by_counters(_o(s, d)),
     "counter_solve": lambda s, d: _rounded(counters.solve_by_counters(_o(s, d), fx.order_sides(s, d))),
@@ -347,6 +356,7 @@ ORACLES = {
  kb as (select r, f1.i, sum(f1.v*kx.x) b from f1 join kx on kx.i = f1.j group by 1, 2), y(r, i, k, v) as (select r, i, 0, b/8.0::double from kb union all
  select y.r, o.i, y.k+1, -sum(o.v*y.v)/8.0::double from y join f1 o on o.j=y.i and o.i<>o.j group by y.r, o.i, y.k), xs as (select r, i, sum(v) x from y group by r, i)
  select r, max(abs(kx.x-xs.x)) max_error, sum(abs(kx.x-xs.x))/sum(abs(kx.x)) rel_l1 from kx join xs using (r, i) group by r""",
+    "source_round_trip": f"with {OC} select i, j, v from oe",
     "rows_round_trip": f"with {OC} select i, j, v from oe",
     "counter_levels": f"with {OC}, {OLEV} select i, level from ol",
     "counter_solve": f"with recursive {OC}{CHAIN} select i, round(x, 9) x from sx",
