@@ -45,6 +45,11 @@ class Turns:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*[f"{self.root}/turn={k}" for k in range(self.n)])
 
+    def drop(self) -> None:
+        """Delete all turns; nothing still to run reads them."""
+        if self.n:
+            forget(self.all())
+
 
 def _span(table: DataFrame, key: str) -> tuple[int, int] | None:
     """Least and largest key, None for an empty table."""
@@ -74,6 +79,7 @@ def levels_by_counters(a: DataFrame) -> DataFrame:
     if found.count() < rows.count():
         raise ValueError("dependencies form a cycle")
     forget(deps, waits)
+    pushes.drop()
     return found
 
 
@@ -95,6 +101,7 @@ def solve_by_counters(a: DataFrame, b: DataFrame) -> DataFrame:
     if found.count() < rows.count():
         raise ValueError("dependencies form a cycle")
     forget(rows, entries, waits)
+    pushes.drop()
     return found
 
 
@@ -219,6 +226,8 @@ def _by_groups(a: DataFrame, groups: DataFrame, sides: DataFrame, n_sides: int,
     if values.count() < n_sides * a.select("i").distinct().count():
         raise ValueError("groups depend on each other in a cycle")
     forget(inner, outer, waits)
+    pushes.drop()
+    ready.drop()
     return values.select("i", "j", "v"), found.n
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparstrata.functions.components import components
 from sparstrata.functions.scan import prefix
-from sparstrata.functions.storage import written
+from sparstrata.functions.storage import forget, written
 from sparstrata.operators.counters import levels_by_groups, solve_by_groups
 from sparstrata.operators.levels import triangular
 
@@ -29,6 +29,7 @@ def pieces(a: DataFrame, most: int = MOST) -> DataFrame:
     rows = written(a.select("i").distinct().join(roots, "i", "left").select("i", F.coalesce("root", "i").alias("root"), F.lit(1).cast("long").alias("one")), "roots")
     ranked = prefix(rows, "i", "one", "rank", by=("root",)).select("i", "root", F.expr(f"rank div {most}").alias("cut"))
     ranked = written(ranked, "ranked")
+    forget(rows)
     first = ranked.groupBy("root", "cut").agg(F.min("i").alias("g"))
     return ranked.join(first, ["root", "cut"]).select("i", "g")
 
