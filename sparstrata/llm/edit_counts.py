@@ -13,16 +13,19 @@ kept between batches and no batch cuts or encodes a whole text again.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import carried, restored, text_of
-from .tokenization import encoder, text_slices
+from .common import forget, fresh_path, saved, text_of
+from .tokenization import encoder
 
 #: Pre-tokens of a fresh leaf, and how many a leaf may hold before the next batch finds the leaves dealt anew.
 BLOCK, LARGEST = 32, 256
@@ -217,45 +220,61 @@ class TokenTree:
 
 EDITS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("removed", T.LongType()), T.StructField("inserted", T.StringType())]))
 PARTS = ("pairs", "sizes", "chars", "sums")
-TREE = "text string, " + ", ".join(f"{c} binary" for c in PARTS)
+TREE = T.StructType([T.StructField("text", T.StringType()), *(T.StructField(c, T.BinaryType()) for c in PARTS)])
+TREE_ARROW = pa.struct([("text", pa.string()), *((c, pa.binary()) for c in PARTS)])
 COUNTS = ("n_edits", "n_before", "n_after", "n_pretokens", "n_reencoded")
+#: Bytes of text whose trees a task holds as Python objects at once; a longer text is taken alone.
+SLICE = 4_000_000
 
 
-def tree_of(text: Column, tokenizer: str) -> Column:
-    """The tree of a text that is not null, a struct of the fields of ``TREE``."""
+def slices(batch: pa.RecordBatch, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, each of about ``SLICE`` bytes of text."""
+    turn = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // SLICE
+    cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(texts)]
+    for lo, hi in pairwise(cuts):
+        if lo < hi:
+            yield batch.slice(lo, hi - lo)
 
-    def grow(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = counter(tokenizer)
-        for texts in batches:
-            for lo, hi in text_slices(texts.tolist()):
-                yield pd.DataFrame([(t, *TokenTree(own, t).stored()) for t in texts.iloc[lo:hi]], columns=["text", *PARTS])
 
-    return F.pandas_udf(grow, TREE)(text)
+def trees_of(rows: list[tuple]) -> pa.Array:
+    """Rows (text, *PARTS) as an array of trees."""
+    return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), TREE_ARROW, strict=True)], fields=list(TREE_ARROW))
+
 
+def grow_trees(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (id, *keep, tree), one per document, to be written and kept.
 
-def edited(tree: Column, edits: Column, tokenizer: str) -> Column:
-    """The tree after the edits, and the fields of ``COUNTS``."""
+    Null text is empty, a text of any length is one tree, which its task holds
+    whole; repeated rows give a row each, columns outside ``keep`` are ignored,
+    an empty table gives no rows. Narrow: no shuffle.
+    """
+    named = docs.select(F.struct(id_col, *keep).alias("row"), text_of(text_col).alias("text"))
 
-    def run(batches: Iterator[tuple[pd.DataFrame, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(tokenizer)
-        for trees, edits in batches:
-            for lo, hi in text_slices(trees["text"].tolist()):
-                rows = []
-                for (text, *stored), changes in zip(trees.iloc[lo:hi].itertuples(index=False), edits.iloc[lo:hi], strict=True):
-                    tree = TokenTree(own, text, stored)
-                    rows.append((*tree.counts_after(changes), tree.text, *tree.stored()))
-                yield pd.DataFrame(rows, columns=[*COUNTS, "text", *PARTS])
+        for batch in batches:
+            for part in slices(batch, batch["text"]):
+                trees = trees_of([(t, *TokenTree(own, t).stored()) for t in part["text"].to_pylist()])
+                yield pa.RecordBatch.from_arrays([part["row"], trees], names=["row", "tree"])
 
-    return F.pandas_udf(run, ", ".join(f"{c} long" for c in COUNTS) + ", " + TREE)(tree, F.coalesce(edits.cast(EDITS), F.array().cast(EDITS)))
+    return named.mapInArrow(grow, T.StructType([named.schema["row"], T.StructField("tree", TREE)])).select("row.*", "tree")
 
 
-def grow_trees(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, tree), one per document, to be written and kept.
+def _after_edits(trees: DataFrame, tokenizer: str, id_col: str, edits_col: str, kind: T.DataType, result: Callable[[list[TokenTree]], pa.Array]) -> DataFrame:
+    """Rows (id, *COUNTS, found) of kept trees after their edits, ``found`` what ``result`` makes of the trees of a slice."""
+    named = trees.select(F.struct(id_col).alias("row"), F.coalesce(F.col(edits_col).cast(EDITS), F.array().cast(EDITS)).alias("edits"), F.col("tree").alias("tree"))
 
-    Null text is empty, repeated rows give a row each, other columns are ignored,
-    an empty table gives no rows. Narrow: no shuffle.
-    """
-    return docs.select(id_col, text_of(text_col).alias("text")).select(id_col, tree_of(F.col("text"), tokenizer).alias("tree"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = counter(tokenizer)
+        for batch in batches:
+            for part in slices(batch, pc.struct_field(batch["tree"], "text")):
+                stored = zip(*(pc.struct_field(part["tree"], c).to_pylist() for c in ("text", *PARTS)), strict=True)
+                kept = [TokenTree(own, text, parts) for text, *parts in stored]
+                counts = [tree.counts_after(edits) for tree, edits in zip(kept, part["edits"].to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part["row"], *(pa.array(c, pa.int64()) for c in zip(*counts, strict=True)), result(kept)], names=["row", *COUNTS, "found"])
+
+    schema = T.StructType([named.schema["row"], *(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("found", kind)])
+    return named.mapInArrow(run, schema).select("row.*", *COUNTS, "found")
 
 
 def edit_trees(trees: DataFrame, tokenizer: str, id_col: str = "doc_id", edits_col: str = "edits") -> DataFrame:
@@ -267,33 +286,22 @@ def edit_trees(trees: DataFrame, tokenizer: str, id_col: str = "doc_id", edits_c
     Repeated rows give a row each, other columns are ignored, an empty table
     gives no rows. Narrow: no shuffle; the caller joins edits to trees by id.
     """
-    found = trees.select(id_col, edited(F.col("tree"), F.col(edits_col), tokenizer).alias("found"))
-    return found.select(id_col, *[f"found.{c}" for c in COUNTS], F.struct(*[f"found.{c}" for c in ("text", *PARTS)]).alias("tree"))
+    return _after_edits(trees, tokenizer, id_col, edits_col, TREE, lambda kept: trees_of([(t.text, *t.stored()) for t in kept])).withColumnRenamed("found", "tree")
 
 
 def edited_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
     """Rows (id, n_edits, n_before, n_after, n_pretokens, n_reencoded, edited_sha256), one per document.
 
-    Trees are grown and edited in one pass and not kept, so only one of them is in
-    memory; nulls, repeats and empty tables as in ``grow_trees`` and ``edit_trees``.
+    Trees are grown, written as a table, and edited from there in a second
+    job, which encodes only what the edits touch; the table is deleted once the
+    counts are written. Nulls, repeats, long texts and empty tables as in
+    ``grow_trees`` and ``edit_trees``.
     """
-    import hashlib
-
-    schema = T.StructType([T.StructField("id", T.StringType()), *(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("edited_sha256", T.StringType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = counter(tokenizer)
-        for pdf in batches:
-            keys, texts, edits = pdf["id"], pdf["text"].tolist(), pdf["edits"].tolist()
-            for lo, hi in text_slices(texts):
-                rows = []
-                for text, changes in zip(texts[lo:hi], edits[lo:hi], strict=True):
-                    tree = TokenTree(own, text)
-                    rows.append((*tree.counts_after(changes), hashlib.sha256(tree.text.encode()).hexdigest()))
-                out = pd.DataFrame(rows, columns=schema.names[1:])
-                out.insert(0, "id", keys.iloc[lo:hi].to_numpy())
-                yield out
-
-    edits = F.coalesce(F.col(edits_col).cast(EDITS), F.array().cast(EDITS))
-    found = docs.select(carried(id_col).alias("id"), text_of(text_col).alias("text"), edits.alias("edits")).mapInPandas(run, schema)
-    return found.select(restored("id", docs.schema[id_col].dataType).alias(id_col), *schema.names[1:])
+    spark, path = docs.sparkSession, fresh_path(docs.sparkSession, "trees")
+    grown = grow_trees(docs, tokenizer, id_col, text_col, (edits_col,))
+    grown.write.option("compression", "zstd").parquet(path)
+    trees = spark.read.schema(grown.schema).parquet(path)
+    digest = lambda kept: pa.array([hashlib.sha256(t.text.encode()).hexdigest() for t in kept], pa.string())
+    found = saved(_after_edits(trees, tokenizer, id_col, edits_col, T.StringType(), digest).withColumnRenamed("found", "edited_sha256"), "edited")
+    forget(trees)
+    return found

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparstrata.llm import edit_counts, exact_dedup, near_dedup, packing, quality, sentence_spans, sentencepiece_codec, suffix_dedup, vector_search, warc
-from sparstrata.llm.queries import BYTE_BPE, PIECES
+from sparstrata.llm.queries import BYTE_BPE, PIECES, derived_edits
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row int, id string, key string, node int, kept string, removed string"
@@ -470,6 +470,24 @@ def test_edited_counts_odd(odd):
     assert found.where("doc_id = 3").first().n_edits == 0
 
 
+def test_edited_counts_against_brute_force(spark, odd):
+    rng = random.Random(23)
+    long = "".join(rng.choice(["the ", "é", "\n\n", "12", " don't", "x" * 40]) for _ in range(400_000))  # a text of several MB
+    docs = odd.select("doc_id", "text", "source", "lang").unionByName(spark.createDataFrame([(901, long, "web", "en"), (902, "a" * 300_000, None, "en")], "doc_id long, text string, source string, lang string"))
+    given = derived_edits(docs).select("doc_id", "text", "edits").collect()
+    found = edit_counts.edited_counts(derived_edits(docs), BYTE_BPE).collect()
+    own, wanted = edit_counts.Counter(BYTE_BPE), []
+    for r in given:
+        text = before = r.text or ""
+        for e in r.edits:
+            at = min(max(e.start or 0, 0), len(text))
+            text = text[:at] + (e.inserted or "") + text[at + (e.removed or 0) :]
+        digest = hashlib.sha256(text.encode()).hexdigest()
+        wanted.append((str(r.doc_id), len(r.edits), own.encode(before), own.encode(text), len(own.pattern.findall(text)), digest))
+    assert sorted((str(r.doc_id), r.n_edits, r.n_before, r.n_after, r.n_pretokens, r.edited_sha256) for r in found) == sorted(wanted)
+    assert {r.doc_id: r.n_reencoded for r in found}[901] < 400  # never the whole text
+
+
 BIG = [None, (1 << 60) + 1, (1 << 60) + 3]
 
 
