@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparstrata.functions.storage import fresh_path
-from sparstrata.operators import analysis, blocks, counters, features, groups, levels, matrix, pieces, schedule, search, solve, tune
+from sparstrata.jobs import sql
+from sparstrata.operators import analysis, blocks, counters, features, groups, levels, matrix, pieces, plan_net, schedule, search, solve, tune
 from sparstrata.sources import fixtures as fx
 from sparstrata.sources import market, market_source
 
@@ -154,6 +155,27 @@ def chosen_score(spark, d):
     return tune.score(tune.chosen_plans(model, test.select("matrix", "m", "size").distinct()), test)
 
 
+def net_score(spark, d):
+    """The plan network and the plan chooser, learned from the same matrices and scored on the others."""
+    runs = tune.informed(fx.run_log(spark, d), fx.matrix_info(spark, d), 100).withColumn("size", F.log("nnz"))
+    train, test = tune.split_by_matrix(runs)
+    new = test.select("matrix", "m", "size").distinct()
+    net = plan_net.plan_net(train, ["m", "size"])
+    by_net = tune.score(plan_net.chosen_by_net(net, new).select("matrix", "plan"), test).select(F.lit("network").alias("model"), "*")
+    one = tune.score(tune.chosen_plans(tune.plan_chooser(train, ["m", "size"]), new), test).select(F.lit("regression").alias("model"), "*")
+    return by_net.unionByName(one)
+
+
+def in_sql(text):
+    """A query of SQL text over the views of ``order_chain``."""
+
+    def run(spark, d):
+        sql.publish(spark, "chain", _o(spark, d), fx.order_sides(spark, d))
+        return spark.sql(text)
+
+    return run
+
+
 def plan_search(spark, d):
     """The log of a search among plans of neighbouring rows: turns of each, and whether its answer is right."""
     plans = [search.Plan("ROW_BLOCK", alpha, by_level) for alpha, by_level in ((64, True), (1024, True), (64, False))]
@@ -270,6 +292,10 @@ QUERIES = {
     "solve_plan_parts": lambda s, d: _planned(s, d, "ROW_BLOCK_AVG", 8, by_level=False),
     "solve_blocks_by_method": lambda s, d: blocks.solve_blocks_by_method(_l(s, d), fx.right_side(s, d), fx.size(s, d), 2),
     "plan_search": plan_search,
+    "net_score": net_score,
+    "sql_levels": in_sql(sql.LEVELS),
+    "sql_solve": in_sql(sql.SOLUTION),
+    "sql_features": in_sql(sql.FEATURES),
     "order_reverse_level": lambda s, d: features.reverse_level(levels.level_sets(_o(s, d))).select(F.round("reverse_level", 9).alias("reverse_level")),
 }
 
@@ -334,6 +360,11 @@ ORACLES = {
     "order_level_order": f"with {OC}, {OLEV} select i, row_number() over (order by level, i) - 1 place from ol",
     "order_row_pointers": f"with {OC} select i, cast(coalesce(sum(n) over (order by i rows between unbounded preceding and 1 preceding), 0) as bigint) ptr from (select i, count(*) n from oe group by i)",
     "order_product": f"with {OC} select i, sum(v*(j%7+1)) y from oe group by i",
+    "sql_levels": f"with {OC}, {OLEV} select i, level from ol",
+    "sql_solve": f"with recursive {OC}{CHAIN} select i, round(x, 9) x from sx",
+    "sql_features": f"""with {OC}, {OLEV}, r as (select i, count(*) n, cast(sum(i - j) as bigint) d from oe group by i), l as (select count(*) n from ol group by level)
+ select * from (select count(*) m, cast(sum(n) as bigint) nnz, round(avg(n), 6) avg_rnnz, max(n) max_rnnz, round(sum(d) / count(*), 6) dep_dist from r),
+ (select count(*) n_levels, round(avg(n), 6) avg_lnnz, max(n) max_lnnz from l)""",
     "order_solve": f"with recursive {OC}{CHAIN} select i, round(x, 9) x from sx",
     "order_thresh": f"""with {OC}, rn as (select i, count(*) n from oe group by i), th as (select i, n, case when n>2 then i else st + ((i-st)//32)*32 end g from
  (select i, n, coalesce(max(case when n>2 then i+1 end) over (order by i rows unbounded preceding), 0) st from rn)) select i, n, g from th""",
