@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions.storage import forget, fresh_path
 from ..functions.storage import written as saved
 
-__all__ = ["carried", "components", "forget", "fresh_path", "ranked", "restored", "saved", "small", "text_of"]
+__all__ = ["carried", "components", "forget", "fresh_path", "ranked", "restored", "saved", "small", "text_of", "with_groups"]
 
 
 def small(table: DataFrame, rows: int) -> DataFrame:
@@ -17,6 +17,29 @@ def small(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if table.count() <= rows else table
 
 
+#: Groups that are broadcast whole; of more, those with more than one in ``HOT`` of all rows are, which are fewer than ``HOT``.
+FEW, HOT = 500_000, 100_000
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, salt: Column) -> DataFrame:
+    """``rows`` left-joined by ``keys`` with a saved table of groups, one row a key, of ``size`` rows each.
+
+    Few groups are broadcast and no row is shuffled. Of many groups only the hot
+    ones are, and their rows, spread by ``salt``, meet no other group in the
+    shuffle that joins the rest; so no task gets a hot group.
+    """
+    if groups.count() <= FEW:
+        return rows.join(F.broadcast(groups), keys, "left")
+    values = [c for c in groups.columns if c not in keys]
+    # rows that are in no group only add to the true total, so more groups count as hot, still fewer than HOT
+    least = groups.agg(F.sum(size)).first()[0] // HOT
+    hot = groups.where(F.col(size) > least).select(*keys, F.struct(*values).alias("_hot"))
+    rest = groups.where(F.col(size) <= least).select(*keys, F.lit(0).cast("long").alias("_salt"), F.struct(*values).alias("_rest"))
+    spread = F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(salt), F.lit(100_000)) + 1)
+    found = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", spread).join(rest, [*keys, "_salt"], "left")
+    return found.select(*rows.columns, *[F.coalesce(F.col("_hot")[c], F.col("_rest")[c]).alias(c) for c in values])
+
+
 def text_of(column: str):
     """The column as a string, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

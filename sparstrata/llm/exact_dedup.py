@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, text_of
+from .common import saved, text_of, with_groups
 
 RUNS = 16
 FAN_IN = 4
@@ -69,9 +69,9 @@ def merge_runs(entries: DataFrame, runs: int = RUNS, fan_in: int = FAN_IN, keep:
 
 
 def _decided(entries: DataFrame, keep: str, runs: int, fan_in: int) -> DataFrame:
-    copies = merge_runs(entries, runs, fan_in, keep).where("n_rows > 1")
+    copies = saved(merge_runs(entries, runs, fan_in, keep).where("n_rows > 1"), "copies")
     alone = F.col("n_rows").isNull()
-    return entries.join(copies, "digest", "left").withColumns(
+    return with_groups(entries, copies, ["digest"], "n_rows", F.col("uid")).withColumns(
         {
             "keep_id": F.when(alone, F.col("id")).otherwise(F.col("best.id")),
             "kept": alone | (F.col("uid") == F.col("best.uid")),

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import carried, fresh_path, restored, saved
+from .common import carried, fresh_path, restored, saved, with_groups
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 64 << 20
@@ -153,8 +153,9 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
         F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("n"),
     )
     known = rows.where(F.col("id").isNotNull() & (F.col("n") >= min_revisit_bytes))
-    copies = known.groupBy("digest", "n").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    decided = rows.join(copies, ["digest", "n"], "left").select(
+    copies = known.groupBy("digest", "n").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    copies = saved(copies, "copies")
+    decided = with_groups(rows, copies, ["digest", "n"], "copies", F.col("id")).select(
         carried("id").alias("id"), "url", "payload", F.when(F.col("first") < F.col("id"), F.col("first")).cast("string").alias("refers_to")
     )
     kind = pages.schema[id_col].dataType

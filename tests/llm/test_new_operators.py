@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparstrata.llm import bitplane_clusters, bloom, collocations, line_dedup
+from sparstrata.llm import bitplane_clusters, bloom, collocations, common, line_dedup
 
 MARKS = re.compile(r"[.,;:!?\x0A-\x0D]")
 
@@ -171,3 +171,16 @@ def test_burst_tries_keep_all_counts(monkeypatch):
         for key, n in found:
             taken[out, key] = taken.get((out, key), 0) + n
     assert taken == wanted and trie.total == 0
+
+
+def test_groups_are_joined_alike_in_every_way(spark, monkeypatch):
+    # a hot key with half of all rows, keys of a few rows, keys without a group, null keys
+    rows = [(1 if k % 2 else k // 6, k) for k in range(300)] + [(None, 300), (None, 301)]
+    table = spark.createDataFrame(rows, "key long, uid long")
+    groups = common.saved(table.groupBy("key").agg(F.count("*").alias("n"), F.max("uid").alias("top")).where("n > 1 and key is not null"), "groups")
+    wanted = sorted(map(str, table.join(groups, "key", "left").select("key", "uid", "n", "top").collect()))
+    for few, hot in ((1000, 100_000), (0, 10), (0, 1), (0, 100_000)):
+        monkeypatch.setattr(common, "FEW", few)
+        monkeypatch.setattr(common, "HOT", hot)
+        found = common.with_groups(table, groups, ["key"], "n", F.col("uid"))
+        assert sorted(map(str, found.select("key", "uid", "n", "top").collect())) == wanted
