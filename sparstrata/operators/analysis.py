@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparstrata.functions.storage import dealt, forget
 from sparstrata.operators import counters, groups, levels, matrix, solve
 
 #: Rows of a part at least, where groups are not kept apart by level; a part ends with a group.
@@ -25,7 +26,9 @@ class Plan:
 
 def analyse(a: DataFrame, plan: Plan) -> DataFrame:
     """(g, n_rows, nnz, level, flags, part): the groups of a plan; all are one part if levels are not kept apart."""
-    table = groups.group_table(a, groups.grouped(a, plan.strategy, plan.alpha))
+    entries = dealt(a.select("i", "j"), "entries", "i")
+    table = groups.group_table(entries, groups.grouped(entries, plan.strategy, plan.alpha))
+    forget(entries)
     return table.withColumn("part", F.col("level") if plan.by_level else F.lit(0).cast("long"))
 
 

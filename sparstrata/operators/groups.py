@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparstrata.functions.scan import prefix
-from sparstrata.functions.storage import forget, written
-from sparstrata.operators.levels import level_sets
+from sparstrata.functions.storage import dealt, forget, written
+from sparstrata.operators.levels import levels_of
 from sparstrata.operators.matrix import row_counts
 
 CAP = 32
@@ -106,7 +106,13 @@ def grouped(a: DataFrame, strategy: str, alpha: int) -> DataFrame:
     """(i, n, g) by one of the strategies; others are not implemented."""
     if strategy not in STRATEGIES:
         raise NotImplementedError(f"row grouping {strategy}")
-    return STRATEGIES[strategy](a, row_counts(a), alpha)
+    return STRATEGIES[strategy](a, written(row_counts(a), "rows"), alpha)
+
+
+def ends_of(a: DataFrame, of: DataFrame) -> DataFrame:
+    """Entries with the groups g of their rows and h of their columns; ``of`` (i, g) is built in memory, a share of a shuffle at a time."""
+    columns = of.select(F.col("i").alias("j"), F.col("g").alias("h"))
+    return a.join(of.hint("shuffle_hash"), "i").join(columns.hint("shuffle_hash"), "j")
 
 
 def group_table(a: DataFrame, groups: DataFrame, lanes: int = 1) -> DataFrame:
@@ -116,13 +122,13 @@ def group_table(a: DataFrame, groups: DataFrame, lanes: int = 1) -> DataFrame:
     other or are 8 or more; flag 2: entries beyond the buffer; flag 256: no row
     depends on another of the group.
     """
+    groups = dealt(groups.select("i", "n", "g"), "groups", "i")
     of = groups.select("i", "g")
-    ends = a.where("i <> j").join(of, "i").join(of.select(F.col("i").alias("j"), F.col("g").alias("h")), "j")
-    inner = ends.where("g = h").select("g").distinct().withColumn("inner", F.lit(True))
-    between = ends.where("h < g").select(F.col("g").alias("i"), F.col("h").alias("j")).distinct()
-    nodes = groups.select(F.col("g").alias("i"), F.col("g").alias("j")).distinct()
-    levels = level_sets(between.unionByName(nodes)).withColumnRenamed("i", "g")
-    sizes = groups.groupBy("g").agg(F.count("*").alias("n_rows"), F.sum("n").alias("nnz"))
+    ends = dealt(ends_of(a.where("i <> j").select("i", "j"), of).select(F.col("g").alias("i"), F.col("h").alias("j")), "ends", "j")
+    inner = written(ends.where("i = j").select(F.col("i").alias("g")).distinct().withColumn("inner", F.lit(True)), "inner")
+    sizes = written(groups.groupBy("g").agg(F.count("*").alias("n_rows"), F.sum("n").alias("nnz")), "sizes")
+    levels = levels_of(ends.where("j < i"), sizes.select(F.col("g").alias("i"))).withColumnRenamed("i", "g")
+    forget(groups, ends)
     joined = sizes.join(levels, "g").join(inner, "g", "left")
     depends = F.coalesce("inner", F.lit(False))
     flags = (
