@@ -31,8 +31,8 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-#: Bytes of a partition, and entries of a batch.
-SPLIT, BATCH = 32 << 20, 100_000
+#: Bytes of a partition, bytes of it that are held at once, and entries of a batch.
+SPLIT, CHUNK, BATCH = 32 << 20, 1 << 20, 100_000
 HEAD = "head.json"
 KINDS = {"real": 3, "integer": 3, "pattern": 2}
 
@@ -108,10 +108,11 @@ class MarketReader(DataSourceReader):
             f.seek(max(0, partition.start - 1))
             if partition.start:
                 f.readline()
-            begin = f.tell()
-            data = f.read(max(0, partition.stop - begin))
-            if data and not data.endswith(b"\n"):
-                data += f.readline()
+            while (at := f.tell()) < partition.stop and (data := f.read(min(CHUNK, partition.stop - at))):
+                yield from self._entries(data if data.endswith(b"\n") else data + f.readline(), partition)
+
+    def _entries(self, data: bytes, partition: Split) -> Iterator[pa.RecordBatch]:
+        """The entries of whole lines that are rows of the range."""
         words = data.split()
         if len(words) % partition.width:
             raise ValueError(f"malformed entries in {partition.path}")
