@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparstrata.functions.scan import prefix
+from sparstrata.functions.scan import BLOCK, prefix
 from sparstrata.functions.storage import dealt, forget, written
 from sparstrata.operators.levels import levels_of
-from sparstrata.operators.matrix import row_counts
+from sparstrata.operators.matrix import ends_of, row_counts
 
 CAP = 32
 BUFFER = 8
@@ -70,16 +70,33 @@ def by_pattern(a: DataFrame, rows: DataFrame, cap: int = CAP) -> DataFrame:
     """(i, n, g): a group goes on while a row has the dependencies of its first row outside the group, and has fewer than ``cap`` rows.
 
     Patterns are compared by length and two sums of hashes of their columns
-    before each possible start. Rows are numbered from 0 without gaps.
+    before each possible start. Rows are numbered from 0 without gaps. A row travels
+    once: what it depends on before all its possible starts is summed, the few
+    columns behind the first of them go with it, and starts look at the rows that
+    follow them inside a block, which also has the first rows of the next block.
     """
-    # what row i depends on before s, for each s that i may share a group with
-    shared = rows.select("i", F.explode(F.sequence(F.greatest(F.lit(0), F.col("i") - cap + 1), F.col("i"))).alias("s"))
-    mark = lambda salt: F.coalesce(F.sum(F.when(F.col("j") < F.col("s"), F.shiftright(F.xxhash64("j", F.lit(salt)), 24))), F.lit(0))
-    size = F.coalesce(F.sum((F.col("j") < F.col("s")).cast("long")), F.lit(0))
-    seen = shared.join(a.where("j < i").select("i", "j"), "i", "left").groupBy("s", "i").agg(F.struct(size.alias("n"), mark(1).alias("x"), mark(2).alias("y")).alias("pattern"))
-    first = seen.where("s = i").select("s", F.col("pattern").alias("own"))
-    cut = seen.join(first, "s").where("pattern <> own").groupBy("s").agg(F.min("i").alias("stop"))
-    ends = rows.select(F.col("i").alias("s")).join(cut, "s", "left").withColumn("next", F.coalesce("stop", F.col("s") + cap))
+    mark = lambda salt: F.shiftright(F.xxhash64("j", F.lit(salt)), 24)
+    far, column = F.col("j") < F.col("i") - cap + 1, F.struct("j", mark(1).alias("x"), mark(2).alias("y"))
+    whole = lambda value, name: F.sum(F.when(far, value).otherwise(F.lit(0))).cast("long").alias(name)
+    seen = a.where("j < i").groupBy("i").agg(whole(F.lit(1), "n0"), whole(mark(1), "x0"), whole(mark(2), "y0"), F.collect_list(F.when(~far, column)).alias("near"))
+    none = F.array().cast("array<struct<j:bigint,x:bigint,y:bigint>>")
+    zero = F.lit(0).cast("long")
+    row = rows.select("i").join(seen, "i", "left").select("i", *[F.coalesce(c, zero).alias(c) for c in ("n0", "x0", "y0")], F.coalesce("near", none).alias("near"))
+    own, before = F.expr(f"i div {BLOCK}"), F.expr(f"(i - {cap - 1}) div {BLOCK}")
+    blocks = F.when((F.col("i") >= cap - 1) & (before < own), F.array(own, before)).when((F.col("i") < cap - 1) | (before == own), F.array(own))
+    placed = row.withColumn("block", F.explode(blocks))
+    behind = Window.partitionBy("block").orderBy("i").rowsBetween(1, max(1, cap - 1))
+    ahead = placed.withColumn("ahead", F.collect_list(F.struct("i", "n0", "x0", "y0", "near")).over(behind)).where(own == F.col("block"))
+
+    def pattern(r, s):
+        """What row r depends on before s."""
+        held = F.filter(r["near"], lambda e: e["j"] < s)
+        total = lambda c: r[c + "0"] + F.aggregate(held, zero, lambda t, e: t + e[c])
+        return F.struct((r["n0"] + F.size(held)).alias("n"), total("x").alias("x"), total("y").alias("y"))
+
+    s = F.col("i")
+    other = F.filter("ahead", lambda r: (r["i"] < s + cap) & (pattern(r, s) != pattern({c: F.col(c) for c in ("n0", "x0", "y0", "near")}, s)))
+    ends = ahead.select(s.alias("s"), F.coalesce(F.array_min(F.transform(other, lambda r: r["i"])), s + cap).alias("next"))
     last = rows.select(F.col("i").alias("next"), F.lit(True).alias("there"))
     return _chained(rows, ends.join(last, "next", "left").select("s", F.when(F.col("there"), F.col("next")).alias("next")))
 
@@ -109,12 +126,6 @@ def grouped(a: DataFrame, strategy: str, alpha: int) -> DataFrame:
     return STRATEGIES[strategy](a, written(row_counts(a), "rows"), alpha)
 
 
-def ends_of(a: DataFrame, of: DataFrame) -> DataFrame:
-    """Entries with the groups g of their rows and h of their columns; ``of`` (i, g) is built in memory, a share of a shuffle at a time."""
-    columns = of.select(F.col("i").alias("j"), F.col("g").alias("h"))
-    return a.join(of.hint("shuffle_hash"), "i").join(columns.hint("shuffle_hash"), "j")
-
-
 def group_table(a: DataFrame, groups: DataFrame, lanes: int = 1) -> DataFrame:
     """(g, n_rows, nnz, level, flags) of each group.
 
