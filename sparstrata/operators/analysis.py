@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparstrata.functions.storage import dealt, forget
+from sparstrata.functions.storage import dealt, forget, written
 from sparstrata.operators import counters, groups, levels, matrix, solve
 
 #: Rows of a part at least, where groups are not kept apart by level; a part ends with a group.
@@ -40,12 +40,13 @@ def planned_groups(a: DataFrame, plan: Plan) -> DataFrame:
 
 def solve_planned(a: DataFrame, b: DataFrame, plan: Plan) -> tuple[DataFrame, int]:
     """(i, x) by the plan's groups, and the turns that it took: the levels of the graph of groups."""
+    a = dealt(a, "entries", "i")
     if not levels.triangular(a):
         raise ValueError("entries on both sides of the diagonal")
     if not plan.reorder:
         return counters.solve_by_groups(a, b, planned_groups(a, plan))
-    order = levels.level_order(levels.level_sets(a))
-    turned = matrix.permuted(a, order)
+    order = written(levels.level_order(levels.level_sets(a)), "order")
+    turned = dealt(matrix.permuted(a, order), "turned", "i")
     side = matrix.permuted_vector(b.withColumnRenamed("b", "x"), order).withColumnRenamed("x", "b")
     x, turns = counters.solve_by_groups(turned, side, planned_groups(turned, plan))
     return matrix.permuted_vector(x, order, back=True), turns
@@ -53,5 +54,6 @@ def solve_planned(a: DataFrame, b: DataFrame, plan: Plan) -> tuple[DataFrame, in
 
 def solve_and_verify(a: DataFrame, b: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
     """The solution (i, x) by the plan, and one row of its largest error, where that is, and the relative error."""
+    a = dealt(a, "entries", "i")
     x, _ = solve_planned(a, b, plan)
     return x, solve.residual(a, x, b)

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparstrata.functions.storage import forget, fresh_path, written
-from sparstrata.operators.matrix import checked_diagonal
+from sparstrata.functions.storage import dealt, forget, fresh_path, written
+from sparstrata.operators.matrix import checked_diagonal, ends_of
 
 #: Rows and entries that a task substitutes at once, in whole groups; a group that is larger is taken alone.
 BATCH = 200_000
@@ -192,21 +192,21 @@ def _grouped(kernel: Callable, combine: Callable, sides: int):
 ENTRY = "g long, i long, j long, v double"
 
 
-def _by_groups(a: DataFrame, groups: DataFrame, sides: DataFrame, n_sides: int, kernel: Callable, combine: Callable, product: Callable) -> tuple[DataFrame, int]:
+def _by_groups(off: DataFrame, on: DataFrame, groups: DataFrame, sides: DataFrame, n_sides: int, kernel: Callable, combine: Callable, product: Callable) -> tuple[DataFrame, int]:
     """(i, j, v): value v of row i for right-hand side j, and the number of turns.
 
-    ``sides`` are rows (i, j, v) with j = -1 - side; ``product`` makes what an
+    ``off`` are the entries off the diagonal, dealt by row, ``on`` those on it, one for
+    each row. ``sides`` are rows (i, j, v) with j = -1 - side; ``product`` makes what an
     entry v pushes of a value x. What is pushed to a row is one more side of it.
+    Entries between groups lie in buckets of their column, so a turn shuffles x alone.
     """
-    spark = a.sparkSession
-    of = groups.select("i", "g")
-    ends = a.join(of, "i").join(of.select(F.col("i").alias("j"), F.col("g").alias("h")), "j")
-    ends = written(ends.select("g", "i", "j", "v", "h"), "ends")
-    rest = sides.join(of, "i").select("g", "i", "j", "v")
+    spark = off.sparkSession
+    of = dealt(groups.select("i", "g"), "groups", "i")
+    ends = dealt(ends_of(off, of).select("g", "i", "j", "v", "h"), "ends", "j", order="h", placed=True)
+    rest = sides.unionByName(on).join(of, "i").select("g", "i", "j", "v")
     inner = written(ends.where("g = h").select("g", "i", "j", "v").unionByName(rest).repartitionByRange("g").sortWithinPartitions("g"), "inner")
-    outer = written(ends.where("g <> h").select("i", "j", "v", "g", "h").repartitionByRange("h").sortWithinPartitions("h"), "outer")
+    outer = ends.where("g <> h")
     waits = written(outer.groupBy("g").agg(F.count("*").alias("n")), "waits")
-    forget(ends)
     pushes, found, ready = Turns(spark, "pushes", ENTRY + ", n long"), Turns(spark, "found", ENTRY), Turns(spark, "ready", "g long")
     now = ready.add(of.select("g").distinct().join(waits, "g", "left_anti"))
     run, combined = _grouped(kernel, combine, n_sides), {np.add: F.sum, np.maximum: F.max}[combine]
@@ -216,16 +216,16 @@ def _by_groups(a: DataFrame, groups: DataFrame, sides: DataFrame, n_sides: int,
         values = found.add(own.repartition("g").sortWithinPartitions("g").mapInArrow(run, ENTRY))
         if outer.where(F.col("h").between(*span)).isEmpty():
             break
-        x = values.select(F.col("g").alias("h"), F.col("i").alias("j"), F.col("j").alias("side"), F.col("v").alias("x"))
-        made = outer.where(F.col("h").between(*span)).join(x, ["h", "j"])
+        x = values.select(F.col("i").alias("j"), F.col("j").alias("side"), F.col("v").alias("x"))
+        made = outer.where(F.col("h").between(*span)).join(x.hint("shuffle_hash"), "j")
         pushed = pushes.add(made.groupBy("g", "i", "side").agg(combined(product(F.col("v"), F.col("x"))).alias("v"), F.count("*").alias("n")).select("g", "i", (-1 - F.col("side")).alias("j"), "v", "n"))
         # each entry is counted once, with its first side
         counted = pushes.all().where("j = -1").join(pushed.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.sum("n").alias("n"))
         now = ready.add(counted.join(waits, ["g", "n"]).select("g"))
     values = found.all()
-    if values.count() < n_sides * a.select("i").distinct().count():
+    if values.count() < n_sides * on.count():
         raise ValueError("groups depend on each other in a cycle")
-    forget(inner, outer, waits)
+    forget(inner, ends, waits, of)
     pushes.drop()
     ready.drop()
     return values.select("i", "j", "v"), found.n
@@ -245,8 +245,9 @@ def solve_many_by_groups(a: DataFrame, b: DataFrame, groups: DataFrame) -> tuple
         return b.select("r", "i", F.col("b").alias("x")), 0
     known = F.broadcast(spark.createDataFrame([(r, k) for k, r in enumerate(numbers)], "r long, side long"))
     sides = b.join(known, "r").select("i", (-1 - F.col("side")).alias("j"), F.col("b").alias("v"))
-    sound = a.where("i <> j").unionByName(checked_diagonal(a).select("i", F.col("i").alias("j"), F.col("d").alias("v")))
-    values, turns = _by_groups(sound, groups, sides, len(numbers), substitute, np.add, lambda v, x: -v * x)
+    a = dealt(a, "entries", "i")
+    on = written(checked_diagonal(a).select("i", F.col("i").alias("j"), F.col("d").alias("v")), "diagonal")
+    values, turns = _by_groups(a.where("i <> j").select("i", "j", "v"), on, groups, sides, len(numbers), substitute, np.add, lambda v, x: -v * x)
     return values.join(known, F.col("j") == F.col("side")).select("r", "i", F.col("v").alias("x")), turns
 
 
@@ -259,7 +260,7 @@ def solve_by_groups(a: DataFrame, b: DataFrame, groups: DataFrame) -> tuple[Data
 def levels_by_groups(a: DataFrame, groups: DataFrame) -> tuple[DataFrame, int]:
     """(i, level) by groups(i, g) whose graph has no cycle, and the number of turns."""
     sides = a.sparkSession.createDataFrame([], "i long, j long, v double")
-    rows = a.select("i").distinct().select("i", F.col("i").alias("j"))
-    pattern = a.where("i <> j").select("i", "j").unionByName(rows).withColumn("v", F.lit(1.0))
-    values, turns = _by_groups(pattern, groups, sides, 1, deepen, np.maximum, lambda v, x: x + 1)
+    a = dealt(a, "entries", "i")
+    on = written(a.select("i").distinct().select("i", F.col("i").alias("j"), F.lit(1.0).alias("v")), "rows")
+    values, turns = _by_groups(a.where("i <> j").select("i", "j", F.lit(1.0).alias("v")), on, groups, sides, 1, deepen, np.maximum, lambda v, x: x + 1)
     return values.select("i", F.col("v").cast("long").alias("level")), turns

@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparstrata.functions.storage import forget, written
+from sparstrata.functions.storage import dealt, forget, written
 from sparstrata.operators import solve
 from sparstrata.operators.analysis import Plan, solve_planned
 
@@ -46,7 +46,7 @@ def search(a: DataFrame, b: DataFrame, matrix: str, plans: Iterable[Plan], path:
     own = read_log(spark, path).where(F.col("matrix") == matrix)
     columns = [f.name for f in fields(Plan)]
     known = {tuple(r) for r in own.select(*columns).collect()}  # a row for each plan
-    a, b = written(a, "search-matrix"), written(b, "search-sides")
+    a, b = dealt(a, "search-matrix", "i"), written(b, "search-sides")
     for plan in plans:
         if astuple(plan) in known:
             continue
