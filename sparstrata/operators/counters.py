@@ -9,7 +9,10 @@ the matrix has rows and entries.
 
 By rows there are as many turns as levels. By groups of bounded size there are as
 many as levels of the graph of groups: inside a group its rows are substituted at
-once, many whole groups at a time, in arrays.
+once, many whole groups at a time, in arrays. Long chains of groups that depend on few
+rows of each other take no turn for each group: all groups tell at once how their
+rows that others need follow from the rows that they need, which is a smaller
+system of the same kind.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparstrata.functions.storage import dealt, forget, fresh_path, written
@@ -26,6 +29,8 @@ from sparstrata.operators.matrix import checked_diagonal, ends_of
 
 #: Rows and entries that a task substitutes at once, in whole groups; a group that is larger is taken alone.
 BATCH = 200_000
+#: Rows of other groups that a group depends on at most, and rows for each row that others need at least, for a smaller system.
+WIDE, SHARE = 16, 4
 
 
 class Turns:
@@ -139,33 +144,41 @@ def substitute(i: np.ndarray, j: np.ndarray, v: np.ndarray, sides: np.ndarray, r
 
 
 def deepen(i: np.ndarray, j: np.ndarray, v: np.ndarray, least: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Levels of rows that have at least the levels ``least``, in one column."""
+    """Levels of rows that have at least the levels ``least``, one column or more; an entry v lifts by v."""
     level = np.array(least, np.float64)
     off = i != j
-    i, j = i[off], j[off]
+    i, j, v = i[off], j[off], v[off].reshape(-1, *[1] * (level.ndim - 1))
     for _, own in _ready_in_order(len(rows), i, j):
-        np.maximum.at(level, i[own], level[j[own]] + 1)
+        np.maximum.at(level, i[own], level[j[own]] + v[own])
     return level
 
 
-def _grouped(kernel: Callable, combine: Callable, sides: int):
+def _grouped(kernel: Callable, combine: Callable, sides: int, units: int = 0):
     """A function for batches (g, i, j, v), sorted by g, that gives (g, i, j, v): the values v of row i for right-hand side j.
 
-    Rows with j < 0 hold the sides: side -1 - j of row i.
+    Rows with j < 0 hold the sides: side -1 - j of row i. With ``units`` so many more
+    sides follow, which begin with what ``combine`` leaves as it is, and values
+    are given of those rows alone that have a row with j = -1 - sides - units.
     """
+    most = sides + units
 
     def solved(table: pa.Table) -> pa.RecordBatch:
         g, i, j, v = (c.to_numpy() for c in table.columns)
         entry = j >= 0
         rows, first = np.unique(i[entry], return_index=True)
-        own = np.zeros((len(rows), sides))
+        own = np.zeros((len(rows), most))
+        own[:, sides:] = {np.add: 0.0, np.maximum: -np.inf}[combine]
+        asked = np.full(len(rows), not units)
         # sides of rows without entries have no row in the matrix
         at = np.searchsorted(rows, i[~entry]).clip(0, max(len(rows) - 1, 0))
         known = rows[at] == i[~entry] if len(rows) else np.zeros(len(at), bool)
-        combine.at(own, (at[known], -1 - j[~entry][known]), v[~entry][known])
+        at, side, value = at[known], -1 - j[~entry][known], v[~entry][known]
+        asked[at[side == most]] = True
+        combine.at(own, (at[side < most], side[side < most]), value[side < most])
         place = lambda x: np.searchsorted(rows, x)
-        x = kernel(place(i[entry]), place(j[entry]), v[entry], own, rows)
-        columns = [np.repeat(g[entry][first], sides), np.repeat(rows, sides), np.tile(np.arange(sides), len(rows)), x.ravel()]
+        x = kernel(place(i[entry]), place(j[entry]), v[entry], own, rows)[asked]
+        rows, first = rows[asked], first[asked]
+        columns = [np.repeat(g[entry][first], most), np.repeat(rows, most), np.tile(np.arange(most), len(rows)), x.ravel()]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["g", "i", "j", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,13 +205,42 @@ def _grouped(kernel: Callable, combine: Callable, sides: int):
 ENTRY = "g long, i long, j long, v double"
 
 
-def _by_groups(off: DataFrame, on: DataFrame, groups: DataFrame, sides: DataFrame, n_sides: int, kernel: Callable, combine: Callable, product: Callable) -> tuple[DataFrame, int]:
+def _by_interfaces(inner: DataFrame, outer: DataFrame, rows: int, kernel: Callable, combine: Callable, again: Callable) -> tuple[DataFrame, int] | None:
+    """(i, x) of the rows that other groups need, and the turns that it took; None where these are many or sums would lose digits.
+
+    Each group is solved for its side and for each row that it needs, as if that
+    were 1 (or level 0) and the others 0. ``again`` solves what this leaves,
+    (i, j, v) and (i, b), a row for each row that others need, with ones on the diagonal.
+    """
+    need = Window.partitionBy("g").orderBy("j")
+    needs = written(outer.select("g", "j").distinct().withColumn("side", F.row_number().over(need).cast("long")), "needs")
+    wide = needs.agg(F.max("side")).first()[0] or 0
+    asked = written(outer.select(F.col("h").alias("g"), F.col("j").alias("i")).distinct(), "asked")
+    if not 0 < wide <= WIDE or asked.count() * SHARE > rows:
+        forget(needs, asked)
+        return None
+    units = outer.join(needs, ["g", "j"]).select("g", "i", (-1 - F.col("side")).alias("j"), "v")
+    marks = asked.select("g", "i", F.lit(-2 - wide).cast("long").alias("j"), F.lit(0.0).alias("v"))
+    own = inner.unionByName(units).unionByName(marks).repartition("g").sortWithinPartitions("g")
+    told = written(own.mapInArrow(_grouped(kernel, combine, 1, wide), ENTRY), "told")
+    nothing = {np.add: 0.0, np.maximum: float("-inf")}[combine]
+    left = told.where((F.col("j") > 0) & (F.col("v") != nothing)).select("g", "i", F.col("j").alias("side"), "v").join(needs, ["g", "side"]).select("i", "j", "v")
+    left = dealt(left.unionByName(asked.select("i", F.col("i").alias("j"), F.lit(1.0).alias("v"))), "left", "i")
+    # beyond 1 the errors of the rows needed would grow with each group
+    most = left.where("i <> j").groupBy("i").agg(F.sum(F.abs("v")).alias("s")).agg(F.max("s")).first()[0] if combine is np.add else 0
+    found = again(left, told.where("j = 0").select("i", F.col("v").alias("b"))) if (most or 0) <= 1 else None
+    forget(needs, asked, told, left)
+    return found
+
+
+def _by_groups(off: DataFrame, on: DataFrame, groups: DataFrame, sides: DataFrame, n_sides: int, kernel: Callable, combine: Callable, product: Callable, again: Callable | None = None) -> tuple[DataFrame, int]:
     """(i, j, v): value v of row i for right-hand side j, and the number of turns.
 
     ``off`` are the entries off the diagonal, dealt by row, ``on`` those on it, one for
     each row. ``sides`` are rows (i, j, v) with j = -1 - side; ``product`` makes what an
     entry v pushes of a value x. What is pushed to a row is one more side of it.
     Entries between groups lie in buckets of their column, so a turn shuffles x alone.
+    ``again`` is for one right-hand side and groups in long chains (``_by_interfaces``).
     """
     spark = off.sparkSession
     of = dealt(groups.select("i", "g"), "groups", "i")
@@ -206,10 +248,21 @@ def _by_groups(off: DataFrame, on: DataFrame, groups: DataFrame, sides: DataFram
     rest = sides.unionByName(on).join(of, "i").select("g", "i", "j", "v")
     inner = written(ends.where("g = h").select("g", "i", "j", "v").unionByName(rest).repartitionByRange("g").sortWithinPartitions("g"), "inner")
     outer = ends.where("g <> h")
+    run, combined = _grouped(kernel, combine, n_sides), {np.add: F.sum, np.maximum: F.max}[combine]
+    if again:
+        between = written(outer, "between")
+        if (known := _by_interfaces(inner, between, on.count(), kernel, combine, again)) is not None:
+            x, turns = known
+            x = written(x.select(F.col("i").alias("j"), "x"), "known")
+            made = between.join(x, "j").groupBy("g", "i").agg(combined(product(F.col("v"), F.col("x"))).alias("v"))
+            own = inner.unionByName(made.select("g", "i", F.lit(-1).cast("long").alias("j"), "v"))
+            values = written(own.repartition("g").sortWithinPartitions("g").mapInArrow(run, ENTRY), "found")
+            forget(inner, ends, between, of, x)
+            return values.select("i", "j", "v"), turns + 2
+        forget(between)
     waits = written(outer.groupBy("g").agg(F.count("*").alias("n")), "waits")
     pushes, found, ready = Turns(spark, "pushes", ENTRY + ", n long"), Turns(spark, "found", ENTRY), Turns(spark, "ready", "g long")
     now = ready.add(of.select("g").distinct().join(waits, "g", "left_anti"))
-    run, combined = _grouped(kernel, combine, n_sides), {np.add: F.sum, np.maximum: F.max}[combine]
     while (span := _span(now, "g")) is not None:
         within = F.col("g").between(*span)
         own = inner.where(within).unionByName(pushes.all().select("g", "i", "j", "v").where(within)).join(now, "g", "left_semi")
@@ -231,13 +284,14 @@ def _by_groups(off: DataFrame, on: DataFrame, groups: DataFrame, sides: DataFram
     return values.select("i", "j", "v"), found.n
 
 
-def solve_many_by_groups(a: DataFrame, b: DataFrame, groups: DataFrame) -> tuple[DataFrame, int]:
+def solve_many_by_groups(a: DataFrame, b: DataFrame, groups: DataFrame, again: Callable | None = None) -> tuple[DataFrame, int]:
     """(r, i, x) of right-hand sides b(r, i, b) by groups(i, g), and the number of turns.
 
     The graph of groups has no cycle, as with runs of rows of a triangular matrix. A
     group is substituted as a whole once all that it waits for has come; what a
     task holds is bounded by ``BATCH`` and the largest group. A side without
-    a row in b is 0 there. Right-hand sides are few; their numbers pass the driver.
+    a row in b is 0 there. Right-hand sides are few; their numbers pass the driver. With one
+    of them ``again`` solves the smaller system of groups in long chains.
     """
     spark = a.sparkSession
     numbers = sorted(r[0] for r in b.select("r").distinct().collect())
@@ -247,20 +301,25 @@ def solve_many_by_groups(a: DataFrame, b: DataFrame, groups: DataFrame) -> tuple
     sides = b.join(known, "r").select("i", (-1 - F.col("side")).alias("j"), F.col("b").alias("v"))
     a = dealt(a, "entries", "i")
     on = written(checked_diagonal(a).select("i", F.col("i").alias("j"), F.col("d").alias("v")), "diagonal")
-    values, turns = _by_groups(a.where("i <> j").select("i", "j", "v"), on, groups, sides, len(numbers), substitute, np.add, lambda v, x: -v * x)
+    values, turns = _by_groups(a.where("i <> j").select("i", "j", "v"), on, groups, sides, len(numbers), substitute, np.add, lambda v, x: -v * x, again if len(numbers) == 1 else None)
     return values.join(known, F.col("j") == F.col("side")).select("r", "i", F.col("v").alias("x")), turns
 
 
-def solve_by_groups(a: DataFrame, b: DataFrame, groups: DataFrame) -> tuple[DataFrame, int]:
-    """(i, x) of one right-hand side b(i, b), and the number of turns."""
-    x, turns = solve_many_by_groups(a, b.select(F.lit(0).cast("long").alias("r"), "i", "b"), groups)
+def solve_by_groups(a: DataFrame, b: DataFrame, groups: DataFrame, again: Callable | None = None) -> tuple[DataFrame, int]:
+    """(i, x) of one right-hand side b(i, b), and the number of turns; ``again`` solves the smaller system of groups in long chains."""
+    x, turns = solve_many_by_groups(a, b.select(F.lit(0).cast("long").alias("r"), "i", "b"), groups, again)
     return x.select("i", "x"), turns
 
 
-def levels_by_groups(a: DataFrame, groups: DataFrame) -> tuple[DataFrame, int]:
-    """(i, level) by groups(i, g) whose graph has no cycle, and the number of turns."""
-    sides = a.sparkSession.createDataFrame([], "i long, j long, v double")
+def levels_by_groups(a: DataFrame, groups: DataFrame, again: Callable | None = None) -> tuple[DataFrame, int]:
+    """(i, level) by groups(i, g) whose graph has no cycle, and the number of turns; ``again`` solves the smaller system of groups in long chains."""
     a = dealt(a, "entries", "i")
+    return lifted_by_groups(a.select("i", "j", F.lit(1.0).alias("v")), None, groups, again)
+
+
+def lifted_by_groups(a: DataFrame, least: DataFrame | None, groups: DataFrame, again: Callable | None = None) -> tuple[DataFrame, int]:
+    """``levels_by_groups`` of rows that have at least the levels least(i, b), where an entry v lifts its row v above its column."""
+    sides = a.sparkSession.createDataFrame([], "i long, j long, v double") if least is None else least.select("i", F.lit(-1).cast("long").alias("j"), F.col("b").cast("double").alias("v"))
     on = written(a.select("i").distinct().select("i", F.col("i").alias("j"), F.lit(1.0).alias("v")), "rows")
-    values, turns = _by_groups(a.where("i <> j").select("i", "j", F.lit(1.0).alias("v")), on, groups, sides, 1, deepen, np.maximum, lambda v, x: x + 1)
+    values, turns = _by_groups(a.where("i <> j").select("i", "j", "v"), on, groups, sides, 1, deepen, np.maximum, lambda v, x: x + v, again)
     return values.select("i", F.col("v").cast("long").alias("level")), turns
