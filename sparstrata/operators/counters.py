@@ -18,13 +18,15 @@ system of the same kind.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparstrata.functions.storage import dealt, forget, fresh_path, written
+from sparstrata.operators.levels import triangular
 from sparstrata.operators.matrix import checked_diagonal, ends_of
 
 #: Rows and entries that a task substitutes at once, in whole groups; a group that is larger is taken alone.
@@ -33,6 +35,35 @@ BATCH = 200_000
 WIDE, SHARE = 16, 4
 
 
+class Held:
+    """A matrix that solves look at more than once: dealt by row, by column, and its diagonal, each written when it is first needed."""
+
+    def __init__(self, a: DataFrame):
+        self.rows, self._given = dealt(a, "entries", "i"), a
+
+    @cached_property
+    def columns(self) -> DataFrame:
+        return dealt(self.rows.select("i", "j", "v"), "columns", "j", order="j")
+
+    @cached_property
+    def diagonal(self) -> DataFrame:
+        """(i, j, v) of a row for each row; raises where it is missing or zero."""
+        return written(checked_diagonal(self.rows).select("i", F.col("i").alias("j"), F.col("d").alias("v")), "diagonal")
+
+    @cached_property
+    def triangular(self) -> bool:
+        return triangular(self.rows)
+
+    def drop(self) -> None:
+        """Delete what was written; nothing still to run reads it."""
+        made = vars(self)
+        forget(*[made.get(name) for name in ("columns", "diagonal")], self.rows if self.rows is not self._given else None)
+
+
+def held(a: DataFrame | Held) -> Held:
+    return a if isinstance(a, Held) else Held(a)
+
+
 class Turns:
     """The written tables of a loop, a folder for each turn."""
 
@@ -233,19 +264,27 @@ def _by_interfaces(inner: DataFrame, outer: DataFrame, rows: int, kernel: Callab
     return found
 
 
-def _by_groups(off: DataFrame, on: DataFrame, groups: DataFrame, sides: DataFrame, n_sides: int, kernel: Callable, combine: Callable, product: Callable, again: Callable | None = None) -> tuple[DataFrame, int]:
+def _by_groups(entries: DataFrame, on: DataFrame, groups: DataFrame | Callable[[str], Column], sides: DataFrame, n_sides: int, kernel: Callable, combine: Callable, product: Callable, again: Callable | None = None) -> tuple[DataFrame, int]:
     """(i, j, v): value v of row i for right-hand side j, and the number of turns.
 
-    ``off`` are the entries off the diagonal, dealt by row, ``on`` those on it, one for
-    each row. ``sides`` are rows (i, j, v) with j = -1 - side; ``product`` makes what an
+    ``on`` are the entries on the diagonal, one for each row, ``entries`` has those off it, dealt
+    by row; or dealt by column if ``groups`` is a function from the name of a column of
+    rows to their group, which does not fall as rows grow: then neither end needs a
+    join, and nothing of the entries is written again but those inside groups. ``sides`` are rows (i, j, v) with j = -1 - side; ``product`` makes what an
     entry v pushes of a value x. What is pushed to a row is one more side of it.
     Entries between groups lie in buckets of their column, so a turn shuffles x alone.
     ``again`` is for one right-hand side and groups in long chains (``_by_interfaces``).
     """
-    spark = off.sparkSession
-    of = dealt(groups.select("i", "g"), "groups", "i")
-    ends = dealt(ends_of(off, of).select("g", "i", "j", "v", "h"), "ends", "j", order="h", placed=True)
-    rest = sides.unionByName(on).join(of, "i").select("g", "i", "j", "v")
+    spark, off, rest = entries.sparkSession, entries.where("i <> j").select("i", "j", "v"), sides.unionByName(on)
+    if told := callable(groups):
+        of = on.select(groups("i").alias("g"))
+        ends = off.select(groups("i").alias("g"), "i", "j", "v", groups("j").alias("h"))
+        rest = rest.select(groups("i").alias("g"), "i", "j", "v")
+    else:
+        of = dealt(groups.select("i", "g"), "groups", "i")
+        ends = dealt(ends_of(off, of).select("g", "i", "j", "v", "h"), "ends", "j", order="h", placed=True)
+        rest = rest.join(of, "i").select("g", "i", "j", "v")
+    made_here = () if told else (ends, of)
     inner = written(ends.where("g = h").select("g", "i", "j", "v").unionByName(rest).repartitionByRange("g").sortWithinPartitions("g"), "inner")
     outer = ends.where("g <> h")
     run, combined = _grouped(kernel, combine, n_sides), {np.add: F.sum, np.maximum: F.max}[combine]
@@ -257,7 +296,7 @@ def _by_groups(off: DataFrame, on: DataFrame, groups: DataFrame, sides: DataFram
             made = between.join(x, "j").groupBy("g", "i").agg(combined(product(F.col("v"), F.col("x"))).alias("v"))
             own = inner.unionByName(made.select("g", "i", F.lit(-1).cast("long").alias("j"), "v"))
             values = written(own.repartition("g").sortWithinPartitions("g").mapInArrow(run, ENTRY), "found")
-            forget(inner, ends, between, of, x)
+            forget(inner, between, x, *made_here)
             return values.select("i", "j", "v"), turns + 2
         forget(between)
     waits = written(outer.groupBy("g").agg(F.count("*").alias("n")), "waits")
@@ -267,45 +306,50 @@ def _by_groups(off: DataFrame, on: DataFrame, groups: DataFrame, sides: DataFram
         within = F.col("g").between(*span)
         own = inner.where(within).unionByName(pushes.all().select("g", "i", "j", "v").where(within)).join(now, "g", "left_semi")
         values = found.add(own.repartition("g").sortWithinPartitions("g").mapInArrow(run, ENTRY))
-        if outer.where(F.col("h").between(*span)).isEmpty():
+        # files are in the order of the column, or of its group
+        near = outer.where(F.col("j").between(*_span(values, "i")) if told else F.col("h").between(*span))
+        if near.isEmpty():
             break
         x = values.select(F.col("i").alias("j"), F.col("j").alias("side"), F.col("v").alias("x"))
-        made = outer.where(F.col("h").between(*span)).join(x.hint("shuffle_hash"), "j")
-        pushed = pushes.add(made.groupBy("g", "i", "side").agg(combined(product(F.col("v"), F.col("x"))).alias("v"), F.count("*").alias("n")).select("g", "i", (-1 - F.col("side")).alias("j"), "v", "n"))
+        sums = (combined(product(F.col("v"), F.col("x"))).alias("v"), F.count("*").alias("n"))
+        made = near.join(x.hint("shuffle_hash"), "j").groupBy(*([] if told else ["g"]), "i", "side").agg(*sums)
+        pushed = pushes.add(made.select(groups("i").alias("g") if told else "g", "i", (-1 - F.col("side")).alias("j"), "v", "n"))
         # each entry is counted once, with its first side
         counted = pushes.all().where("j = -1").join(pushed.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.sum("n").alias("n"))
         now = ready.add(counted.join(waits, ["g", "n"]).select("g"))
     values = found.all()
     if values.count() < n_sides * on.count():
         raise ValueError("groups depend on each other in a cycle")
-    forget(inner, ends, waits, of)
+    forget(inner, waits, *made_here)
     pushes.drop()
     ready.drop()
     return values.select("i", "j", "v"), found.n
 
 
-def solve_many_by_groups(a: DataFrame, b: DataFrame, groups: DataFrame, again: Callable | None = None) -> tuple[DataFrame, int]:
+def solve_many_by_groups(a: DataFrame | Held, b: DataFrame, groups: DataFrame | Callable[[str], Column], again: Callable | None = None) -> tuple[DataFrame, int]:
     """(r, i, x) of right-hand sides b(r, i, b) by groups(i, g), and the number of turns.
 
+    ``groups`` may be a function of the row's number, as in ``_by_groups``.
     The graph of groups has no cycle, as with runs of rows of a triangular matrix. A
     group is substituted as a whole once all that it waits for has come; what a
     task holds is bounded by ``BATCH`` and the largest group. A side without
     a row in b is 0 there. Right-hand sides are few; their numbers pass the driver. With one
     of them ``again`` solves the smaller system of groups in long chains.
     """
-    spark = a.sparkSession
+    spark = b.sparkSession
     numbers = sorted(r[0] for r in b.select("r").distinct().collect())
     if not numbers:
         return b.select("r", "i", F.col("b").alias("x")), 0
     known = F.broadcast(spark.createDataFrame([(r, k) for k, r in enumerate(numbers)], "r long, side long"))
     sides = b.join(known, "r").select("i", (-1 - F.col("side")).alias("j"), F.col("b").alias("v"))
-    a = dealt(a, "entries", "i")
-    on = written(checked_diagonal(a).select("i", F.col("i").alias("j"), F.col("d").alias("v")), "diagonal")
-    values, turns = _by_groups(a.where("i <> j").select("i", "j", "v"), on, groups, sides, len(numbers), substitute, np.add, lambda v, x: -v * x, again if len(numbers) == 1 else None)
+    own = held(a)
+    values, turns = _by_groups(own.columns if callable(groups) else own.rows, own.diagonal, groups, sides, len(numbers), substitute, np.add, lambda v, x: -v * x, again if len(numbers) == 1 else None)
+    if own is not a:
+        own.drop()
     return values.join(known, F.col("j") == F.col("side")).select("r", "i", F.col("v").alias("x")), turns
 
 
-def solve_by_groups(a: DataFrame, b: DataFrame, groups: DataFrame, again: Callable | None = None) -> tuple[DataFrame, int]:
+def solve_by_groups(a: DataFrame | Held, b: DataFrame, groups: DataFrame | Callable[[str], Column], again: Callable | None = None) -> tuple[DataFrame, int]:
     """(i, x) of one right-hand side b(i, b), and the number of turns; ``again`` solves the smaller system of groups in long chains."""
     x, turns = solve_many_by_groups(a, b.select(F.lit(0).cast("long").alias("r"), "i", "b"), groups, again)
     return x.select("i", "x"), turns
@@ -321,5 +365,5 @@ def lifted_by_groups(a: DataFrame, least: DataFrame | None, groups: DataFrame, a
     """``levels_by_groups`` of rows that have at least the levels least(i, b), where an entry v lifts its row v above its column."""
     sides = a.sparkSession.createDataFrame([], "i long, j long, v double") if least is None else least.select("i", F.lit(-1).cast("long").alias("j"), F.col("b").cast("double").alias("v"))
     on = written(a.select("i").distinct().select("i", F.col("i").alias("j"), F.lit(1.0).alias("v")), "rows")
-    values, turns = _by_groups(a.where("i <> j").select("i", "j", "v"), on, groups, sides, 1, deepen, np.maximum, lambda v, x: x + v, again)
+    values, turns = _by_groups(a, on, groups, sides, 1, deepen, np.maximum, lambda v, x: x + v, again)
     return values.select("i", F.col("v").cast("long").alias("level")), turns

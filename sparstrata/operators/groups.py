@@ -16,7 +16,12 @@ BUFFER = 8
 
 def by_block(rows: DataFrame, alpha: int) -> DataFrame:
     """(i, n, g): ``alpha`` neighbouring rows each; g is the group's first row."""
-    return rows.select("i", "n", (F.expr(f"i div {alpha}") * alpha).alias("g"))
+    return rows.select("i", "n", F.expr(block_of(alpha, "i")).alias("g"))
+
+
+def block_of(alpha: int, column: str) -> str:
+    """SQL of the group of ``by_block`` of a column of rows."""
+    return f"({column} div {alpha}) * {alpha}"
 
 
 def by_threshold(rows: DataFrame, alpha: int, cap: int = CAP) -> DataFrame:

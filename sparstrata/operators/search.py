@@ -11,9 +11,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparstrata.functions.storage import dealt, forget, written
+from sparstrata.functions.storage import forget, written
 from sparstrata.operators import solve
 from sparstrata.operators.analysis import Plan, solve_planned
+from sparstrata.operators.counters import Held
 
 LOG = "matrix string, strategy string, alpha int, by_level boolean, reorder boolean, turns long, time double, max_error double"
 #: Answers are right up to this largest error.
@@ -39,26 +40,28 @@ def search(a: DataFrame, b: DataFrame, matrix: str, plans: Iterable[Plan], path:
     """Solve by each plan that the log at ``path`` does not hold for this matrix, verify the answer, and append time and error; the matrix's log.
 
     A plan is logged once its answer is written and verified, in one append, so
-    a search that was interrupted goes on with the plan it was at. Matrix and
-    sides are written once, so that times are those of the solves.
+    a search that was interrupted goes on with the plan it was at. Matrix, by row and
+    by column, and sides are written once, so that times are those of the solves and
+    a check shuffles its products alone.
     """
     spark = a.sparkSession
     own = read_log(spark, path).where(F.col("matrix") == matrix)
     columns = [f.name for f in fields(Plan)]
     known = {tuple(r) for r in own.select(*columns).collect()}  # a row for each plan
-    a, b = dealt(a, "search-matrix", "i"), written(b, "search-sides")
-    for plan in plans:
-        if astuple(plan) in known:
-            continue
+    todo = [plan for plan in dict.fromkeys(plans) if astuple(plan) not in known]
+    a, b = Held(a), written(b, "search-sides")
+    if todo:
+        a.columns, a.diagonal, a.triangular  # noqa: B018
+    for plan in todo:
         start = time.perf_counter()
         x, turns = solve_planned(a, b, plan)
         x = written(x, "search-answer")
         seconds = time.perf_counter() - start
-        error = float(solve.residual(a, x, b).first()["max_error"])
+        error = float(solve.residual(a.columns, x.hint("shuffle_hash"), b).first()["max_error"])
         spark.createDataFrame([(matrix, *astuple(plan), turns, seconds, error)], LOG).coalesce(1).write.mode("append").parquet(path)
-        known.add(astuple(plan))
         forget(x)
-    forget(a, b)
+    a.drop()
+    forget(b)
     return read_log(spark, path).where(F.col("matrix") == matrix)
 
 
